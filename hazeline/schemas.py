@@ -97,6 +97,7 @@ FORECAST_LOG = T.StructType(
         T.StructField("city", T.StringType()),
         T.StructField("target_datetime", T.TimestampNTZType()),
         T.StructField("predicted_aqi", T.IntegerType()),
+        T.StructField("batch", T.LongType()),
     ]
 )
 
