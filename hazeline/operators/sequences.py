@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,28 @@ def flatten_windows(sequences: DataFrame, columns=SEQUENCE_FEATURES) -> DataFram
     """Adds ``flat``: the window as one array of doubles, oldest hour first."""
     steps = F.transform("window", lambda s: F.array(*[s[c].cast("double") for c in columns]))
     return sequences.withColumn("flat", F.flatten(steps))
+
+
+def compare_regressor(flat: DataFrame, *, valid_fraction: float = 0.2, alpha: float = 1.0) -> DataFrame:
+    """Ridge on the flattened window and persistence on the same recent sequences.
+
+    The scaling is fitted on the training part, per window position.
+    """
+    cutoff = split_cutoff(flat, valid_fraction)
+    rows = flat.select(
+        "datetime",
+        F.col("target").cast("double").alias("target"),
+        F.element_at("window", -1)["aqi"].cast("double").alias("persistence"),
+        array_to_vector("flat").alias("assembled"),
+    )
+    train = rows.where(F.col("datetime") <= cutoff)
+    valid = rows.where(F.col("datetime") > cutoff)
+    n, sd = train.agg(F.count("target"), F.stddev_pop("target")).first()
+    scaler = StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True)
+    # several hundred near-collinear inputs: an iterative solver instead of the normal equations
+    regression = LinearRegression(labelCol="target", regParam=alpha * sd / n, standardization=False, solver="l-bfgs")
+    model = Pipeline(stages=[scaler, regression]).fit(train)
+    scored = model.transform(valid)
+    ridge = scored.agg(*error_columns("target", "prediction")).withColumn("model", F.lit("Ridge on window"))
+    base = scored.agg(*error_columns("target", "persistence")).withColumn("model", F.lit("Persistence (baseline)"))
+    return ridge.unionByName(base).select("model", "rmse", "mae", "r2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,10 @@ def backfill(
     store.upsert(build_features(unique, block_seconds=block_seconds))
 
 
+# Days of stored history read for the look-back, tried in turn before the whole table.
+LOOKBACK_DAYS = (4, 40, 400)
+
+
 def with_lookback(store: FeatureStore, recent: DataFrame, rows_back: int = ROWS_BACK) -> DataFrame:
     """Recent raw rows plus, per station, the stored rows just before them.
 
@@ -50,13 +56,33 @@ def with_lookback(store: FeatureStore, recent: DataFrame, rows_back: int = ROWS_
     """
     first = recent.groupBy("city").agg(F.min("datetime").alias("_first"))
     columns = ["city", "datetime", *[c for c in RAW_COLUMNS if c in recent.columns]]
-    stored = store.read().select(*columns)
-    earlier = stored.join(first, "city").where(F.col("datetime") < F.col("_first"))
-    needed = tail_rows(earlier, rows_back).select(*columns)
+    needed = _rows_before(store, first, rows_back).select(*columns)
     fresh = recent.select(*columns).withColumn("_fresh", F.lit(True))
     return fresh.unionByName(needed.withColumn("_fresh", F.lit(False)))
 
 
+def _rows_before(store: FeatureStore, first: DataFrame, rows_back: int) -> DataFrame:
+    """Per station the last ``rows_back`` stored rows before its first recent row.
+
+    Reads a few day partitions; only when some station has fewer rows in them than it
+    needs are more days read, and in the end all days.
+    """
+    oldest = first.agg(F.min("_first"), F.max("_first")).first()
+    if oldest[0] is None:
+        return store.read().limit(0)
+
+    def earlier(stored: DataFrame) -> DataFrame:
+        return stored.join(first, "city").where(F.col("datetime") < F.col("_first"))
+
+    for days in LOOKBACK_DAYS:
+        since = (oldest[0] - timedelta(days=days)).date().isoformat()
+        near = earlier(store.between(since, oldest[1].date().isoformat()))
+        counts = first.join(near.groupBy("city").agg(F.count(F.lit(1)).alias("_n")), "city", "left")
+        if not counts.where(F.coalesce("_n", F.lit(0)) < rows_back).limit(1).count():
+            return tail_rows(near, rows_back)
+    return tail_rows(earlier(store.read()), rows_back)
+
+
 def tail_rows(rows: DataFrame, n: int) -> DataFrame:
     """The last ``n`` rows of every station; the rank limit also runs before the shuffle."""
     newest_first = Window.partitionBy("city").orderBy(F.desc("datetime"))
