@@ -229,7 +229,7 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY datetime, city, horizon) - 1
 sized AS (SELECT *, n // {k + 1} AS t FROM numbered),
 folded AS (SELECT *, CASE WHEN rn < n - {k} * t THEN 0 ELSE CAST((rn - (n - {k} * t)) // t + 1 AS INTEGER) END AS fold FROM sized),
 report AS (SELECT CAST(fold AS INTEGER) AS fold, CAST(min(n - {k} * t + (fold - 1) * t) AS BIGINT) AS train_rows, count(*) AS test_rows,
-  CAST(min(datetime) AS DATE) AS test_from, {error_columns('y_aqi', 'aqi_anchor')} FROM folded WHERE fold > 0 GROUP BY fold)
+  strftime(min(datetime), '%Y-%m-%d') AS test_from, {error_columns('y_aqi', 'aqi_anchor')} FROM folded WHERE fold > 0 GROUP BY fold)
 {tail}"""
 
 
@@ -260,9 +260,9 @@ edge AS (SELECT max(datetime) - INTERVAL 14 DAYS AS cut FROM known),
 long AS ({long}),
 marked AS (SELECT long.*, datetime >= cut AS recent FROM long, edge),
 q AS (SELECT feature, quantile_cont(v, {fractions}) AS qs FROM marked WHERE NOT recent GROUP BY feature),
-e AS (SELECT feature, list_sort(list_distinct(list_transform(qs, x -> round(x, 9)))) AS edges FROM q),
+e AS (SELECT feature, list_sort(list_distinct([round(x, 9) for x in qs])) AS edges FROM q),
 inner_edges AS (SELECT feature, edges, edges[2:len(edges) - 1] AS ie FROM e),
-binned AS (SELECT m.feature, m.position, recent, len(list_filter(ie, x -> x <= v)) AS bin, len(edges) AS ne FROM marked m JOIN inner_edges USING (feature)),
+binned AS (SELECT m.feature, m.position, recent, len([x for x in ie if x <= v]) AS bin, len(edges) AS ne FROM marked m JOIN inner_edges USING (feature)),
 sizes AS (SELECT feature, position, ne, count(*) FILTER (WHERE NOT recent) AS nr, count(*) FILTER (WHERE recent) AS nc FROM binned GROUP BY ALL),
 every AS (SELECT feature, position, ne, nr, nc, unnest(range(0, ne - 1)) AS bin FROM sizes),
 filled AS (SELECT feature, bin, count(*) FILTER (WHERE NOT recent) AS r, count(*) FILTER (WHERE recent) AS c FROM binned GROUP BY ALL),
@@ -352,11 +352,11 @@ RULE = "aqi_anchor * 0.6e0 + pm2_5_anchor * 0.3e0 - wind_speed_10m * 0.5e0 + tem
 SEQ_FRAME = "(PARTITION BY city ORDER BY datetime ROWS BETWEEN 71 PRECEDING AND 24 PRECEDING)"
 SEQUENCES = f"""{READING_FEATURES},
 seq AS (SELECT city, datetime, aqi, pm10, row_number() OVER (PARTITION BY city ORDER BY datetime) - 1 - 23 AS "end",
-  count(*) OVER (PARTITION BY city) AS n, lag(datetime, 23) OVER (PARTITION BY city ORDER BY datetime) AS at,
+  count(*) OVER (PARTITION BY city) AS n, lag(datetime, 23) OVER (PARTITION BY city ORDER BY datetime) AS end_time,
   count(*) FILTER (WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SEQUENCE_FEATURES)}) OVER {SEQ_FRAME} AS usable,
   avg(CAST(pm10 AS FLOAT)) OVER {SEQ_FRAME} AS pm10_mean,
   lag(aqi, 71) OVER (PARTITION BY city ORDER BY datetime) AS oldest_aqi, lag(aqi, 24) OVER (PARTITION BY city ORDER BY datetime) AS newest_aqi FROM feats),
-windows AS (SELECT city, "end", at AS datetime, CAST(CAST(aqi AS FLOAT) AS DOUBLE) AS target, CAST(usable AS INTEGER) AS steps, pm10_mean,
+windows AS (SELECT city, "end", end_time AS datetime, CAST(CAST(aqi AS FLOAT) AS DOUBLE) AS target, CAST(usable AS INTEGER) AS steps, pm10_mean,
   CAST(CAST(oldest_aqi AS FLOAT) AS DOUBLE) AS oldest_aqi, CAST(CAST(newest_aqi AS FLOAT) AS DOUBLE) AS newest_aqi
   FROM seq WHERE "end" >= 48 AND "end" < n - 24 AND ("end" - 48) % 6 = 0 AND usable = 48)"""
 
@@ -387,7 +387,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {by})
 def chunks(last: str) -> str:
     return f"""WITH ranges AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1),
 starts AS (SELECT o_custkey, b, CAST(unnest(range(CAST(a AS TIMESTAMP), CAST({last} AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 91 DAYS)) AS DATE) AS chunk_start FROM ranges)
-SELECT o_custkey, chunk_start, least(chunk_start + 90, b) AS chunk_end FROM starts"""
+SELECT o_custkey, CAST(chunk_start AS VARCHAR) AS chunk_start, CAST(least(chunk_start + 90, b) AS VARCHAR) AS chunk_end FROM starts"""
 
 
 def label_case(c: str) -> str:

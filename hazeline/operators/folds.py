@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.functions.clock import epoch_micros, from_epoch_micros
+from hazeline.functions.clock import date_text, epoch_micros, from_epoch_micros
 from hazeline.operators.metrics import error_columns
 from hazeline.operators.quantiles import values_at_ranks
 
@@ -67,7 +67,7 @@ def fold_report(scored: DataFrame, n_splits: int, actual: str = "y_aqi", predict
     """Rows, first test date and error per fold, from rows scored by their fold's model."""
     per_fold = scored.groupBy("fold").agg(
         F.count(F.lit(1)).alias("test_rows"),
-        F.to_date(F.min("datetime")).alias("test_from"),
+        date_text(F.min("datetime")).alias("test_from"),
         *error_columns(actual, predicted),
     )
     before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)

@@ -78,7 +78,10 @@ def attach_intervals(scored: DataFrame, intervals: DataFrame) -> DataFrame:
     """
     trained = intervals.agg(F.sort_array(F.collect_set("horizon"))).scalar()
     bounds = intervals.select(F.col("horizon").alias("_nearest"), "low", "high")
-    return scored.withColumn("_nearest", nearest(F.col("horizon"), trained)).join(bounds, "_nearest").drop("_nearest")
+    matched = scored.withColumn("_trained", trained).withColumn(
+        "_nearest", nearest(F.col("horizon"), F.col("_trained"))
+    )
+    return matched.join(bounds, "_nearest").drop("_nearest", "_trained")
 
 
 def interval_bounds(prediction: Column, low: Column, high: Column) -> tuple[Column, Column]:

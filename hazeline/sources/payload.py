@@ -64,10 +64,10 @@ def date_chunks(ranges: DataFrame, start: str, stop: str, days: int = CHUNK_DAYS
     upto = last if inclusive else F.date_sub(last, 1)
     step = F.expr(f"interval {days + 1} days")
     starts = F.when(first <= upto, F.sequence(first, upto, step)).otherwise(F.array().cast("array<date>"))
-    return ranges.select(
-        *[c for c in ranges.columns if c not in (start, stop)], last.alias("_stop"), F.explode(starts).alias("chunk_start")
-    ).select(
-        *[c for c in ranges.columns if c not in (start, stop)],
-        "chunk_start",
-        F.least(F.date_add("chunk_start", days), F.col("_stop")).alias("chunk_end"),
+    keep = [c for c in ranges.columns if c not in (start, stop)]
+    begun = ranges.select(*keep, last.alias("_stop"), F.explode(starts).alias("_start"))
+    return begun.select(
+        *keep,
+        F.col("_start").cast("string").alias("chunk_start"),
+        F.least(F.date_add("_start", days), F.col("_stop")).cast("string").alias("chunk_end"),
     )
