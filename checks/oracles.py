@@ -461,10 +461,11 @@ CAST((SELECT mo FROM months ORDER BY m DESC, mo LIMIT 1) AS INTEGER) AS worst_mo
 (SELECT feature FROM corrs ORDER BY abs(r) DESC, feature LIMIT 1) AS strongest_feature,
 (SELECT round_even(r, 2) FROM corrs ORDER BY abs(r) DESC, feature LIMIT 1) AS strongest_r FROM known""",
     "weather_correlation": f"{ON_READINGS}, {CORRELATIONS} SELECT feature, {r6('r')} FROM corrs",
-    "aqi_histogram": f"""{ON_READINGS}, b AS (SELECT min(aqi) AS lo, max(aqi) AS hi FROM known),
-binned AS (SELECT least(60, CAST(floor((aqi - lo) / ((hi - lo) / 60)) AS INTEGER) + 1) AS bin, count(*) AS c FROM known, b GROUP BY 1),
+    "aqi_histogram": f"""{ON_READINGS}, b AS (SELECT min(aqi) AS lo, (max(aqi) - min(aqi)) / 60 AS w FROM known),
+guessed AS (SELECT aqi, lo, w, CAST(floor((aqi - lo) / w) AS INTEGER) AS g FROM known, b),
+binned AS (SELECT least(60, g - CAST(aqi < lo + g * w AS INTEGER) + CAST(aqi >= lo + (g + 1) * w AS INTEGER) + 1) AS bin, count(*) AS c FROM guessed GROUP BY 1),
 every AS (SELECT CAST(unnest(range(1, 61)) AS INTEGER) AS bin)
-SELECT e.bin, {r6('lo + (e.bin - 1) * ((hi - lo) / 60)', 'bin_low')}, coalesce(c, 0) AS hours FROM every e CROSS JOIN b LEFT JOIN binned USING (bin)""",
+SELECT e.bin, {r6('lo + (e.bin - 1) * w', 'bin_low')}, coalesce(c, 0) AS hours FROM every e CROSS JOIN b LEFT JOIN binned USING (bin)""",
     "history_summary": f"{ON_READINGS}, {HISTORY} SELECT * FROM history",
     "history_lookup": f"""{ON_READINGS}, {HISTORY}, asked(city) AS (VALUES ('view'), ('nowhere'))
 SELECT a.city, mean_aqi, max_aqi_on_record, worst_month, cleanest_month, hours_of_data,

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions.text import slug
 from hazeline.operators.blocks import suggest_block_seconds
+from hazeline.session import literal_table
 from hazeline.sources.dims import attach_location
 
 # name, latitude, longitude, province
@@ -28,14 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def station_dim(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([*STATIONS], "name string, latitude double, longitude double, province string")
-    return rows.withColumn("slug", slug(F.col("name")))
+    schema = T.StructType(
+        [T.StructField(n, t()) for n, t in zip(("name", "latitude", "longitude", "province"), (T.StringType, T.DoubleType, T.DoubleType, T.StringType))]
+    )
+    return literal_table(spark, STATIONS, schema).withColumn("slug", slug(F.col("name")))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    u = F.col("user_id")
+    events = table(spark, sf_dir, "events").select(
+        "event_type", "ts", "value", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k")
+    )
+    k, u = F.col("k"), F.col("user_id")
     rows = events.select(
         F.col("event_type").alias("city"),
         F.col("ts").alias("datetime"),

@@ -53,11 +53,11 @@ def query(fn):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places, so that engines may add in different orders."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(F.col(f"`{f.name}`"), DIGITS) + F.lit(0.0)).alias(f.name)
+            f"round(`{f.name}`, {DIGITS}) + 0D AS `{f.name}`"
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.operators.quantiles import quantiles
+from hazeline.session import literal_table
 
 # Watched features in report order, and the status limits.
 DRIFT_FEATURES = (
@@ -88,9 +90,8 @@ def drift_by_feature(
     present = [f for f in watched if f in features.columns]
     marked = mark_recent(features.select("datetime", *present), recent_days)
     scored = population_stability(_unpivot(marked, present), bins)
-    listed = features.sparkSession.createDataFrame(
-        list(enumerate(present)), "position int, feature string"
-    )
+    schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("feature", T.StringType())])
+    listed = literal_table(features.sparkSession, list(enumerate(present)), schema)
     psi = F.coalesce("psi", F.lit(0.0))
     return listed.join(scored, "feature", "left").select(
         "position", "feature", psi.alias("psi"), drift_status(psi).alias("status")

@@ -92,15 +92,18 @@ def aqi_histogram(features: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     if low == high:
         # a single value still gets a unit-wide range around it
         low, high = low - 0.5, high + 0.5
-    width = (high - low) / bins
-    lo, hi = F.lit(float(low)), F.lit(float(high))
-    filled = values.groupBy(
-        F.least(F.lit(bins), F.width_bucket(F.col("aqi"), lo, hi, F.lit(bins))).cast("int").alias("bin")
-    ).agg(F.count(F.lit(1)).alias("hours"))
+    lo, width = F.lit(float(low)), F.lit((high - low) / bins)
+    x = F.col("aqi")
+    guess = F.floor((x - lo) / width)
+    # division may land one bin off at an edge: the edges decide
+    at = guess - (x < lo + guess * width).cast("int") + (x >= lo + (guess + 1) * width).cast("int")
+    filled = values.groupBy(F.least(F.lit(bins), at + 1).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("hours")
+    )
     every = features.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return every.join(filled, "bin", "left").select(
         "bin",
-        (lo + (F.col("bin") - 1) * F.lit(width)).alias("bin_low"),
+        (lo + (F.col("bin") - 1) * width).alias("bin_low"),
         F.coalesce("hours", F.lit(0)).alias("hours"),
     )
 

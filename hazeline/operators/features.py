@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions.clock import calendar_columns, cyclical_columns, epoch_seconds
@@ -11,7 +11,6 @@ from hazeline.functions.wind import wind_columns
 from hazeline.operators.blocks import (
     BLOCK,
     DEFAULT_BLOCK_SECONDS,
-    block_window,
     own_rows,
     with_halo,
     with_time_halo,
@@ -43,55 +42,50 @@ def row_columns(df: DataFrame) -> dict:
     return out
 
 
-def _change(previous, day_ago) -> dict:
-    aqi = F.col("aqi")
-    return {
-        "aqi_change_1h": aqi - previous,
-        "aqi_change_24h": aqi - day_ago,
-        "aqi_change_rate": (aqi - previous) / F.nullif(previous, F.lit(0.0)),
-    }
+# Window frames over the rows or the clock of one block, as SQL text.
+BLOCK_ROWS = f"PARTITION BY city, {BLOCK} ORDER BY datetime"
+BLOCK_CLOCK = f"PARTITION BY city, {BLOCK} ORDER BY unix_seconds(CAST(datetime AS timestamp))"
 
 
-def _rolling(column: str, hours: int, frame) -> dict:
-    value = F.col(column)
-    enough = F.count(value).over(frame) >= max(2, hours // 2)
-    return {
-        f"{column}_roll_mean_{hours}h": F.when(enough, F.avg(value).over(frame)),
-        f"{column}_roll_std_{hours}h": F.when(enough, F.stddev_samp(value).over(frame)),
-        f"{column}_roll_max_{hours}h": F.when(enough, F.max(value).over(frame)),
+def _offset_columns(columns, at, frame) -> dict:
+    """Change, lag and rolling columns; ``at(column, n)`` is the value n hours back."""
+    previous = at("aqi", 1)
+    out = {
+        "aqi_change_1h": f"aqi - {previous}",
+        "aqi_change_24h": f"aqi - {at('aqi', DAY_OFFSET)}",
+        "aqi_change_rate": f"(aqi - {previous}) / nullif({previous}, 0)",
     }
+    series = [c for c in SERIES if c in columns]
+    out |= {f"{c}_lag_{n}h": at(c, n) for c in series for n in LAGS}
+    for c in series:
+        for n in ROLLING:
+            over = f"OVER ({frame(n)})"
+            for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max")):
+                enough = f"count({c}) {over} >= {max(2, n // 2)}"
+                out[f"{c}_roll_{name}_{n}h"] = f"CASE WHEN {enough} THEN {fn}({c}) {over} END"
+    return {name: F.expr(text) for name, text in out.items()}
 
 
 def row_offset_columns(columns) -> dict:
-    """Change, lag and rolling columns where "n hours" means n rows."""
-    w = block_window()
-    out = _change(F.lag("aqi", 1).over(w), F.lag("aqi", DAY_OFFSET).over(w))
-    series = [c for c in SERIES if c in columns]
-    for column in series:
-        for n in LAGS:
-            out[f"{column}_lag_{n}h"] = F.lag(column, n).over(w)
-    for column in series:
-        for n in ROLLING:
-            out |= _rolling(column, n, w.rowsBetween(-n, -1))
-    return out
+    """Offsets count rows: "n hours" means n rows."""
+    return _offset_columns(
+        columns,
+        lambda c, n: f"lag({c}, {n}) OVER ({BLOCK_ROWS})",
+        lambda n: f"{BLOCK_ROWS} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING",
+    )
 
 
 def clock_offset_columns(columns) -> dict:
-    """Change, lag and rolling columns where "n hours" means elapsed time."""
-    ordered = Window.partitionBy("city", BLOCK).orderBy(epoch_seconds(F.col("datetime")))
+    """Offsets are elapsed time; a missing hour gives a missing value."""
 
-    def at(column, n):
-        return F.max(column).over(ordered.rangeBetween(-n * HOUR, -n * HOUR))
+    def span(first, last):
+        return f"{BLOCK_CLOCK} RANGE BETWEEN {first} PRECEDING AND {last} PRECEDING"
 
-    out = _change(at("aqi", 1), at("aqi", DAY_OFFSET))
-    series = [c for c in SERIES if c in columns]
-    for column in series:
-        for n in LAGS:
-            out[f"{column}_lag_{n}h"] = at(column, n)
-    for column in series:
-        for n in ROLLING:
-            out |= _rolling(column, n, ordered.rangeBetween(-n * HOUR, -1))
-    return out
+    return _offset_columns(
+        columns,
+        lambda c, n: f"max({c}) OVER ({span(n * HOUR, n * HOUR)})",
+        lambda n: span(n * HOUR, 1),
+    )
 
 
 def feature_windows(

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.session import literal_table
+
 SKETCH_ACCURACY = 100_000
 BRACKET = 4 / SKETCH_ACCURACY
 # Groups up to this size are ranked whole; the sketch has nothing to save there.
@@ -52,54 +54,58 @@ def _attach(rows: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFram
         )
     few = brackets.limit(MAX_BROADCAST_GROUPS + 1).collect()
     if len(few) <= MAX_BROADCAST_GROUPS:
-        brackets = F.broadcast(rows.sparkSession.createDataFrame(few, brackets.schema))
+        brackets = F.broadcast(literal_table(rows.sparkSession, few, brackets.schema))
     return rows.join(brackets, groups)
 
 
 def _order_statistics(df: DataFrame, groups: list[str], value: str | Column, fractions) -> DataFrame:
-    """Per group and fraction: the values around its rank and the rows before the lower one."""
+    """One row per group with arrays aligned to ``fractions``: the values around each
+    rank, the rows before the lower one, and the share of the way to the upper one."""
     column = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*groups, column.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = df.select(*groups, column.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     wide = _attach(rows, _brackets(rows, groups, fractions), groups)
 
-    # Per fraction a row is below its bracket (value dropped), inside it, or above it (row dropped).
-    marks = F.transform(
-        F.sequence(F.lit(0), F.lit(len(fractions) - 1)),
-        lambda i: F.struct(
-            i.alias("_i"),
-            F.when(F.col("_v") >= F.get("_low", i), F.col("_v")).alias("_x"),
-            (F.col("_v") <= F.get("_high", i)).alias("_keep"),
-        ),
-    )
+    # Cell = brackets that lie wholly below the row, so cells are in value order. A row
+    # inside the bracket of its cell keeps its value, a row below it is only counted.
+    k = len(fractions)
+    cell = " + ".join(f"CAST(_v > _high[{i}] AS int)" for i in range(k))
     counted = (
-        wide.select(*groups, "_n", F.inline(F.filter(marks, lambda m: m["_keep"])))
-        .groupBy(*groups, "_n", "_i", "_x")
+        wide.select(*groups, "_n", "_v", "_low", F.expr(cell).alias("_cell"))
+        .where(F.col("_cell") < k)
+        .groupBy(*groups, "_n", "_cell", F.expr("CASE WHEN _v >= get(_low, _cell) THEN _v END").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    upto = Window.partitionBy(*groups, "_i").orderBy(F.col("_x").asc_nulls_first())
-    ranked = counted.withColumn("_end", F.sum("_rows").over(upto)).where(F.col("_x").isNotNull())
-    ranked = ranked.withColumn("_start", F.col("_end") - F.col("_rows"))
-    position = F.get(F.array(*[F.lit(p) for p in fractions]), F.col("_i")) * (F.col("_n") - 1)
-
-    def at(rank, column):
-        inside = (F.col("_start") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(inside, F.col(column)))
-
-    found = ranked.groupBy(*groups, "_n", "_i").agg(
-        at(F.floor(position), "_x").alias("lower"),
-        at(F.ceil(position), "_x").alias("upper"),
-        at(F.floor(position), "_start").alias("rows_before"),
+    in_cell = Window.partitionBy(*groups, "_n", "_cell")
+    upto = F.sum("_rows").over(in_cell.orderBy(F.col("_x").asc_nulls_first()))
+    ranked = counted.withColumn("_upto", upto).where("_x IS NOT NULL")
+    cells = counted.groupBy(*groups, "_n", "_cell").agg(F.sum("_rows").alias("_in_cell"))
+    before = Window.partitionBy(*groups, "_n").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(
+        *groups, "_n", "_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before")
+    )
+    placed = ranked.join(offsets, [*groups, "_n", "_cell"]).selectExpr(
+        *groups, "_n", "_x", "_before + _upto - _rows AS _start", "_before + _upto AS _end"
     )
-    bracketed = F.col("lower").isNotNull() & F.col("upper").isNotNull()
-    outside = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
+
+    def at(rank: str, column: str) -> str:
+        return f"max(CASE WHEN _start <= {rank} AND {rank} < _end THEN {column} END)"
+
+    positions = [f"({p!r}D * (_n - 1))" for p in fractions]
+    found = placed.groupBy(*groups, "_n").agg(
+        F.expr(f"array({', '.join(at(f'floor({p})', '_x') for p in positions)}) AS lower"),
+        F.expr(f"array({', '.join(at(f'ceil({p})', '_x') for p in positions)}) AS upper"),
+        F.expr(f"array({', '.join(at(f'floor({p})', '_start') for p in positions)}) AS rows_before"),
+    )
+    missing = F.exists("lower", lambda x: x.isNull()) | F.exists("upper", lambda x: x.isNull())
+    outside = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("array<double>")
+    parts = ", ".join(f"{p} - floor({p})" for p in positions)
     return found.select(
         *groups,
-        "_n",
-        "_i",
-        F.when(bracketed, F.col("lower")).otherwise(outside).alias("lower"),
+        F.col("_n").alias("n"),
+        F.when(missing, outside).otherwise(F.col("lower")).alias("lower"),
         "upper",
         "rows_before",
-        (position - F.floor(position)).alias("part"),
+        F.expr(f"array({parts}) AS part"),
     )
 
 
@@ -108,23 +114,17 @@ def quantiles(df: DataFrame, groups: list[str], value: str | Column, fractions)
 
     Nulls are skipped. Without groups the result has one row.
     """
-    fractions = [float(p) for p in fractions]
-    exact = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
-    found = _order_statistics(df, groups, value, fractions)
-    gathered = (
-        found.select(*groups, "_n", F.struct("_i", exact.alias("x")).alias("_q"))
-        .groupBy(*groups, "_n")
-        .agg(F.sort_array(F.collect_list("_q")).alias("_q"))
-    )
-    return gathered.select(*groups, F.col("_n").alias("n"), F.transform("_q", lambda s: s["x"]).alias("q"))
+    found = _order_statistics(df, groups, value, [float(p) for p in fractions])
+    exact = "transform(lower, (x, i) -> x + (upper[i] - x) * part[i]) AS q"
+    return found.select(*groups, "n", F.expr(exact))
 
 
 def values_at_ranks(df: DataFrame, value: str, ranks: list[int], n: int) -> list[tuple[float, int]]:
     """For each 0-based rank of ``n`` rows: the value there and the rows with a smaller value."""
     # rank r sits at fraction r / (n - 1); the quarter step keeps floor() on r
     fractions = [min((r + 0.25) / max(n - 1, 1), 1.0) for r in ranks]
-    found = _order_statistics(df, [], value, fractions).orderBy("_i").collect()
-    return [(row["lower"], row["rows_before"]) for row in found]
+    found = _order_statistics(df, [], value, fractions).first()
+    return list(zip(found["lower"], found["rows_before"]))
 
 
 def quantile_scalar(df: DataFrame, value: str, fraction: float) -> float:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions.index import category_name
 from hazeline.functions.text import same_name
 from hazeline.operators.drift import drift_report
 from hazeline.operators.explore import history_summary
 from hazeline.operators.scoring import error_report
+from hazeline.session import literal_table
 
 
 def list_cities(dim: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def list_cities(dim: DataFrame) -> DataFrame:
 
 
 def _requested(spark, names) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "city string")
+    return literal_table(spark, [(n,) for n in names], T.StructType([T.StructField("city", T.StringType())]))
 
 
 def peak_summary(documents: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Timestamps are naive local clocks, so the session zone must not move them.
 SESSION_CONF = {
@@ -55,6 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def literal_table(spark: SparkSession, rows, schema: T.StructType):
+    """A small table held in the plan, so the optimizer knows its size and broadcasts it."""
+    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(schema.fields)}
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(schema)), schema)
+
+
 def materialize(df, name: str):
     """Write ``df`` to the scratch folder and read it back.
 

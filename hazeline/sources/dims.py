@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazeline import schemas
 from hazeline.functions.index import CATEGORIES, CONCENTRATION_BINS, INDEX_BINS
 from hazeline.functions.text import same_name, slug
+from hazeline.session import literal_table
 
 # Name, latitude, longitude, province.
 CITIES = (
@@ -39,11 +40,11 @@ TIMEZONE = "Asia/Karachi"
 
 def cities(spark: SparkSession) -> DataFrame:
     rows = [(*c, TIMEZONE) for c in CITIES]
-    return spark.createDataFrame(rows, schemas.CITY_DIM).withColumn("slug", slug(F.col("name")))
+    return literal_table(spark, rows, schemas.CITY_DIM).withColumn("slug", slug(F.col("name")))
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*CATEGORIES], schemas.CATEGORY_DIM)
+    return literal_table(spark, CATEGORIES, schemas.CATEGORY_DIM)
 
 
 def breakpoints(spark: SparkSession) -> DataFrame:
@@ -52,7 +53,7 @@ def breakpoints(spark: SparkSession) -> DataFrame:
         for pollutant, bins in CONCENTRATION_BINS.items()
         for (c_lo, c_hi), (i_lo, i_hi) in zip(bins, INDEX_BINS)
     ]
-    return spark.createDataFrame(rows, schemas.BREAKPOINT_DIM)
+    return literal_table(spark, rows, schemas.BREAKPOINT_DIM)
 
 
 def find_city(dim: DataFrame, name: str) -> DataFrame:
