@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from hazeline.functions.text import slug
 from hazeline.operators.blocks import suggest_block_seconds
-from hazeline.session import literal_table
+from hazeline.session import literal_table, materialize
 from hazeline.sources.dims import attach_location
 
 # name, latitude, longitude, province
@@ -36,7 +36,7 @@ def station_dim(spark: SparkSession) -> DataFrame:
     return literal_table(spark, STATIONS, schema).withColumn("slug", slug(F.col("name")))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_type", "ts", "value", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k")
     )
@@ -64,10 +64,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 7 + u) % 360).cast("double").alias("wind_direction_10m"),
         (k % 25).cast("double").alias("wind_gusts_10m"),
     )
-    return attach_location(rows, station_dim(spark))
+    return _spread(attach_location(rows, station_dim(spark)))
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     hours = (
         events.groupBy(
@@ -106,7 +106,32 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 7) % 360).cast("double").alias("wind_direction_10m"),
         (n + k % 25).cast("double").alias("wind_gusts_10m"),
     )
-    return attach_location(rows, station_dim(spark))
+    return _spread(attach_location(rows, station_dim(spark)))
+
+
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, sf_dir: str, derive) -> DataFrame:
+    """``derive(spark, sf_dir)`` as a stored table, written once per session."""
+    at = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+    if at not in _stored:
+        _stored[at] = materialize(derive(spark, sf_dir), derive.__name__)
+    return _stored[at]
+
+
+def _spread(panel: DataFrame) -> DataFrame:
+    """A single small input file is spread, so that scans of the stored panel run in parallel."""
+    cores = panel.sparkSession.sparkContext.defaultParallelism
+    return panel.repartition(cores) if panel.rdd.getNumPartitions() < cores else panel
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_once(spark, sf_dir, derive_readings)
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_once(spark, sf_dir, derive_hourly)
 
 
 _block_cache: dict[tuple[str, str], int] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.panels import block_seconds, hourly, readings, station_dim, table
+from checks.panels import block_seconds, hourly, readings, station_dim, stored_once, table
 from hazeline import schemas
 from hazeline.functions import clock, index, text
 from hazeline.operators import (
@@ -71,10 +71,21 @@ def hourly_features(spark, sf_dir) -> DataFrame:
     return features.build_features(hourly(spark, sf_dir))
 
 
+def derive_supervised(spark, sf_dir) -> DataFrame:
+    return supervised.supervised_from_raw(readings(spark, sf_dir), block_seconds=block_seconds(spark, sf_dir))
+
+
 def supervised_table(spark, sf_dir) -> DataFrame:
     """Written once: the queries on top read it several times."""
-    rows = supervised.supervised_from_raw(readings(spark, sf_dir), block_seconds=block_seconds(spark, sf_dir))
-    return materialize(rows, "supervised")
+    return stored_once(spark, sf_dir, derive_supervised)
+
+
+def stored_hourly_features(spark, sf_dir) -> DataFrame:
+    return stored_once(spark, sf_dir, hourly_features)
+
+
+def hourly_supervised(spark, sf_dir) -> DataFrame:
+    return supervised.make_supervised(stored_hourly_features(spark, sf_dir))
 
 
 def target_rows(spark, sf_dir) -> DataFrame:
@@ -249,7 +260,7 @@ def supervised_rows(spark, sf_dir):
 @query
 def supervised_clock(spark, sf_dir):
     """State exactly h hours before the target hour."""
-    stored = materialize(hourly_features(spark, sf_dir), "features")
+    stored = stored_hourly_features(spark, sf_dir)
     return supervised.make_supervised(stored, mode="time").select(
         *KEY, "horizon", "y_aqi", *supervised.ANCHOR_COLUMNS
     )
@@ -362,7 +373,7 @@ def drift_report(spark, sf_dir):
 
 def forecast_log(spark, sf_dir) -> DataFrame:
     """Each hour's index as the forecast for the row 24 rows later, logged twice."""
-    rows = hourly_features(spark, sf_dir).where(F.col("aqi_lag_24h").isNotNull())
+    rows = stored_hourly_features(spark, sf_dir).where(F.col("aqi_lag_24h").isNotNull())
     runs = F.array(*[F.struct(F.lit(b).cast("long").alias("batch"), F.lit(b * 3).alias("shift")) for b in (1, 2)])
     return rows.select("*", F.inline(runs)).select(
         F.date_format((F.col("datetime") - F.expr("interval 24 hours")).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
@@ -380,19 +391,19 @@ def forecast_log_latest(spark, sf_dir):
 
 @query
 def forecast_scores(spark, sf_dir):
-    return scoring.score_forecasts(scoring.latest_log(forecast_log(spark, sf_dir)), hourly_features(spark, sf_dir))
+    return scoring.score_forecasts(scoring.latest_log(forecast_log(spark, sf_dir)), stored_hourly_features(spark, sf_dir))
 
 
 @query
 def forecast_error(spark, sf_dir):
     log = scoring.latest_log(forecast_log(spark, sf_dir))
-    return scoring.error_report(log, hourly_features(spark, sf_dir)).drop("biggest_misses")
+    return scoring.error_report(log, stored_hourly_features(spark, sf_dir)).drop("biggest_misses")
 
 
 @query
 def biggest_misses(spark, sf_dir):
     log = scoring.latest_log(forecast_log(spark, sf_dir))
-    return scoring.biggest_misses(scoring.score_forecasts(log, hourly_features(spark, sf_dir)))
+    return scoring.biggest_misses(scoring.score_forecasts(log, stored_hourly_features(spark, sf_dir)))
 
 
 # --- store and ingest ----------------------------------------------------------------
@@ -548,15 +559,15 @@ def as_of(raw: DataFrame):
 
 def forecast_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(inputs with persistence as prediction, persistence intervals) on the hourly panel."""
-    rows = materialize(hourly_features(spark, sf_dir), "features")
+    rows = stored_hourly_features(spark, sf_dir)
     inputs = forecast.forecast_inputs(rows, as_of(rows))
-    intervals = metrics.residual_intervals(_persistence(supervised.make_supervised(rows)))
+    intervals = metrics.residual_intervals(_persistence(stored_once(spark, sf_dir, hourly_supervised)))
     return _persistence(inputs), materialize(intervals, "intervals")
 
 
 @query
 def as_of_anchor(spark, sf_dir):
-    rows = hourly_features(spark, sf_dir)
+    rows = stored_hourly_features(spark, sf_dir)
     return forecast.anchors(rows, as_of(hourly(spark, sf_dir)))
 
 
@@ -568,7 +579,7 @@ def next_hours(spark, sf_dir):
 
 @query
 def forecast_inputs(spark, sf_dir):
-    rows = hourly_features(spark, sf_dir)
+    rows = stored_hourly_features(spark, sf_dir)
     return forecast.forecast_inputs(rows, as_of(hourly(spark, sf_dir)))
 
 
@@ -664,7 +675,7 @@ def scenarios(spark, sf_dir) -> DataFrame:
 
 
 def _scenario_base(spark, sf_dir):
-    rows = materialize(hourly_features(spark, sf_dir), "features")
+    rows = stored_hourly_features(spark, sf_dir)
     asked = scenarios(spark, sf_dir)
     return scenario.base_vectors(rows, asked, as_of(rows)), asked, rows
 
@@ -700,7 +711,7 @@ def scenario_deltas(spark, sf_dir):
 @query
 def scenario_scores(spark, sf_dir):
     base, asked, rows = _scenario_base(spark, sf_dir)
-    train = materialize(supervised.make_supervised(rows), "supervised")
+    train = stored_once(spark, sf_dir, hourly_supervised)
     fitted = models.fit_candidates(train, {"Ridge": models.ridge(train)})["Ridge"]
     return scenario.simulate(base, asked, fitted.predict)
 
@@ -709,7 +720,7 @@ def scenario_scores(spark, sf_dir):
 
 
 def _sequences(spark, sf_dir):
-    rows = materialize(reading_features(spark, sf_dir), "features")
+    rows = stored_once(spark, sf_dir, reading_features)
     return sequences.build_sequences(rows, block_seconds=block_seconds(spark, sf_dir))
 
 
@@ -726,13 +737,13 @@ def sequence_windows(spark, sf_dir):
 
 @query
 def sequence_baseline(spark, sf_dir):
-    return sequences.sequence_baseline(materialize(_sequences(spark, sf_dir), "sequences"))
+    return sequences.sequence_baseline(stored_once(spark, sf_dir, _sequences))
 
 
 @query
 def sequence_regressor(spark, sf_dir):
     """Ridge on the flattened window against persistence, same task and split."""
-    rows = sequences.flatten_windows(materialize(_sequences(spark, sf_dir), "sequences"))
+    rows = sequences.flatten_windows(stored_once(spark, sf_dir, _sequences))
     return sequences.compare_regressor(rows)
 
 
@@ -770,8 +781,8 @@ def walk_forward_ridge(spark, sf_dir):
 
 
 def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:
-    rows = materialize(hourly_features(spark, sf_dir), "features")
-    train = materialize(supervised.make_supervised(rows), "supervised")
+    rows = stored_hourly_features(spark, sf_dir)
+    train = stored_once(spark, sf_dir, hourly_supervised)
     fitted = models.fit_candidates(train, {"Ridge": models.ridge(train)})["Ridge"]
     intervals = metrics.residual_intervals(fitted.predict(train))
     bundle = ModelBundle("Ridge", fitted.model, intervals, "2024-01-01T00:00:00")
@@ -878,7 +889,7 @@ def stream_unique(spark, sf_dir):
 @query
 def stream_scoring(spark, sf_dir):
     """Forecasts and actual values as two streams; days closed by the watermark."""
-    rows = materialize(hourly_features(spark, sf_dir), "features")
+    rows = stored_hourly_features(spark, sf_dir)
     logged, actual, out = (scratch_path(spark, n) for n in ("log", "actual", "scores"))
     log = rows.where(F.col("aqi_lag_24h").isNotNull()).select(
         "city", F.col("datetime").alias("target_datetime"), F.col("aqi_lag_24h").alias("predicted_aqi")
