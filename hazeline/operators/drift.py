@@ -51,7 +51,7 @@ def population_stability(rows: DataFrame, bins: int = BINS) -> DataFrame:
     # one row per feature, so the broadcast side is as long as the feature list
     marked = rows.join(F.broadcast(edges), "feature", "left")
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    bin_of = F.size(F.filter(inner, lambda e: e <= F.col("value")))
+    bin_of = F.coalesce(F.size(F.filter(inner, lambda e: e <= F.col("value"))), F.lit(0))
     counts = (
         marked.groupBy("feature", "edges", bin_of.alias("bin"))
         .agg(F.count_if(~F.col("recent")).alias("ref"), F.count_if(F.col("recent")).alias("cur"))
@@ -69,7 +69,7 @@ def population_stability(rows: DataFrame, bins: int = BINS) -> DataFrame:
         cur = F.coalesce(found["cur"], F.lit(0)) / F.nullif(F.col("n_cur"), F.lit(0)) + F.lit(EPSILON)
         return (cur - ref) * F.ln(cur / ref)
 
-    every_bin = F.sequence(F.lit(0), F.size("edges") - 2)
+    every_bin = F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))
     psi = F.aggregate(F.transform(every_bin, term), F.lit(0.0), lambda s, x: s + x)
     comparable = (
         (F.col("n_ref") >= MIN_REFERENCE) & (F.col("n_cur") >= MIN_RECENT) & (F.size("edges") >= MIN_EDGES)
