@@ -53,7 +53,7 @@ def suggest_block_seconds(
     if target_rows is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
         target_rows = min(max(total // (2 * cores), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS)
-    return int(min(max(target_rows * 86400 // densest, 60), DEFAULT_BLOCK_SECONDS))
+    return int(min(max(target_rows * 86400 // densest, 1), DEFAULT_BLOCK_SECONDS))
 
 
 def _tail_start(j: int, seconds: int) -> str:
@@ -135,17 +135,16 @@ def with_halo(
     return own.unionByName(halo, allowMissingColumns=True)
 
 
-def with_time_halo(
-    df: DataFrame, *, seconds_back: int, seconds: int, time: str = "datetime"
-) -> DataFrame:
-    """Halo by elapsed time: rows near the end of a block are copied into the next one."""
-    if seconds < seconds_back:
-        raise ValueError("a block must be at least as long as its halo")
-    block = block_of(time, seconds)
-    own = F.struct(block.alias(BLOCK), F.lit(True).alias(OWN))
-    copy = F.struct((block + 1).alias(BLOCK), F.lit(False).alias(OWN))
-    in_tail = epoch_seconds(F.col(time)) >= (block + 1) * F.lit(seconds) - F.lit(seconds_back)
-    return df.select("*", F.inline(F.when(in_tail, F.array(own, copy)).otherwise(F.array(own))))
+def with_time_halo(df: DataFrame, *, seconds_back: int, seconds: int, time: str = "datetime") -> DataFrame:
+    """Halo by elapsed time: a row is copied into the later blocks it can still matter to.
+
+    With blocks longer than the look-back that is at most the next block.
+    """
+    epoch = f"unix_seconds(CAST({time} AS timestamp))"
+    block = f"CAST(floor({epoch} / {seconds}D) AS bigint)"
+    last = f"CAST(floor(({epoch} + {seconds_back}) / {seconds}D) AS bigint)"
+    copies = f"transform(sequence({block}, {last}), b -> struct(b AS {BLOCK}, b = {block} AS {OWN}))"
+    return df.select("*", F.expr(f"inline({copies})"))
 
 
 def block_window(key: str = "city", time: str = "datetime"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,41 +49,59 @@ BLOCK_ROWS = f"PARTITION BY city, {BLOCK} ORDER BY datetime"
 BLOCK_CLOCK = f"PARTITION BY city, {BLOCK} ORDER BY unix_seconds(CAST(datetime AS timestamp))"
 
 
-def _offset_columns(columns, at, frame) -> dict:
+@dataclass(frozen=True)
+class Offsets:
+    """Window columns, and the feature columns made from them, as SQL text.
+
+    Each window is evaluated once, however many features use it.
+    """
+
+    windows: dict[str, str]
+    derived: dict[str, str]
+
+    def apply(self, blocked: DataFrame, row: dict) -> DataFrame:
+        helpers = [n for n in self.windows if n.startswith("_")]
+        windowed = blocked.select("*", *[F.expr(f"{e} AS {n}") for n, e in self.windows.items()])
+        derived = [F.expr(f"{e} AS {n}") for n, e in self.derived.items()]
+        kept = [c for c in windowed.columns if c not in helpers]
+        return windowed.select(*kept, *[e.alias(n) for n, e in row.items()], *derived)
+
+
+def _offsets(columns, at, frame) -> Offsets:
     """Change, lag and rolling columns; ``at(column, n)`` is the value n hours back."""
-    previous = at("aqi", 1)
-    out = {
-        "aqi_change_1h": f"aqi - {previous}",
-        "aqi_change_24h": f"aqi - {at('aqi', DAY_OFFSET)}",
-        "aqi_change_rate": f"(aqi - {previous}) / nullif({previous}, 0)",
-    }
     series = [c for c in SERIES if c in columns]
-    out |= {f"{c}_lag_{n}h": at(c, n) for c in series for n in LAGS}
+    windows = {f"{c}_lag_{n}h": at(c, n) for c in series for n in LAGS}
+    derived = {
+        "aqi_change_1h": "aqi - aqi_lag_1h",
+        "aqi_change_24h": f"aqi - aqi_lag_{DAY_OFFSET}h",
+        "aqi_change_rate": "(aqi - aqi_lag_1h) / nullif(aqi_lag_1h, 0)",
+    }
     for c in series:
         for n in ROLLING:
             over = f"OVER ({frame(n)})"
+            windows[f"_{c}_n_{n}h"] = f"count({c}) {over}"
             for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max")):
-                enough = f"count({c}) {over} >= {max(2, n // 2)}"
-                out[f"{c}_roll_{name}_{n}h"] = f"CASE WHEN {enough} THEN {fn}({c}) {over} END"
-    return {name: F.expr(text) for name, text in out.items()}
+                windows[f"_{c}_{name}_{n}h"] = f"{fn}({c}) {over}"
+                derived[f"{c}_roll_{name}_{n}h"] = f"CASE WHEN _{c}_n_{n}h >= {max(2, n // 2)} THEN _{c}_{name}_{n}h END"
+    return Offsets(windows, derived)
 
 
-def row_offset_columns(columns) -> dict:
+def row_offsets(columns) -> Offsets:
     """Offsets count rows: "n hours" means n rows."""
-    return _offset_columns(
+    return _offsets(
         columns,
         lambda c, n: f"lag({c}, {n}) OVER ({BLOCK_ROWS})",
         lambda n: f"{BLOCK_ROWS} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING",
     )
 
 
-def clock_offset_columns(columns) -> dict:
+def clock_offsets(columns) -> Offsets:
     """Offsets are elapsed time; a missing hour gives a missing value."""
 
     def span(first, last):
         return f"{BLOCK_CLOCK} RANGE BETWEEN {first} PRECEDING AND {last} PRECEDING"
 
-    return _offset_columns(
+    return _offsets(
         columns,
         lambda c, n: f"max({c}) OVER ({span(n * HOUR, n * HOUR)})",
         lambda n: span(n * HOUR, 1),
@@ -109,7 +129,7 @@ def feature_windows(
         seconds=block_seconds,
         counted=F.col("aqi").isNotNull() if extra_rows else None,
     )
-    return blocked.select("*", *_named(row_columns(rows) | row_offset_columns(rows.columns)))
+    return row_offsets(rows.columns).apply(blocked, row_columns(rows))
 
 
 def build_features(
@@ -129,12 +149,9 @@ def build_features(
         blocked = feature_windows(raw, block_seconds=block_seconds, truncate=truncate)
     elif mode == "time":
         rows = with_time_halo(add_target(raw, truncate), seconds_back=ROWS_BACK * HOUR, seconds=block_seconds)
-        blocked = rows.select("*", *_named(row_columns(rows) | clock_offset_columns(rows.columns)))
+        blocked = clock_offsets(rows.columns).apply(rows, row_columns(rows))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     out = own_rows(blocked)
     return out.where(F.col("aqi").isNotNull()) if dropna_target else out
 
-
-def _named(columns: dict) -> list:
-    return [expr.alias(name) for name, expr in columns.items()]

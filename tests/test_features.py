@@ -91,7 +91,7 @@ def test_change_rate_and_min_periods(spark):
 
 def test_clock_mode_leaves_missing_hours_empty(spark):
     frame = synthetic_city(100).drop(index=[50]).reset_index(drop=True)
-    for seconds in (2 * DAY, 30 * DAY):
+    for seconds in (5 * 3600, 2 * DAY, 30 * DAY):
         got = by_key(build_features(panel(spark, frame), mode="time", block_seconds=seconds), "aqi", "aqi_lag_1h", "aqi_lag_24h")
         at = got.set_index("datetime")
         hour = pd.Timestamp("2024-01-03 03:00")
