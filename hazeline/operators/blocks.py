@@ -23,7 +23,7 @@ BLOCK = "_block"
 OWN = "_own"
 
 DEFAULT_BLOCK_SECONDS = 180 * 24 * 3600
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 2_000, 50_000
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 1_000, 50_000
 MAX_BROADCAST_RANGES = 50_000
 MICROS = 1_000_000
 
@@ -52,7 +52,7 @@ def suggest_block_seconds(
         return DEFAULT_BLOCK_SECONDS
     if target_rows is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        target_rows = min(max(total // (2 * cores), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS)
+        target_rows = min(max(total // (8 * cores), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS)
     return int(min(max(target_rows * 86400 // densest, 1), DEFAULT_BLOCK_SECONDS))
 
 
