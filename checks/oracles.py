@@ -534,4 +534,7 @@ SELECT feature, {r6('mean')}, {label_case('feature')} AS label FROM long""",
 FROM sup WHERE datetime <= {CUTOFF.format('sup')}""",
     "stream_refresh": f"{HOURLY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",
     "stream_unique": f"{ON_HOURLY} SELECT city, datetime, {r6('pm10')} FROM raw",
+    "stream_scoring": f"""{HOURLY_FEATURES} SELECT CAST(date_trunc('day', datetime) AS TIMESTAMP) AS day, count(*) AS scored, {r6('avg(abs(aqi_lag_24h - aqi))', 'mae')}
+FROM feats WHERE aqi_lag_24h IS NOT NULL GROUP BY 1
+HAVING date_trunc('day', min(datetime)) + INTERVAL 1 DAY <= (SELECT max(datetime) - INTERVAL 3 DAYS FROM feats)""",
 }
