@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import completion, linkgraph, matrices, oracles, sharding
+from hazeline.llm import completion, linkgraph, matrices, oracles, sharding, simhash, suffixes
 from hazeline.llm.common import documents
 from hazeline.llm.tokens import tokenizer_path
 
@@ -14,6 +14,11 @@ def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.packed_matrices(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each text when repeats of 20 words or more keep their first place."""
+    return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, and the link graph's verdict on hosts without one."""
     return linkgraph.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -24,6 +29,11 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and their components at 3 bits or fewer."""
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), 3)
+
+
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of 2048 tokens as the search finds."""
     return completion.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
@@ -31,8 +41,10 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_matrices": op1_token_matrices,
+    "op3_suffix_trees": op3_suffix_trees,
     "op4_url_linkgraph": op4_url_linkgraph,
     "op5_hash_tree_shards": op5_hash_tree_shards,
+    "op6_simhash_bytes": op6_simhash_bytes,
     "op9_bin_completion": op9_bin_completion,
 }
 ORACLES = {
