@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import completion, linkgraph, matrices, oracles, sharding, simhash, suffixes
+from hazeline.llm import completion, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
 from hazeline.llm.common import documents
 from hazeline.llm.tokens import tokenizer_path
 
@@ -14,6 +14,13 @@ def op1_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.packed_matrices(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op2_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels of four fifths of the ids."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, machine)
+
+
 def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each text when repeats of 20 words or more keep their first place."""
     return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
@@ -34,6 +41,13 @@ def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), 3)
 
 
+def op7_quality_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the calibrated regression's verdict on every text."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, model).drop("text")
+
+
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of 2048 tokens as the search finds."""
     return completion.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
@@ -41,10 +55,12 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_matrices": op1_token_matrices,
+    "op2_toxicity_machine": op2_toxicity_machine,
     "op3_suffix_trees": op3_suffix_trees,
     "op4_url_linkgraph": op4_url_linkgraph,
     "op5_hash_tree_shards": op5_hash_tree_shards,
     "op6_simhash_bytes": op6_simhash_bytes,
+    "op7_quality_regression": op7_quality_regression,
     "op9_bin_completion": op9_bin_completion,
 }
 ORACLES = {
