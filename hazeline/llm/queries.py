@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import completion, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
+from hazeline.llm import completion, lines, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
 from hazeline.llm.common import documents
 from hazeline.llm.tokens import tokenizer_path
 
@@ -53,6 +53,11 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completion.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that are alike to an earlier line, and its number of links."""
+    return lines.line_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_matrices": op1_token_matrices,
     "op2_toxicity_machine": op2_toxicity_machine,
@@ -62,6 +67,7 @@ QUERIES = {
     "op6_simhash_bytes": op6_simhash_bytes,
     "op7_quality_regression": op7_quality_regression,
     "op9_bin_completion": op9_bin_completion,
+    "op10_line_join": op10_line_join,
 }
 ORACLES = {
     "op4_url_linkgraph": oracles.pages_sql(),
