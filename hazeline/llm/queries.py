@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hazeline.llm import completion, lines, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
+from hazeline.llm import completion, leaks, lines, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
 from hazeline.llm.common import documents
 from hazeline.llm.tokens import tokenizer_path
 
@@ -48,6 +49,19 @@ def op7_quality_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op8_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each text holds, whole or with a tenth of their characters edited."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.col("leaks.edits").alias("edits"),
+    )
+
+
 def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of 2048 tokens as the search finds."""
     return completion.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
@@ -66,6 +80,7 @@ QUERIES = {
     "op5_hash_tree_shards": op5_hash_tree_shards,
     "op6_simhash_bytes": op6_simhash_bytes,
     "op7_quality_regression": op7_quality_regression,
+    "op8_qgram_bands": op8_qgram_bands,
     "op9_bin_completion": op9_bin_completion,
     "op10_line_join": op10_line_join,
 }
