@@ -52,16 +52,17 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """doc_id and signed 64-bit ``fp`` of every row; A-Z are lower-cased, other letters kept."""
+    """doc_id, text_hash and signed 64-bit ``fp`` of every row; A-Z are lower-cased, other letters kept."""
     small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py(), shingle_words) for t in batch.column("text")]
             fp = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(fp)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class Parts:
@@ -217,22 +218,38 @@ def links(distinct: DataFrame) -> DataFrame:
     return first.where("b IS NOT NULL").select("a", "b").union(second.select("a", "b"))
 
 
+def members(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp, component_id and ``root`` (a fingerprint that names the component) of every row."""
+    prints = store(fingerprints(docs, shingle_words), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    tied = connected_components(links(distinct.select("fp")))
+    named = distinct.join(tied, distinct["fp"] == tied["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(named.join(component, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     ``component_id`` is the smallest doc_id that links reach, a link being at most 3
     differing bits; equal fingerprints are always linked, also those of texts without words
-    (zero) and of null texts. Null doc_ids never name a component unless it has no other.
+    (zero) and of null texts. It is null only where no row of the component has an id.
     Repeated rows come back as often as they are there; no rows, no result.
     """
-    prints = store(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    members = connected_components(links(distinct.select("fp")))
-    named = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = named.join(component, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    return members(docs, shingle_words).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def first_of_each(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: the smallest doc_id, then the smallest hash of the text.
+
+    Null ids come last, and of equal rows one stays.
+    """
+    key = ("_null", "_id", "_hash")
+    place = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    stays = members(docs, shingle_words).groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    placed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")})
+    return placed.join(stays, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)

@@ -102,3 +102,10 @@ def test_null_ids_do_not_name_components(spark):
     rows = [(None, "a b c d"), (9, "a b c d"), (None, "q w e r t y u")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == [(9, 9), (None, 9), (None, None)]
+
+
+def test_first_of_each_component_stays(spark):
+    rows = [(5, "a b c d", "x"), (3, "A b c d", "y"), (3, "A b c d", "y"), (None, "a b c d", "z"), (9, "q w e r", "x"), (3, "k l m n o", None), (None, "only nulls here", "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)
+    got = sorted([tuple(r) for r in simhash.first_of_each(frame).collect()], key=str)
+    assert got == sorted([(3, "A b c d", "y"), (9, "q w e r", "x"), (3, "k l m n o", None), (None, "only nulls here", "n")], key=str)
