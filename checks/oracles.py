@@ -190,10 +190,14 @@ SUPERVISED = f"""
 shifted AS ({SHIFTED}),
 sup AS (SELECT * FROM shifted WHERE y_aqi IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in ANCHOR_COLUMNS)})"""
 
+GAPS = ", ".join(f"CASE WHEN (day(datetime) * 5 + hour(datetime)) % 9 <> 0 THEN {c} END AS {c}" for c in ("us_aqi", "pm2_5", "pm10"))
+HOURLY_WITH_GAPS = f"{HOURLY.replace('raw AS (', 'whole AS (')}, raw AS (SELECT * REPLACE ({GAPS}) FROM whole)"
 ON_READINGS = f"WITH {READINGS}, {TARGET}"
 ON_HOURLY = f"WITH {HOURLY}, {TARGET}"
 READING_FEATURES = f"{ON_READINGS}, {FEATURES}"
 HOURLY_FEATURES = f"{ON_HOURLY}, {FEATURES}"
+GAPPY_FEATURES = f"WITH {HOURLY_WITH_GAPS}, {TARGET}, {FEATURES}"
+REFRESHED = ", ".join(r6(c) for c in ("aqi", "aqi_lag_1h", "aqi_lag_24h", "aqi_roll_mean_24h", "aqi_change_rate", "pm10_roll_std_6h"))
 READING_SUPERVISED = f"{READING_FEATURES}, {SUPERVISED}"
 HOURLY_SUPERVISED = f"{HOURLY_FEATURES}, {SUPERVISED}"
 
@@ -486,13 +490,18 @@ WHERE day(datetime) = 13 GROUP BY city""",
     "feature_upsert": UPSERT,
     "keep_first_copy": copies("ASC"),
     "keep_last_copy": copies("DESC"),
-    "resume_missing": """SELECT CAST(c_custkey AS VARCHAR) AS name, c_mktsegment FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
-    "stored_cities": f"WITH {READINGS} SELECT DISTINCT city FROM raw WHERE city IS NOT NULL",
+    "resume_missing": """SELECT CAST(doc_id AS VARCHAR) AS name, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "stored_cities": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS city FROM events WHERE value IS NOT NULL",
     "range_chunks": chunks("b - 1"),
     "range_chunks_inclusive": chunks("b"),
     "refreshed_store": f"""{HOURLY_FEATURES} SELECT city, datetime, timestamp, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_mean_24h')},
 {r6('aqi_change_rate')} FROM feats""",
+    "refresh_late": f"{GAPPY_FEATURES} SELECT city, datetime, timestamp, {REFRESHED} FROM feats",
+    "refresh_sparse_duplicates": f"{GAPPY_FEATURES} SELECT city, datetime, timestamp, {REFRESHED} FROM feats",
+    "ingest_rejects": f"""{ON_HOURLY}, docs AS (SELECT city, day(datetime) AS d, count(*) AS n FROM raw GROUP BY 1, 2, CAST(datetime AS DATE)),
+found AS (SELECT city, CASE WHEN d = 13 THEN 'no times' WHEN d = 5 AND n > 1 THEN 'arrays of unequal length' WHEN d = 7 THEN 'not a time: soon' END AS reason FROM docs
+UNION ALL SELECT city, 'unknown station' FROM docs WHERE city = 'view' AND d <> 13)
+SELECT city, 'air_quality' AS source, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY 1, 3""",
     "province_cities": """SELECT r_name AS province, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS cities FROM supplier
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "leaderboard_history": LEADERBOARD,
@@ -502,8 +511,8 @@ WHERE o_orderpriority <> '5-LOW' GROUP BY 1 ORDER BY avg(o_totalprice / 7777.0e0
     "next_hours": f"""{ON_HOURLY} SELECT city, datetime, CAST(step AS INTEGER) AS step, {r6('pm10')} FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime) AS step
 FROM raw WHERE datetime > (SELECT min(datetime) + INTERVAL 100 HOURS FROM raw)) WHERE step <= 72""",
     "forecast_inputs": f"{HOURLY_FEATURES}, {ANCHOR_ROWS} SELECT {picked(['city', 'datetime', *FEATURE_COLUMNS])} FROM inputs",
-    "skipped_stations": f"""WITH {READINGS} SELECT city, max(datetime) AS newest FROM raw GROUP BY city
-HAVING max(datetime) <= (SELECT date_trunc('hour', max(datetime)) FROM raw)""",
+    "skipped_stations": """SELECT CAST(user_id AS VARCHAR) AS city, max(ts) AS newest FROM events GROUP BY user_id
+HAVING max(ts) <= (SELECT date_trunc('hour', max(ts) - INTERVAL 1 DAY) FROM events)""",
     "nearest_horizon_interval": f"{FORECAST} SELECT city, datetime, horizon, {r6('low')}, {r6('high')}, {r6('lower')}, {r6('upper')} FROM bounded",
     "forecast_hours": f"{FORECAST} SELECT * FROM hours",
     "daily_rollup": f"{FORECAST} SELECT * FROM days",
@@ -532,9 +541,8 @@ SELECT feature, {r6('mean')}, {label_case('feature')} AS label FROM long""",
     "scaling_statistics": f"""{READING_SUPERVISED} SELECT {', '.join(
         f"{r6(f'avg({c})', f'mean_{c}')}, {r6(f'stddev_pop({c})', f'sd_{c}')}" for c in ('temperature_2m', 'surface_pressure', 'aqi_anchor'))}
 FROM sup WHERE datetime <= {CUTOFF.format('sup')}""",
-    "stream_refresh": f"{HOURLY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",
+    "stream_refresh": f"{GAPPY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",
     "stream_unique": f"{ON_HOURLY} SELECT city, datetime, {r6('pm10')} FROM raw",
     "stream_scoring": f"""{HOURLY_FEATURES} SELECT CAST(date_trunc('day', datetime) AS TIMESTAMP) AS day, count(*) AS scored, {r6('avg(abs(aqi_lag_24h - aqi))', 'mae')}
-FROM feats WHERE aqi_lag_24h IS NOT NULL GROUP BY 1
-HAVING date_trunc('day', min(datetime)) + INTERVAL 1 DAY <= (SELECT max(datetime) - INTERVAL 3 DAYS FROM feats)""",
+FROM feats WHERE aqi_lag_24h IS NOT NULL GROUP BY 1""",
 }

@@ -134,6 +134,17 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_once(spark, sf_dir, derive_hourly)
 
 
+def untargeted(hour: str = "datetime"):
+    """Hours without any index: every 9th by day and hour."""
+    return (F.dayofmonth(hour) * 5 + F.hour(hour)) % 9 == 0
+
+
+def hourly_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hourly`` where the vendor index and both particle readings are missing at times."""
+    none = {c: F.when(~untargeted(), F.col(c)) for c in ("us_aqi", "pm2_5", "pm10")}
+    return hourly(spark, sf_dir).withColumns(none)
+
+
 _block_cache: dict[tuple[str, str], int] = {}
 
 

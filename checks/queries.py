@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.panels import block_seconds, hourly, readings, station_dim, stored_once, table
+from checks.panels import block_seconds, hourly, hourly_with_gaps, readings, station_dim, stored_once, table
 from hazeline import schemas
 from hazeline.functions import clock, index, text
 from hazeline.operators import (
@@ -471,15 +471,21 @@ def keep_last_copy(spark, sf_dir):
 
 @query
 def resume_missing(spark, sf_dir):
-    """Customers without orders, as stations that still have to be loaded."""
-    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), "c_mktsegment")
-    stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("city")).distinct()
+    """Documents without labels, as stations that still have to be loaded."""
+    wanted = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "source")
+    stored = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("city")).distinct()
     return store.missing_cities(wanted, stored)
 
 
 @query
 def stored_cities(spark, sf_dir):
-    return readings(spark, sf_dir).select("city").where(F.col("city").isNotNull()).distinct()
+    """Users as stations of a stored table, named by the store."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("city"), F.col("ts").alias("datetime"), clock.epoch_seconds(F.col("ts")).alias("timestamp"), F.col("value").alias("aqi")
+    )
+    target = store.FeatureStore(spark, scratch_path(spark, "store"))
+    target.upsert(rows)
+    return target.cities()
 
 
 def _order_ranges(spark, sf_dir):
@@ -511,6 +517,47 @@ def refreshed_store(spark, sf_dir):
     return target.read().select(*KEY, "timestamp", "aqi", "aqi_lag_24h", "aqi_roll_mean_24h", "aqi_change_rate")
 
 
+REFRESHED = ("timestamp", "aqi", "aqi_lag_1h", "aqi_lag_24h", "aqi_roll_mean_24h", "aqi_change_rate", "pm10_roll_std_6h")
+
+
+@query
+def refresh_late(spark, sf_dir):
+    """A week in the middle arrives after the days that follow it; some hours have no target."""
+    raw = hourly_with_gaps(spark, sf_dir)
+    day = F.dayofmonth("datetime")
+    target = store.FeatureStore(spark, scratch_path(spark, "store"))
+    ingest.backfill(target, raw.where(day < 10), station_dim(spark))
+    ingest.refresh(target, raw.where(day >= 17))
+    ingest.refresh(target, raw.where((day >= 10) & (day < 17)))
+    return target.read().select(*KEY, *REFRESHED)
+
+
+@query
+def refresh_sparse_duplicates(spark, sf_dir):
+    """Every 11th hour comes again, first wrong and then corrected, all in one batch."""
+    raw = hourly_with_gaps(spark, sf_dir)
+    sparse = F.hour("datetime") % 11 == 0
+    target = store.FeatureStore(spark, scratch_path(spark, "store"))
+    ingest.backfill(target, raw.where(~sparse | (F.dayofmonth("datetime") > 12)).withColumn("us_aqi", F.when(~sparse, F.col("us_aqi"))), station_dim(spark))
+    right = raw.where(sparse).withColumn("_seq", F.lit(2))
+    wrong = right.withColumn("us_aqi", F.lit(499.0)).withColumn("_seq", F.lit(1))
+    ingest.refresh(target, right.unionByName(wrong))
+    return target.read().select(*KEY, *REFRESHED)
+
+
+@query
+def ingest_rejects(spark, sf_dir):
+    """Reasons why documents, or hours of them, give no rows."""
+    docs, _ = payload_documents(hourly(spark, sf_dir))
+    day = F.dayofmonth(F.element_at("hourly.time", 1).cast("timestamp_ntz"))
+    short = F.col("hourly").withField("pm10", F.slice("hourly.pm10", 1, 1))
+    broken = F.col("hourly").withField("time", F.transform("hourly.time", lambda t, i: F.when(i == 0, F.lit("soon")).otherwise(t)))
+    hours = F.when((day == 5) & (F.size("hourly.time") > 1), short).when(day == 7, broken).otherwise(F.col("hourly"))
+    known = station_dim(spark).where("name != 'view'")
+    found = payload.payload_rejects(docs.withColumn("hourly", hours), schemas.AIR_QUALITY_VARS, known)
+    return found.groupBy("city", "source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def province_cities(spark, sf_dir):
     """Nations with suppliers, grouped by region."""
@@ -585,9 +632,9 @@ def forecast_inputs(spark, sf_dir):
 
 @query
 def skipped_stations(spark, sf_dir):
-    """Stations whose newest reading is older than the newest of all by the cut-off."""
-    rows = readings(spark, sf_dir)
-    return forecast.stations_without_future(rows, rows.agg(F.max("datetime")).scalar())
+    """Users, as stations, that have no reading in the last day."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("city"), F.col("ts").alias("datetime"))
+    return forecast.stations_without_future(rows, rows.agg(F.max("datetime")).scalar() - F.expr("interval 1 day"))
 
 
 @query
@@ -861,11 +908,13 @@ def scaling_statistics(spark, sf_dir):
 
 @query
 def stream_refresh(spark, sf_dir):
-    """Hourly rows arriving as files, refreshed into a store, read back."""
+    """Hourly rows arriving as files, the newest first, refreshed in one batch each, read back."""
     source = scratch_path(spark, "landed")
-    raw = hourly(spark, sf_dir)
-    raw.write.parquet(source)
-    stream = spark.readStream.schema(raw.schema).parquet(source)
+    raw = hourly_with_gaps(spark, sf_dir)
+    third = F.floor((F.dayofmonth("datetime") - 1) / 10)
+    for n in (2, 0, 1):
+        raw.where(third == n if n < 2 else third >= n).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
     target = store.FeatureStore(spark, scratch_path(spark, "store"))
     jobs.start_refresh(stream, target, scratch_path(spark, "offsets")).awaitTermination()
     return target.read().select(*KEY, "aqi", "aqi_lag_24h", "aqi_roll_std_24h")
@@ -888,7 +937,7 @@ def stream_unique(spark, sf_dir):
 
 @query
 def stream_scoring(spark, sf_dir):
-    """Forecasts and actual values as two streams; days closed by the watermark."""
+    """Forecasts and actual values as two streams, and the error of every day."""
     rows = stored_hourly_features(spark, sf_dir)
     logged, actual, out = (scratch_path(spark, n) for n in ("log", "actual", "scores"))
     log = rows.where(F.col("aqi_lag_24h").isNotNull()).select(
@@ -897,14 +946,9 @@ def stream_scoring(spark, sf_dir):
     log.write.parquet(logged)
     actual_rows = rows.select("city", "datetime", "aqi")
     actual_rows.write.parquet(actual)
-    scores = jobs.score_live(
+    pairs = jobs.score_live(
         spark.readStream.schema(log.schema).parquet(logged),
         spark.readStream.schema(actual_rows.schema).parquet(actual),
     )
-    (
-        scores.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "offsets"))
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
-    done = spark.read.schema(scores.schema).parquet(out)
-    return done.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "scored", "mae")
+    jobs.start_scoring(pairs, out, scratch_path(spark, "offsets")).awaitTermination()
+    return jobs.daily_scores(spark, out).withColumn("day", F.col("day").cast("timestamp_ntz"))

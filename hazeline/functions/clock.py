@@ -20,10 +20,6 @@ def epoch_micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def from_epoch_seconds(seconds: Column) -> Column:
-    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
-
-
 def from_epoch_micros(micros: Column) -> Column:
     return F.timestamp_micros(micros.cast("long")).cast("timestamp_ntz")
 

@@ -11,24 +11,17 @@ from hazeline.functions.index import category_name
 from hazeline.operators.forecast import anchors, next_rows
 from hazeline.operators.supervised import FEATURE_COLUMNS, TARGET_TIME_FEATURES
 
-# Settings a scenario may override: label, min, max, step.
-SETTINGS = {
-    "pm2_5": ("Current PM2.5 (µg/m³)", 0, 400, 5),
-    "aqi_now": ("Current AQI", 0, 500, 5),
-    "wind_speed": ("Wind speed (km/h)", 0, 40, 1),
-    "humidity": ("Humidity (%)", 0, 100, 5),
-    "temperature": ("Temperature (°C)", -5, 50, 1),
-}
 # Fixed value: gusts implied by a wind speed.
 GUST_FACTOR = 1.4
 
 
-def base_vectors(features: DataFrame, requests: DataFrame, as_of, max_horizon: int = 72) -> DataFrame:
+def base_vectors(features: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     """Model input for each requested ``(city, horizon)``.
 
     The target is the horizon-th future row, or the last one when the future is shorter.
     """
-    future = next_rows(features, as_of, max_horizon).select("city", "step", *TARGET_TIME_FEATURES)
+    furthest = requests.agg(F.max("horizon")).first()[0] or 1
+    future = next_rows(features, as_of, furthest).select("city", "step", *TARGET_TIME_FEATURES)
     lengths = future.groupBy("city").agg(F.max("step").alias("_steps"))
     wanted = requests.select("city", "horizon").distinct().join(lengths, "city")
     wanted = wanted.select("city", "horizon", F.least(F.col("horizon"), F.col("_steps")).alias("step"))

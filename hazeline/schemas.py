@@ -77,7 +77,7 @@ BREAKPOINT_DIM = T.StructType(
 
 
 def payload_schema(variables) -> T.StructType:
-    """One landed vendor document: parallel hourly arrays plus routing tags."""
+    """One landed vendor document: parallel hourly arrays, routing tags and the order of loading."""
     hourly = T.StructType(
         [T.StructField("time", T.ArrayType(T.StringType()))]
         + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in variables]
@@ -86,6 +86,7 @@ def payload_schema(variables) -> T.StructType:
         [
             T.StructField("city", T.StringType()),
             T.StructField("source", T.StringType()),
+            T.StructField("seq", T.LongType()),
             T.StructField("hourly", hourly),
         ]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,13 +40,13 @@ _local_scratch: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    Reads ``spark.checkpoint.dir``. A temporary folder is used only for a local
-    master, where driver and executors are the same machine.
+    Reads ``spark.checkpoint.dir``. Where it is unset, a temporary folder stands in on a
+    local master (one process, as in tests); any other master is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:

@@ -62,9 +62,14 @@ def find_city(dim: DataFrame, name: str) -> DataFrame:
 
 
 def attach_location(rows: DataFrame, dim: DataFrame) -> DataFrame:
-    """Adds each station's coordinates. The optimizer broadcasts a dimension that is small."""
-    place = dim.select(F.col("name").alias("city"), "latitude", "longitude")
-    return rows.join(place, "city")
+    """Adds each station's coordinates; an unlisted place keeps its own, or has none.
+
+    The optimizer broadcasts a dimension that is small.
+    """
+    place = dim.select(F.col("name").alias("city"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    own = [F.col(c) if c in rows.columns else F.lit(None).cast("double") for c in ("latitude", "longitude")]
+    joined = rows.join(place, "city", "left")
+    return joined.withColumns({"latitude": F.coalesce("_lat", own[0]), "longitude": F.coalesce("_lon", own[1])}).drop("_lat", "_lon")
 
 
 def cities_by_province(dim: DataFrame) -> DataFrame:

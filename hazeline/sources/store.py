@@ -1,7 +1,9 @@
 """Feature store: one Parquet table, keyed by (city, timestamp), partitioned by day.
 
 Day partitions spread a large station over the whole table, and an hourly refresh
-rewrites only the days it touches.
+rewrites only the days it touches. Hours without a target are stored too, because later
+offsets count them; readers do not see them. A small table beside it counts the rows of
+every station and day, so a refresh can tell which days it has to read.
 """
 
 from __future__ import annotations
@@ -28,19 +30,38 @@ class FeatureStore:
         self.path = f"{root.rstrip('/')}/{name}_v{version}"
         self.view = f"{name}_v{version}"
         self.pending = f"{root.rstrip('/')}/_pending_{name}_v{version}"
+        self.counts = f"{root.rstrip('/')}/_days_{name}_v{version}"
 
     def exists(self) -> bool:
         return self._fs_exists(self.path)
 
     def read(self) -> DataFrame:
-        """The whole table; consumers order it if they need to."""
+        """All rows with a target; consumers order them if they need to."""
+        return _with_target(self.read_all().drop(DAY))
+
+    def read_all(self) -> DataFrame:
+        """All stored hours, also those without a target, with their ``day``."""
         if not self.exists():
             raise FileNotFoundError(f"no feature table at {self.path}; run the backfill or the refresh first")
-        return self.spark.read.parquet(self.path).drop(DAY)
+        return self.spark.read.parquet(self.path)
 
     def between(self, first_day: str, last_day: str) -> DataFrame:
-        """Rows of some days; other partitions are not listed or read."""
-        return self.spark.read.parquet(self.path).where(F.col(DAY).between(first_day, last_day)).drop(DAY)
+        """Rows with a target of some days; other partitions are not listed or read."""
+        return _with_target(self.read_all().where(F.col(DAY).between(first_day, last_day)).drop(DAY))
+
+    def day_counts(self) -> DataFrame:
+        """city, day and number of stored hours."""
+        if not self._fs_exists(self.counts):
+            return self.read_all().groupBy("city", DAY).agg(F.count(F.lit(1)).alias("n"))
+        return self.spark.read.parquet(self.counts).select("city", DAY, "n")
+
+    def days_of(self, wanted: DataFrame) -> DataFrame:
+        """Stored hours of the given (city, day) pairs; only their day partitions are read."""
+        days = [r[0] for r in wanted.select(DAY).distinct().limit(MAX_LISTED_DAYS + 1).collect()]
+        stored = self.read_all()
+        if len(days) <= MAX_LISTED_DAYS:
+            stored = stored.where(F.col(DAY).isin(days))
+        return stored.join(wanted.select("city", DAY), ["city", DAY], "left_semi").drop(DAY)
 
     def ordered(self) -> DataFrame:
         return self.read().orderBy(*PRIMARY_KEY)
@@ -70,10 +91,10 @@ class FeatureStore:
             batch_path = f"{scratch_root(self.spark)}/upsert-{uuid.uuid4().hex}"
             incoming.write.parquet(batch_path)
             incoming = self.spark.read.parquet(batch_path)
-            incoming = merge_batches(self._stored_days(incoming), incoming)
+            layout(merge_batches(self._stored_days(incoming), incoming)).write.partitionBy(DAY).parquet(stage)
+            self._delete(batch_path)
         else:
-            incoming = merge_batches(None, incoming)
-        layout(incoming).write.partitionBy(DAY).parquet(stage)
+            layout(merge_batches(None, incoming)).write.partitionBy(DAY).parquet(stage)
         self._swap_in(stage)
 
     def _stored_days(self, incoming: DataFrame) -> DataFrame:
@@ -96,6 +117,12 @@ class FeatureStore:
                 self._swap_in(stage)
 
     def _swap_in(self, stage: str) -> None:
+        """Publishes staged days: a new table by renaming, otherwise day by day. Can be repeated."""
+        if not self.exists():
+            fs, hadoop = self._fs(stage)
+            fs.rename(hadoop, self._fs(self.path)[1])
+            self._count_days(self.spark.read.parquet(self.path))
+            return
         staged = self.spark.read.parquet(stage)
         (
             layout(staged)
@@ -104,7 +131,21 @@ class FeatureStore:
             .partitionBy(DAY)
             .parquet(self.path)
         )
-        fs, hadoop = self._fs(stage)
+        self._count_days(staged)
+        self._delete(stage)
+
+    def _count_days(self, rows: DataFrame) -> None:
+        counts = rows.groupBy("city", DAY).agg(F.count(F.lit(1)).alias("n"))
+        (
+            counts.hint("rebalance", DAY)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(DAY)
+            .parquet(self.counts)
+        )
+
+    def _delete(self, path: str) -> None:
+        fs, hadoop = self._fs(path)
         fs.delete(hadoop, True)
 
     def _fs(self, path: str):
@@ -116,6 +157,10 @@ class FeatureStore:
         return fs.exists(hadoop)
 
 
+def _with_target(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("aqi").isNotNull()) if "aqi" in rows.columns else rows
+
+
 def normalize_types(rows: DataFrame) -> DataFrame:
     """Measurements become doubles; keys, text and times stay."""
     keep = {"timestamp"}
@@ -131,11 +176,15 @@ def normalize_types(rows: DataFrame) -> DataFrame:
 
 
 def merge_batches(stored: DataFrame | None, incoming: DataFrame) -> DataFrame:
-    """Union where the incoming row of a key wins; among incoming rows the highest ``_seq``."""
+    """Union where the incoming row of a key wins; among incoming rows the highest ``_seq``.
+
+    Rows that are equal so far are ordered by their values, so the result never depends on chance.
+    """
     marked = incoming.withColumn("_batch", F.lit(1))
     if stored is not None:
         marked = stored.withColumn("_batch", F.lit(0)).unionByName(marked, allowMissingColumns=True)
-    order = ["_batch", *[c for c in ("_seq",) if c in marked.columns]]
+    rest = sorted(set(marked.columns) - {"_batch", "_seq", *PRIMARY_KEY})
+    order = ["_batch", *[c for c in ("_seq",) if c in marked.columns], *rest]
     return keep_last(marked, list(PRIMARY_KEY), order).drop("_batch", "_seq")
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hazeline.operators.blocks import DEFAULT_BLOCK_SECONDS
 from hazeline.plans.ingest import refresh
 from hazeline.sources.store import FeatureStore
 
@@ -22,7 +21,7 @@ def unique_observations(stream: DataFrame, lateness: str = "2 days") -> DataFram
 
 
 def start_refresh(
-    stream: DataFrame, store: FeatureStore, checkpoint: str, *, block_seconds: int = DEFAULT_BLOCK_SECONDS
+    stream: DataFrame, store: FeatureStore, checkpoint: str, *, block_seconds: int | None = None
 ) -> StreamingQuery:
     """Runs the batch refresh on each micro-batch, for all input there is now.
 
@@ -41,7 +40,7 @@ def start_refresh(
 
 
 def score_live(forecasts: DataFrame, actuals: DataFrame, lateness: str = "3 days") -> DataFrame:
-    """Joins a stream of forecasts with the stream of actual values and sums the error per day.
+    """Joins a stream of forecasts with the stream of actual values: day and error of each pair.
 
     Both sides are bounded by their watermark, so neither state grows without end.
     """
@@ -61,9 +60,32 @@ def score_live(forecasts: DataFrame, actuals: DataFrame, lateness: str = "3 days
         right,
         (F.col("f.city") == F.col("a.city")) & (F.col("f.target_time") == F.col("a.event_time")),
     )
-    error = F.col("predicted_aqi") - F.col("actual_aqi")
+    return joined.select("target_time", (F.col("predicted_aqi") - F.col("actual_aqi")).alias("error"))
+
+
+def start_scoring(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Adds up the errors per day in partial sums, a folder per micro-batch below ``path``.
+
+    A pair is counted in the batch that completes it, so the newest days are there at once
+    and no day is left waiting for a watermark. A replayed batch overwrites its own folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        parts = batch.groupBy(F.to_date("target_time").alias("day")).agg(
+            F.count(F.lit(1)).alias("scored"), F.sum(F.abs("error")).alias("absolute_error")
+        )
+        parts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        joined.select("target_time", error.alias("error"))
-        .groupBy(F.window("target_time", "1 day"))
-        .agg(F.count(F.lit(1)).alias("scored"), F.avg(F.abs("error")).alias("mae"))
+        scored.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def daily_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Number and mean absolute error of the forecasts of each day so far."""
+    parts = spark.read.schema("day date, scored long, absolute_error double, batch long").parquet(path)
+    total = F.sum("scored")
+    return parts.groupBy("day").agg(total.alias("scored"), (F.sum("absolute_error") / total).alias("mae"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frames import gappy, panel, synthetic_city
+from frames import gappy, panel, station_series
 from hazeline.operators import blocks
 from hazeline.operators.features import build_features
 from hazeline.operators.sequences import build_sequences
@@ -33,14 +33,14 @@ def expected_windows(features):
 
 
 def test_columns_and_key(spark):
-    got = build_features(panel(spark, synthetic_city()))
+    got = build_features(panel(spark, station_series()))
     assert len(got.columns) == 74
     times = [r[0] for r in got.select("timestamp").orderBy("datetime").collect()]
     assert times == sorted(set(times)) and len(times) == 240
 
 
 def test_stations_do_not_mix(spark):
-    raw = panel(spark, synthetic_city(city="Lahore"), synthetic_city(city="Karachi", lat=24.8, lon=67.0))
+    raw = panel(spark, station_series(city="Lahore"), station_series(city="Karachi", lat=24.8, lon=67.0))
     nulls = build_features(raw).where(F.col("aqi_lag_24h").isNull()).groupBy("city").count().collect()
     assert {r["city"]: r["count"] for r in nulls} == {"Lahore": 24, "Karachi": 24}
 
@@ -48,7 +48,7 @@ def test_stations_do_not_mix(spark):
 @pytest.mark.parametrize("seconds", [6 * 3600, 2 * DAY, 400 * DAY])
 def test_blocks_equal_whole_series(spark, seconds):
     """Gaps longer than several blocks, missing values, blocks shorter than the look-back."""
-    raw = panel(spark, gappy(1, city="A"), gappy(2, city="B", drop=0.8), synthetic_city(30, "C"))
+    raw = panel(spark, gappy(1, city="A"), gappy(2, city="B", drop=0.8), station_series(30, "C"))
     whole = by_key(build_features(raw, dropna_target=False, block_seconds=400 * DAY), "aqi", "pm2_5", "pm10")
     want = expected_windows(whole)
     columns = [c for c in want.columns if "_lag_" in c or "_roll_" in c]
@@ -73,7 +73,7 @@ def test_input_order_and_partitions_do_not_matter(spark):
 
 
 def test_no_value_of_the_row_itself_leaks_into_its_windows(spark):
-    frame = synthetic_city(60)
+    frame = station_series(60)
     bumped = frame.copy()
     bumped.loc[40, ["us_aqi", "pm2_5", "pm10"]] = 499.0
     cols = [c for c in build_features(panel(spark, frame)).columns if "_lag_" in c or "_roll_" in c]
@@ -82,7 +82,7 @@ def test_no_value_of_the_row_itself_leaks_into_its_windows(spark):
 
 
 def test_change_rate_and_min_periods(spark):
-    frame = synthetic_city(5)
+    frame = station_series(5)
     frame["us_aqi"] = [0.0, 5.0, 10.0, 20.0, 40.0]
     got = by_key(build_features(panel(spark, frame)), "aqi_change_rate", "aqi_roll_mean_6h")
     assert np.isnan(got.aqi_change_rate[:2]).all() and got.aqi_change_rate[2] == 1.0
@@ -90,7 +90,7 @@ def test_change_rate_and_min_periods(spark):
 
 
 def test_clock_mode_leaves_missing_hours_empty(spark):
-    frame = synthetic_city(100).drop(index=[50]).reset_index(drop=True)
+    frame = station_series(100).drop(index=[50]).reset_index(drop=True)
     for seconds in (5 * 3600, 2 * DAY, 30 * DAY):
         got = by_key(build_features(panel(spark, frame), mode="time", block_seconds=seconds), "aqi", "aqi_lag_1h", "aqi_lag_24h")
         at = got.set_index("datetime")
@@ -101,7 +101,7 @@ def test_clock_mode_leaves_missing_hours_empty(spark):
 
 
 def test_supervised_anchor_is_the_state_h_rows_before(spark):
-    raw = panel(spark, gappy(5, 900, city="A", drop=0.1, missing=0.05), synthetic_city(360, "B"))
+    raw = panel(spark, gappy(5, 900, city="A", drop=0.1, missing=0.05), station_series(360, "B"))
     features = build_features(raw).cache()
     want = by_key(features, "aqi", "aqi_roll_mean_24h")
     one_pass = supervised_from_raw(raw, block_seconds=3 * DAY)
@@ -123,13 +123,13 @@ def test_supervised_anchor_is_the_state_h_rows_before(spark):
 
 
 def test_supervised_horizons(spark):
-    rows = make_supervised(build_features(panel(spark, synthetic_city(360))), horizons=(1, 24))
+    rows = make_supervised(build_features(panel(spark, station_series(360))), horizons=(1, 24))
     assert {r[0] for r in rows.select("horizon").distinct().collect()} == {1, 24}
     assert HORIZONS[-1] == 72
 
 
 def test_sequences_equal_a_loop(spark):
-    raw = panel(spark, gappy(6, 700, city="A", drop=0.05, missing=0.002), synthetic_city(200, "B"))
+    raw = panel(spark, gappy(6, 700, city="A", drop=0.05, missing=0.002), station_series(200, "B"))
     features = build_features(raw).cache()
     got = build_sequences(features, block_seconds=2 * DAY).select("city", "end", "target", "datetime", F.element_at("window", 1)["pm10"].alias("first")).toPandas()
     want = []

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frames import panel, synthetic_city
+from frames import panel, station_series
 from hazeline.operators import attribution, forecast, models, scenario
 from hazeline.operators.features import build_features
 from hazeline.operators.supervised import FEATURE_COLUMNS, make_supervised, time_split
@@ -23,7 +23,7 @@ def features(spark):
     rng = np.random.default_rng(9)
     frames = []
     for i, city in enumerate(("Lahore", "Karachi")):
-        f = synthetic_city(900, city, 31.5 - i, 74.3 - i)
+        f = station_series(900, city, 31.5 - i, 74.3 - i)
         f["us_aqi"] = (150 + 60 * np.sin(2 * np.pi * np.arange(900) / 24) + rng.normal(0, 6, 900) + 20 * i).clip(0)
         frames.append(f)
     return build_features(panel(spark, *frames)).cache()

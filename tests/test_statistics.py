@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frames import panel, synthetic_city
+from frames import panel, station_series
 from hazeline.operators import drift, folds, leaderboard, metrics, quantiles, sampling
 
 
@@ -93,7 +93,7 @@ def test_population_stability(spark):
 def test_drift_windows_and_report(spark):
     from hazeline.operators.features import build_features
 
-    features = build_features(panel(spark, synthetic_city(24 * 40)))
+    features = build_features(panel(spark, station_series(24 * 40)))
     report = drift.drift_report(features).first()
     assert report["recent_rows"] == 24 * 14 + 1
     assert report["reference_rows"] + report["recent_rows"] == 24 * 40

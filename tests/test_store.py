@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frames import panel, synthetic_city
+from frames import panel, station_series
 from hazeline import schemas
 from hazeline.operators.features import build_features
 from hazeline.operators.scoring import append_log, biggest_misses, error_report, read_log
@@ -30,7 +30,7 @@ def test_missing_store(store):
 
 
 def test_upsert_keeps_the_last_row(spark, store):
-    features = build_features(panel(spark, synthetic_city(100, "Lahore")))
+    features = build_features(panel(spark, station_series(100, "Lahore")))
     store.upsert(features)
     store.upsert(features.where(F.col("timestamp") % 7200 == 0).withColumn("aqi", F.lit(1.0)))
     got = store.read()
@@ -45,7 +45,7 @@ def test_upsert_keeps_the_last_row(spark, store):
 
 
 def test_two_upserts_equal_one(spark, tmp_path):
-    features = build_features(panel(spark, synthetic_city(100)))
+    features = build_features(panel(spark, station_series(100)))
     one, two = (FeatureStore(spark, str(tmp_path / n)) for n in ("one", "two"))
     one.upsert(features)
     two.upsert(features.where("hour < 12"))
@@ -54,7 +54,7 @@ def test_two_upserts_equal_one(spark, tmp_path):
 
 
 def test_staged_upsert_is_finished_by_recover(spark, store):
-    features = build_features(panel(spark, synthetic_city(50)))
+    features = build_features(panel(spark, station_series(50)))
     store.upsert(features.where("hour < 12"))
     # an upsert that died after staging its merged days, before swapping them in
     merged = merge_batches(None, features.withColumn("day", F.to_date("datetime")))
@@ -73,7 +73,7 @@ def test_highest_sequence_wins_within_a_batch(spark):
 @pytest.mark.parametrize("gap_days", [0, 60])
 def test_refresh_keeps_lags_whole(spark, store, gap_days):
     """Two loads give the table one load gives, also when the history lies far back."""
-    frame = pd.concat([synthetic_city(300, "Lahore"), synthetic_city(300, "Karachi", 24.8, 67.0)])
+    frame = pd.concat([station_series(300, "Lahore"), station_series(300, "Karachi", 24.8, 67.0)])
     late = frame["datetime"] >= "2024-01-09"
     frame.loc[late, "datetime"] += pd.Timedelta(days=gap_days)
     raw = panel(spark, frame)
@@ -88,8 +88,86 @@ def test_refresh_keeps_lags_whole(spark, store, gap_days):
     )
 
 
+WINDOWS = ["city", "datetime", "aqi", "aqi_lag_1h", "aqi_lag_24h", "aqi_roll_mean_24h", "aqi_change_rate"]
+
+
+def assert_as_built_at_once(store, raw):
+    got, want = (sorted_frame(df.select(*WINDOWS)) for df in (store.read(), build_features(raw)))
+    pd.testing.assert_frame_equal(got, want, check_exact=False)
+
+
+def hours(raw, *spans):
+    hour = ((F.unix_timestamp(F.col("datetime").cast("timestamp")) - 1704067200) / 3600).cast("int")
+    found = F.lit(False)
+    for a, b in spans:
+        found = found | hour.between(a, b)
+    return raw.where(found)
+
+
+@pytest.mark.parametrize(
+    "batches",
+    [
+        [[(0, 99)], [(110, 199)], [(100, 109)]],  # late hours
+        [[(0, 119), (121, 198)], [(120, 120), (199, 199)]],  # a correction far before the newest hour
+        [[(150, 199)], [(0, 149)]],  # history after the present
+    ],
+)
+def test_refresh_in_any_order_equals_a_rebuild(spark, store, batches):
+    frame = station_series(200, "Lahore")
+    frame.loc[[20, 88, 89, 90, 91, 92, 93, 94, 95, 96, 97, 98], ["us_aqi", "pm2_5", "pm10"]] = float("nan")  # no target
+    raw = panel(spark, frame)
+    for spans in batches:
+        refresh(store, hours(raw, *spans))
+    assert_as_built_at_once(store, raw)
+    assert store.read_all().count() == 200 and store.read().count() == 188
+    counts = {(r.city, str(r.day)): r.n for r in store.day_counts().collect()}
+    assert counts[("Lahore", "2024-01-02")] == 24 and sum(counts.values()) == 200
+
+
+def test_repeated_hours_count_once_and_the_last_wins(spark, store):
+    raw = panel(spark, station_series(120, "Lahore"))
+    refresh(store, hours(raw, (0, 59)))
+    late = hours(raw, (60, 119))
+    old = late.withColumn("us_aqi", F.lit(1.0)).withColumn("_seq", F.lit(1))
+    refresh(store, late.withColumn("_seq", F.lit(2)).unionByName(old).unionByName(old))
+    assert_as_built_at_once(store, raw)
+
+
+def test_backfill_keeps_the_first_copy(spark, store):
+    raw = panel(spark, station_series(60, "Lahore")).withColumn("_seq", F.lit(1))
+    again = raw.withColumn("us_aqi", F.lit(1.0)).withColumn("_seq", F.lit(2))
+    backfill(store, again.unionByName(raw), dims.cities(spark))
+    assert_as_built_at_once(store, raw.drop("_seq"))
+
+
+def test_broken_documents_stop_no_other_station(spark, tmp_path):
+    def document(city, times, seq, value, n=None):
+        values = {v: [value] * (len(times) if n is None else n) for v in schemas.AIR_QUALITY_VARS}
+        return {"city": city, "source": "air_quality", "seq": seq, "hourly": {"time": times, **values}}
+
+    air = [
+        document("Lahore", ["2024-01-01T00:00", "soon", "2024-01-01T01:00"], 2, 2.0),
+        document("Lahore", ["2024-01-01T01:00"], 1, 1.0),
+        document("Multan", ["2024-01-01T00:00"], 1, 5.0, n=2),
+        document("Nowhere", ["2024-01-01T00:00"], 1, 7.0),
+    ]
+    wx = [
+        {"city": c, "source": "forecast", "hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], **{v: [1.0, 1.0] for v in schemas.WEATHER_VARS}}}
+        for c in ("Lahore", "Multan", "Nowhere")
+    ]
+    for name, docs in (("air", air), ("wx", wx)):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps(d) for d in docs))
+    args = (spark, str(tmp_path / "air.json"), str(tmp_path / "wx.json"), dims.cities(spark))
+    for keep, value in (("first", 1.0), ("last", 2.0)):
+        rows, rejected = load_raw(*args, dated=False, keep=keep)
+        got = sorted((r.city, r.datetime.hour, r.pm10, r.latitude) for r in rows.collect())
+        assert got == [("Lahore", 0, 2.0, 31.5204), ("Lahore", 1, value, 31.5204), ("Nowhere", 0, 7.0, None)]
+    reasons = {(r.city, r.reason) for r in rejected.collect()}
+    assert reasons == {("Lahore", "not a time: soon"), ("Multan", "arrays of unequal length"), ("Nowhere", "unknown station")}
+
+
 def test_backfill_resumes(spark, store):
-    raw = panel(spark, synthetic_city(60, "Lahore"), synthetic_city(60, "Karachi"))
+    raw = panel(spark, station_series(60, "Lahore"), station_series(60, "Karachi"))
     dim = dims.cities(spark)
     backfill(store, raw.where("city = 'Lahore'"), dim)
     changed = raw.withColumn("us_aqi", F.lit(7.0))
@@ -132,7 +210,7 @@ def test_date_chunks(spark, start, stop, inclusive, want):
 
 def test_forecast_log_and_errors(spark, tmp_path):
     path = str(tmp_path / "log")
-    features = build_features(panel(spark, synthetic_city(100)))
+    features = build_features(panel(spark, station_series(100)))
 
     def rows(shift):
         return features.select(F.lit("g").alias("generated_at"), "city", F.col("datetime").alias("target_datetime"), (F.floor("aqi") + shift).cast("int").alias("predicted_aqi"))

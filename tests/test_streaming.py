@@ -1,14 +1,14 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from frames import panel, synthetic_city
+from frames import panel, station_series
 from hazeline.operators.features import build_features
 from hazeline.sources.store import FeatureStore
 from hazeline.streaming import jobs
 
 
 def test_incremental_refresh_equals_one_batch(spark, tmp_path):
-    raw = panel(spark, synthetic_city(200, "Lahore"), synthetic_city(200, "Karachi"))
+    raw = panel(spark, station_series(200, "Lahore"), station_series(200, "Karachi"))
     store = FeatureStore(spark, str(tmp_path / "store"))
     landed = str(tmp_path / "landed")
     cut = F.lit("2024-01-05").cast("timestamp_ntz")
