@@ -355,12 +355,12 @@ RULE = "aqi_anchor * 0.6e0 + pm2_5_anchor * 0.3e0 - wind_speed_10m * 0.5e0 + tem
 
 SEQ_FRAME = "(PARTITION BY city ORDER BY datetime ROWS BETWEEN 71 PRECEDING AND 24 PRECEDING)"
 SEQUENCES = f"""{READING_FEATURES},
-seq AS (SELECT city, datetime, aqi, pm10, row_number() OVER (PARTITION BY city ORDER BY datetime) - 1 - 23 AS "end",
+seq AS (SELECT city, datetime, aqi, row_number() OVER (PARTITION BY city ORDER BY datetime) - 1 - 23 AS "end",
   count(*) OVER (PARTITION BY city) AS n, lag(datetime, 23) OVER (PARTITION BY city ORDER BY datetime) AS end_time,
   count(*) FILTER (WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SEQUENCE_FEATURES)}) OVER {SEQ_FRAME} AS usable,
-  avg(CAST(pm10 AS FLOAT)) OVER {SEQ_FRAME} AS pm10_mean,
+  {', '.join(f'avg(CAST({c} AS FLOAT)) OVER {SEQ_FRAME} AS {c}_mean' for c in SEQUENCE_FEATURES)},
   lag(aqi, 71) OVER (PARTITION BY city ORDER BY datetime) AS oldest_aqi, lag(aqi, 24) OVER (PARTITION BY city ORDER BY datetime) AS newest_aqi FROM feats),
-windows AS (SELECT city, "end", end_time AS datetime, CAST(CAST(aqi AS FLOAT) AS DOUBLE) AS target, CAST(usable AS INTEGER) AS steps, pm10_mean,
+windows AS (SELECT city, "end", end_time AS datetime, CAST(CAST(aqi AS FLOAT) AS DOUBLE) AS target, CAST(usable AS INTEGER) AS steps, {', '.join(f'{c}_mean' for c in SEQUENCE_FEATURES)},
   CAST(CAST(oldest_aqi AS FLOAT) AS DOUBLE) AS oldest_aqi, CAST(CAST(newest_aqi AS FLOAT) AS DOUBLE) AS newest_aqi
   FROM seq WHERE "end" >= 48 AND "end" < n - 24 AND ("end" - 48) % 6 = 0 AND usable = 48)"""
 
@@ -398,7 +398,7 @@ def label_case(c: str) -> str:
     return "CASE " + c + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in FEATURE_LABELS.items()) + f" ELSE replace({c}, '_', ' ') END"
 
 
-LABELLED = ["temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "carbon_monoxide"]
+LABELLED = [*AIR_QUALITY_VARS, *WEATHER_VARS]
 
 LEADERBOARD = """WITH runs AS (SELECT o_orderpriority AS board, o_orderkey AS run_id, o_orderstatus AS model, o_totalprice / 7777.0e0 AS rmse FROM orders),
 v AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY run_id) AS version,
@@ -534,13 +534,26 @@ round_even({SPEED}, 1) AS wind_speed, round_even(relative_humidity_2m, 0) AS hum
 SELECT scenario_id, ps.city, ps.horizon AS horizon_h, CAST(round_even(p, 0) AS INTEGER) AS baseline_aqi, {category('p')} AS baseline_category,
 CAST(round_even(s, 0) AS INTEGER) AS scenario_aqi, {category('s')} AS scenario_category, CAST(round_even(s - p, 0) AS INTEGER) AS delta
 FROM ps JOIN pb ON pb.city = ps.city AND pb.horizon = ps.horizon""",
-    "sequence_windows": f"""{SEQUENCES} SELECT city, "end", datetime, target, steps, round(pm10_mean, 3) AS pm10_mean, oldest_aqi, newest_aqi FROM windows""",
+    "sequence_windows": f"""{SEQUENCES} SELECT city, "end", datetime, target, steps, {', '.join(f'round({c}_mean, 3) AS {c}_mean' for c in SEQUENCE_FEATURES)}, oldest_aqi, newest_aqi FROM windows""",
     "sequence_baseline": f"""{SEQUENCES} SELECT {error_columns('target', 'newest_aqi')} FROM windows WHERE datetime > {CUTOFF.format('windows')}""",
     "feature_labels": f"""{ON_READINGS}, long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, avg({c}) AS mean FROM known" for c in LABELLED)})
 SELECT feature, {r6('mean')}, {label_case('feature')} AS label FROM long""",
-    "scaling_statistics": f"""{READING_SUPERVISED} SELECT {', '.join(
-        f"{r6(f'avg({c})', f'mean_{c}')}, {r6(f'stddev_pop({c})', f'sd_{c}')}" for c in ('temperature_2m', 'surface_pressure', 'aqi_anchor'))}
-FROM sup WHERE datetime <= {CUTOFF.format('sup')}""",
+    "scaling_statistics": f"""{READING_SUPERVISED}, train AS (SELECT * FROM sup WHERE datetime <= {CUTOFF.format('sup')})
+{' UNION ALL '.join(f"SELECT '{c}' AS feature, round(avg({c}), 6) + 0.0e0 AS mean, round(stddev_samp({c}), 6) + 0.0e0 AS sd FROM train" for c in FEATURE_COLUMNS)}""",
+    "ridge_one_feature": f"""{READING_SUPERVISED}, train AS (SELECT * FROM sup WHERE datetime <= {CUTOFF.format('sup')}),
+valid AS (SELECT * FROM sup WHERE datetime > {CUTOFF.format('sup')}),
+fit AS (SELECT avg(aqi_anchor) AS mx, stddev_pop(aqi_anchor) AS sx, avg(y_aqi) AS my, covar_pop(aqi_anchor, y_aqi) / stddev_pop(aqi_anchor) * count(*) / (count(*) + 5000.0e0) AS w FROM train),
+p AS (SELECT y_aqi, my + w * (aqi_anchor - mx) / sx AS prediction FROM valid, fit)
+SELECT {error_columns('y_aqi', 'prediction')}, {r6('avg(prediction)', 'mean_prediction')} FROM p""",
+    "evaluation_tables": folds_sql("SELECT fold, train_rows, test_rows, test_from, TRUE AS has_error FROM report").replace(READINGS, HOURLY),
+    "recorded_runs": """WITH runs AS (SELECT year(o_orderdate) AS y, avg(o_totalprice / 7777.0e0) AS e, count(*) AS n FROM orders GROUP BY 1),
+v AS (SELECT row_number() OVER (ORDER BY y) AS version, CAST(y AS VARCHAR) AS trained_at, e, n, min(round(e, 3)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM runs)
+SELECT CAST(version AS INTEGER) AS version, trained_at, 'A' AS model, round(e, 3) AS rmse, n AS n_train, best IS NULL OR e < best AS promoted,
+version = (SELECT max(version) FROM v WHERE best IS NULL OR e < best) AS is_champion, best AS prev_champion_rmse FROM v""",
+    "forecast_any_place": f"{FORECAST} SELECT 'Somewhere' AS city, 12.5e0 AS lat, 45.25e0 AS lon, NULL AS province, datetime, aqi, lower, upper, category FROM hours WHERE city = 'view'",
+    "forecast_72h": f"{FORECAST} SELECT city, datetime, TRUE AS bounded, TRUE AS labelled FROM hours",
+    "linear_attribution": f"{READING_SUPERVISED} SELECT city, datetime, horizon, TRUE AS exact, round(avg(y_aqi) OVER (), 6) + 0.0e0 AS base FROM sup",
+    "tree_attribution": f"{READING_SUPERVISED} SELECT city, datetime, horizon, TRUE AS exact FROM sup",
     "stream_refresh": f"{GAPPY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",
     "stream_unique": f"{ON_HOURLY} SELECT city, datetime, {r6('pm10')} FROM raw",
     "stream_scoring": f"""{HOURLY_FEATURES} SELECT CAST(date_trunc('day', datetime) AS TIMESTAMP) AS day, count(*) AS scored, {r6('avg(abs(aqi_lag_24h - aqi))', 'mae')}

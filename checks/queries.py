@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -773,10 +774,14 @@ def _sequences(spark, sf_dir):
 
 @query
 def sequence_windows(spark, sf_dir):
-    mean = F.aggregate("window", F.lit(0.0), lambda s, x: s + x["pm10"].cast("double")) / F.size("window")
-    return _sequences(spark, sf_dir).select(
-        "city", "end", "datetime", F.col("target").cast("double").alias("target"),
-        F.size("window").alias("steps"), F.round(mean, 3).alias("pm10_mean"),
+    windows = _sequences(spark, sf_dir)
+
+    def mean(c):
+        return F.aggregate("window", F.lit(0.0), lambda s, x: s + x[c].cast("double")) / F.size("window")
+
+    return windows.select(
+        "city", "end", "datetime", F.col("target").cast("double").alias("target"), F.size("window").alias("steps"),
+        *[F.round(mean(c), 3).alias(f"{c}_mean") for c in sequences.SEQUENCE_FEATURES],
         F.element_at("window", 1)["aqi"].cast("double").alias("oldest_aqi"),
         F.element_at("window", -1)["aqi"].cast("double").alias("newest_aqi"),
     )
@@ -823,8 +828,7 @@ def boosted_metrics(spark, sf_dir):
 
 @query
 def walk_forward_ridge(spark, sf_dir):
-    rows = supervised_table(spark, sf_dir)
-    return evaluation.walk_forward(rows, 5, models.ridge(rows))
+    return evaluation.walk_forward(supervised_table(spark, sf_dir), 5, models.ridge)
 
 
 def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:
@@ -840,9 +844,11 @@ def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:
 
 @query
 def forecast_72h(spark, sf_dir):
-    """Saved and reloaded model, every station, hourly forecast with intervals."""
+    """Saved and reloaded model, every station: hours whose values, bounds and labels agree."""
     bundle, rows = _bundle(spark, sf_dir)
-    return forecast.hourly_forecast(inference.score_hours(rows, bundle, as_of(rows)), bundle.intervals)
+    hours = forecast.hourly_forecast(inference.score_hours(rows, bundle, as_of(rows)), bundle.intervals)
+    within = F.col("lower").between(0, F.col("upper")) & (F.col("upper") <= 500)
+    return hours.select(*KEY, within.alias("bounded"), F.col("category").isNotNull().alias("labelled"))
 
 
 @query
@@ -857,7 +863,8 @@ def linear_attribution(spark, sf_dir):
     train = supervised_table(spark, sf_dir)
     model = models.fit_candidates(train, {"r": models.ridge(train)})["r"]
     rows = attribution.explain(attribution.linear_attribution(model.predict(train), model.model))
-    return rows.select(*KEY, "horizon", "prediction", "base", "explained", "text")
+    exact = F.abs(F.col("explained") - F.col("prediction")) < 1e-6
+    return rows.select(*KEY, "horizon", exact.alias("exact"), "base")
 
 
 @query
@@ -865,7 +872,8 @@ def tree_attribution(spark, sf_dir):
     train = supervised_table(spark, sf_dir)
     model = models.fit_candidates(train, {"b": models.boosted(**QUICK_BOOSTED)})["b"]
     rows = attribution.explain(attribution.tree_attribution(model.predict(train), model.model))
-    return rows.select(*KEY, "horizon", "prediction", "base", "explained", "text")
+    exact = F.abs(F.col("explained") - F.col("prediction")) < 1e-6
+    return rows.select(*KEY, "horizon", exact.alias("exact"))
 
 
 @query
@@ -886,9 +894,9 @@ def impact_bars(spark, sf_dir):
 
 @query
 def feature_labels(spark, sf_dir):
-    """Mean of every numeric feature under its reader-facing label."""
+    """Mean of every measured variable under its reader-facing label."""
     rows = target_rows(spark, sf_dir)
-    names = ["temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "carbon_monoxide"]
+    names = [*schemas.AIR_QUALITY_VARS, *schemas.WEATHER_VARS]
     means = rows.agg(*[F.avg(c).alias(c) for c in names])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean")) for c in names])
     return means.select(F.inline(pairs)).withColumn("label", text.feature_label(F.col("feature")))
@@ -896,11 +904,54 @@ def feature_labels(spark, sf_dir):
 
 @query
 def scaling_statistics(spark, sf_dir):
-    """Mean and population deviation over the training part."""
+    """Mean and deviation of every model input, as the fitted scaler holds them."""
     train, _ = _split(spark, sf_dir)
-    names = ["temperature_2m", "surface_pressure", "aqi_anchor"]
-    wide = train.agg(*[f(c).alias(f"{p}_{c}") for c in names for p, f in (("mean", F.avg), ("sd", F.stddev_pop))])
-    return wide
+    fitted = Pipeline(stages=models.scaling()).fit(models.numeric_inputs(train))
+    scaler = fitted.stages[-1]
+    rows = list(zip(supervised.FEATURE_COLUMNS, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), strict=True))
+    return spark.createDataFrame(rows, "feature string, mean double, sd double")
+
+
+@query
+def ridge_one_feature(spark, sf_dir):
+    """Ridge on one input, whose coefficients have a closed form, on the recent rows."""
+    train, valid = _split(spark, sf_dir)
+    build = models.ridge(train, features=("aqi_anchor",), alpha=5000.0)
+    fitted = models.Fitted("Ridge", build.fit(models.numeric_inputs(train))).predict(valid)
+    return fitted.agg(*metrics.error_columns("y_aqi", "prediction"), F.avg("prediction").alias("mean_prediction"))
+
+
+@query
+def evaluation_tables(spark, sf_dir):
+    """Folds of the evaluation report, written as JSON and read back: sizes, dates and bounded errors."""
+    bundle, rows = _bundle(spark, sf_dir)
+    path = scratch_path(spark, "report")
+    evaluation.write_report(evaluation.evaluate(rows, bundle, pipeline=models.ridge), path)
+    found = spark.read.json(f"{path}/walk_forward")
+    return found.select("fold", "train_rows", "test_rows", "test_from", (F.col("rmse") > 0).alias("has_error"))
+
+
+@query
+def recorded_runs(spark, sf_dir):
+    """Orders of each year as one training run, recorded in turn and loaded again."""
+    years = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(
+        (F.avg("o_totalprice") / F.lit(7777.0)).alias("rmse"), F.count(F.lit(1)).alias("n")
+    )
+    path = scratch_path(spark, "leaderboard")
+    for r in years.orderBy("y").collect():
+        errors = {"A": {"rmse": r["rmse"], "mae": r["rmse"] / 2, "r2": 0.5}}
+        leaderboard.record_run(spark, path, errors, "A", trained_at=str(r["y"]), n_train=r["n"], n_valid=1)
+    loaded = leaderboard.load_leaderboard(spark, path)
+    return loaded.select("version", "trained_at", "model", "rmse", "n_train", "promoted", "is_champion", "prev_champion_rmse")
+
+
+@query
+def forecast_any_place(spark, sf_dir):
+    """Forecast document of a place that is no station, from rows and coordinates alone."""
+    raw = hourly(spark, sf_dir).where("city = 'view'")
+    _, intervals = forecast_rows(spark, sf_dir)
+    document = inference.forecast_place(raw, "Somewhere", 12.5, 45.25, _persistence, intervals, as_of=as_of(hourly(spark, sf_dir)), generated_at="run-1")
+    return document.select("city", "lat", "lon", "province", F.inline("hourly"))
 
 
 # --- streaming -----------------------------------------------------------------------

@@ -29,24 +29,35 @@ BOOSTED = {
 BACKTEST_ROUNDS = 400
 
 
-def ridge(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = RIDGE_ALPHA) -> Pipeline:
-    """Standardised ridge with penalty ``alpha * |w|²`` on the summed squared error.
+def ridge_penalty(alpha: float, n: int, label_deviation: float, sample_scaled: bool = True) -> float:
+    """``regParam`` that equals a penalty of ``alpha * |w|²`` on the summed squared error.
 
-    ``LinearRegression`` penalises the mean error of a label divided by its deviation;
-    the factors below turn ``alpha`` into that scale. ``StandardScaler`` divides by the
-    sample deviation, the penalty is meant for the population deviation.
+    ``LinearRegression`` penalises the mean error of a label divided by its deviation.
+    ``StandardScaler`` divides by the sample deviation where the penalty is meant for the
+    population deviation; ``sample_scaled`` makes up for it.
     """
-    stats = train.agg(F.count(label), F.stddev_pop(label)).first()
-    n, sd = stats[0], stats[1] or 0.0
+    return alpha * ((n - 1) / n if sample_scaled else 1.0) * label_deviation / n
+
+
+def scaling(features=FEATURE_COLUMNS) -> list:
+    """Stages that fill missing inputs with their mean and standardise them."""
     filled = [f"{c}__filled" for c in features]
+    return [
+        Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="assembled"),
+        StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True),
+    ]
+
+
+def ridge(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = RIDGE_ALPHA) -> Pipeline:
+    """Standardised ridge for these training rows, which set the scale of its penalty."""
+    n, sd = train.agg(F.count(label), F.stddev_pop(label)).first()
     return Pipeline(
         stages=[
-            Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="assembled"),
-            StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True),
+            *scaling(features),
             LinearRegression(
                 labelCol=label,
-                regParam=alpha * (n - 1) / n * sd / n,
+                regParam=ridge_penalty(alpha, n, sd or 0.0),
                 elasticNetParam=0.0,
                 standardization=False,
                 solver="normal",
@@ -94,9 +105,11 @@ def fit_candidates(train: DataFrame, pipelines: dict[str, Pipeline]) -> dict[str
 
 
 def compare(valid: DataFrame, fitted: dict[str, Fitted]) -> DataFrame:
-    """Error of every family and of persistence on the same rows, best first."""
-    results = valid.agg(*error_columns(TARGET, "aqi_anchor")).withColumn("model", F.lit(BASELINE))
-    for name, model in fitted.items():
-        scored = model.predict(valid).agg(*error_columns(TARGET, "prediction"))
-        results = results.unionByName(scored.withColumn("model", F.lit(name)))
-    return results.select("model", "rmse", "mae", "r2").orderBy("rmse")
+    """Error of every family and of persistence on the same rows, best first; one scan for all."""
+    scored, names = valid.withColumn("_p0", F.col("aqi_anchor")), [BASELINE, *fitted]
+    for i, model in enumerate(fitted.values(), 1):
+        scored = model.predict(scored).withColumnRenamed("prediction", f"_p{i}")
+    errors = scored.agg(
+        *[F.struct(F.lit(name).alias("model"), *error_columns(TARGET, f"_p{i}")).alias(f"_e{i}") for i, name in enumerate(names)]
+    )
+    return errors.select(F.inline(F.array(*[f"_e{i}" for i in range(len(names))]))).orderBy("rmse")

@@ -19,6 +19,7 @@ from hazeline.operators.blocks import (
     with_halo,
 )
 from hazeline.operators.metrics import error_columns
+from hazeline.operators.models import ridge_penalty
 from hazeline.operators.supervised import split_cutoff
 
 # Window length, lead, step between windows, window columns.
@@ -127,7 +128,7 @@ def compare_regressor(flat: DataFrame, *, valid_fraction: float = 0.2, alpha: fl
     n, sd = train.agg(F.count("target"), F.stddev_pop("target")).first()
     scaler = StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True)
     # several hundred near-collinear inputs: an iterative solver instead of the normal equations
-    regression = LinearRegression(labelCol="target", regParam=alpha * sd / n, standardization=False, solver="l-bfgs")
+    regression = LinearRegression(labelCol="target", regParam=ridge_penalty(alpha, n, sd), standardization=False, solver="l-bfgs")
     model = Pipeline(stages=[scaler, regression]).fit(train)
     scored = model.transform(valid)
     ridge = scored.agg(*error_columns("target", "prediction")).withColumn("model", F.lit("Ridge on window"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -9,32 +10,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.operators import models
+from hazeline.operators.blocks import suggest_block_seconds
 from hazeline.operators.folds import assign_folds, fold_report
 from hazeline.operators.metrics import fold_summary, horizon_metrics
 from hazeline.operators.supervised import HORIZONS, make_supervised, time_split
-from hazeline.plans.training import MAX_ROWS, use_checkpoints
+from hazeline.plans.training import FIT_ROWS, fitting_rows, use_checkpoints
 from hazeline.session import materialize
 from hazeline.sources.bundle import ModelBundle
 
 N_SPLITS = 5
 
 
-def walk_forward(rows: DataFrame, n_splits: int = N_SPLITS, pipeline: Pipeline | None = None) -> DataFrame:
-    """One model per fold, trained on all earlier rows. ``rows`` should be a stored table."""
+def backtest_model(_train: DataFrame) -> Pipeline:
+    return models.boosted(maxIter=models.BACKTEST_ROUNDS)
+
+
+def walk_forward(
+    rows: DataFrame, n_splits: int = N_SPLITS, pipeline: Callable[[DataFrame], Pipeline] = backtest_model, fit_rows: int | None = FIT_ROWS
+) -> DataFrame:
+    """One model per fold, trained on earlier rows only. ``rows`` should be a stored table.
+
+    ``pipeline`` builds the model from a fold's training rows, so nothing it takes from them
+    can come from the future. ``fit_rows`` bounds the rows of a fit; all test rows are scored.
+    """
     use_checkpoints(rows.sparkSession)
-    pipeline = pipeline or models.boosted(maxIter=models.BACKTEST_ROUNDS)
     folded = assign_folds(rows, n_splits)
     columns = ["fold", "datetime", "y_aqi", "prediction"]
     scored = [folded.where(F.col("fold") == 0).withColumn("prediction", F.lit(None).cast("double")).select(*columns)]
     for i in range(1, n_splits + 1):
-        fitted = models.fit_candidates(folded.where(F.col("fold") < i), {"fold": pipeline})["fold"]
+        train = fitting_rows(folded.where(F.col("fold") < i), fit_rows)
+        fitted = models.fit_candidates(train, {"fold": pipeline(train)})["fold"]
         scored.append(fitted.predict(folded.where(F.col("fold") == i)).select(*columns))
     return fold_report(reduce(DataFrame.unionByName, scored), n_splits)
 
 
-def evaluate(features: DataFrame, bundle: ModelBundle, *, max_rows: int | None = MAX_ROWS, n_splits: int = N_SPLITS, pipeline: Pipeline | None = None) -> dict[str, DataFrame]:
-    """Tables of the evaluation report: ``per_horizon``, ``walk_forward``, ``summary``."""
-    rows = materialize(make_supervised(features, horizons=HORIZONS, max_rows=max_rows), "evaluation")
+def evaluate(
+    features: DataFrame,
+    bundle: ModelBundle,
+    *,
+    n_splits: int = N_SPLITS,
+    pipeline: Callable[[DataFrame], Pipeline] = backtest_model,
+    block_seconds: int | None = None,
+) -> dict[str, DataFrame]:
+    """Tables of the evaluation report over all rows: ``per_horizon``, ``walk_forward``, ``summary``."""
+    seconds = block_seconds or suggest_block_seconds(features)
+    rows = materialize(make_supervised(features, horizons=HORIZONS, block_seconds=seconds), "evaluation")
     _, valid = time_split(rows)
     folds = materialize(walk_forward(rows, n_splits, pipeline), "folds")
     return {

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions.clock import iso_text
 from hazeline.operators.alerts import forecast_alerts
+from hazeline.operators.blocks import suggest_block_seconds
 from hazeline.operators.attribution import explain, linear_attribution, tree_attribution
+from hazeline.operators.features import build_features
 from hazeline.operators.forecast import (
     HORIZON_HOURS,
     current_index,
@@ -16,7 +21,7 @@ from hazeline.operators.forecast import (
     hourly_forecast,
 )
 from hazeline.operators.scoring import append_log, flatten_documents
-from hazeline.session import materialize
+from hazeline.session import literal_table, materialize
 from hazeline.sources.bundle import ModelBundle
 
 
@@ -82,6 +87,30 @@ def forecast_documents(
     return out.withColumn("generated_at", F.lit(generated_at))
 
 
+def place_features(rows: DataFrame, name: str, latitude: float, longitude: float, block_seconds: int | None = None) -> DataFrame:
+    """Features of hourly rows of any place, under its own name and coordinates.
+
+    ``rows`` are hours of one place (columns of the raw hourly schema; the last hours may
+    hold forecast weather alone). The place need not be a known station.
+    """
+    placed = rows.withColumns({"city": F.lit(name), "latitude": F.lit(float(latitude)), "longitude": F.lit(float(longitude))})
+    return build_features(placed, dropna_target=False, block_seconds=block_seconds or suggest_block_seconds(placed))
+
+
+def forecast_place(
+    rows: DataFrame, name: str, latitude: float, longitude: float, predict: Callable[[DataFrame], DataFrame], intervals: DataFrame, *, as_of, generated_at: str
+) -> DataFrame:
+    """The forecast document of any place; ``predict`` adds a ``prediction`` (a bundle's ``predict``)."""
+    features = place_features(rows, name, latitude, longitude)
+    scored = materialize(predict(forecast_inputs(features, as_of, HORIZON_HOURS)), "scored")
+    place = literal_table(
+        rows.sparkSession,
+        [(name, float(latitude), float(longitude), None)],
+        T.StructType([T.StructField("name", T.StringType()), T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("province", T.StringType())]),
+    )
+    return forecast_documents(scored, intervals, place, generated_at)
+
+
 def run_inference(
     features: DataFrame, bundle: ModelBundle, dim: DataFrame, *, as_of, generated_at: str, path: str, log_path: str, batch: int
 ) -> DataFrame:

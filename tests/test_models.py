@@ -141,7 +141,7 @@ def test_train_save_forecast_explain(spark, features, tmp_path):
 
 
 def test_walk_forward_and_report(features, rows, tmp_path):
-    folds = evaluation.walk_forward(rows, 3, models.ridge(rows)).orderBy("fold").collect()
+    folds = evaluation.walk_forward(rows, 3, models.ridge).orderBy("fold").collect()
     n = rows.count()
     assert [f["test_rows"] for f in folds] == [n // 4] * 3
     assert folds[0]["train_rows"] == n - 3 * (n // 4)
