@@ -5,7 +5,9 @@ at least 4/5. Words are ordered by rarity, and a line is indexed under the rares
 as many as it can miss and still be alike to another (prefix filter). Within the lines
 under one word, sizes (length filter), places in the order (positional filter) and small
 bitmaps rule pairs out; the rest are verified on their words. A line goes if any line
-before it in the corpus is alike to it.
+before it in the corpus is alike to it, so one verified earlier line settles it: a line
+with many candidates is first tried against the earliest few, and only lines that these
+leave open are compared with all their candidates. No group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ SLOTS = 1 << 18
 SLOT_BLOCKS = 64
 #: More lines than this under one word are compared in pairs of blocks, each a task's group of its own.
 LIST_ROWS = 1 << 15
-#: Sets of up to so many words have a bitmap of 64 bits, others one of 128.
-SMALL_SET = 64
-_WHITE = b" \t\n\r\x0b\x0c"
+#: Sets of up to so many words have a bitmap of 64 and of 128 bits, larger ones one of 256.
+BITMAP_WORDS = (64, 128)
+#: Candidates of a set under one word that are tried first.
+FIRST_TRIED = 3
 _hashes: dict[int, WordHash] = {}
 
 
@@ -36,49 +39,81 @@ def _word_hash() -> WordHash:
     return _hashes.setdefault(23, WordHash(23))
 
 
-def _line_sets(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and sorted distinct word hashes of every line that has a word."""
-    hasher = _word_hash()
-    for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if words:
-            yield number, np.unique(hasher.many(words))
-
-
-def _set_hash(hashes: np.ndarray) -> int:
-    return int(mix(mix(hashes).sum(keepdims=True) + np.uint64(len(hashes)))[0].view(np.int64))
+class Sets:
+    """The distinct word hashes of many lines side by side, and which line each belongs to."""
+
+    def __init__(self, texts: list[str | None]):
+        words: list[bytes] = []
+        counts, self.text, self.number = [], [], []
+        for i, text in enumerate(texts):
+            for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                own = line.split()
+                if own:
+                    words += own
+                    counts.append(len(own))
+                    self.text.append(i)
+                    self.number.append(number)
+        hashes = _word_hash().many(words)
+        line = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((hashes, line))
+        hashes, line = hashes[order], line[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+        self.hashes, self.line = hashes[new], line[new]
+        self.size = np.bincount(self.line, minlength=len(counts))
+        self.start = np.cumsum(self.size) - self.size
+        self.set = self._set_hashes()
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def _set_hashes(self) -> np.ndarray:
+        if not len(self):
+            return np.zeros(0, np.int64)
+        total = np.add.reduceat(mix(mix(self.hashes)), self.start)
+        return mix(total + self.size.astype(np.uint64)).view(np.int64)
+
+    def bitmaps(self) -> list[np.ndarray]:
+        """Four 64-bit words per line: the parity of its words per bit, folded for smaller sets.
+
+        Differing bits never outnumber differing words.
+        """
+        bits = mix(self.hashes + np.uint64(5)) >> np.uint64(56)
+        one = np.uint64(1) << (bits & np.uint64(63))
+        part = bits >> np.uint64(6)
+        w = [np.bitwise_xor.reduceat(np.where(part == np.uint64(k), one, np.uint64(0)), self.start) for k in range(4)]
+        small, middle = self.size <= BITMAP_WORDS[0], self.size <= BITMAP_WORDS[1]
+        none = np.uint64(0)
+        out = [
+            np.where(small, w[0] ^ w[1] ^ w[2] ^ w[3], np.where(middle, w[0] ^ w[2], w[0])),
+            np.where(small, none, np.where(middle, w[1] ^ w[3], w[1])),
+            np.where(middle, none, w[2]),
+            np.where(middle, none, w[3]),
+        ]
+        return [x.view(np.int64) for x in out]
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def _slot_counts(docs: DataFrame) -> np.ndarray:
-    """How many lines of the corpus hold a word of each slot (64-bit counts, 2 MB in all)."""
-    width = SLOTS // SLOT_BLOCKS
+def _slot_counts(counted: DataFrame) -> np.ndarray:
+    """How many lines of the corpus hold a word of each slot (64-bit counts, 2 MB in all).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            sets = [h for text in batch.column("text") for _, h in _line_sets(text.as_py())]
-            if sets:
-                counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
-        if counts.any():
-            blobs = [counts[b * width : (b + 1) * width].tobytes() for b in range(SLOT_BLOCKS)]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(SLOT_BLOCKS), pa.int32()), "counts": pa.array(blobs, pa.binary())})
+    ``counted`` has the rows ``set`` (a block of slots) and ``counts`` of every task.
+    """
+    width = SLOTS // SLOT_BLOCKS
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in batches:
             for blob in batch.column("counts"):
                 total += np.frombuffer(blob.as_py(), np.int64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"set": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "block int, counts binary"
-    blocks = docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect()
     counts = np.zeros(SLOTS, np.int64)
-    for r in blocks:
-        counts[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
+    for r in counted.groupBy("set").applyInArrow(add, "set long, counts binary").collect():
+        counts[r["set"] * width : (r["set"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
     return counts
 
 
@@ -96,111 +131,169 @@ PLACE = ("null_id", "id", "text_hash")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """null_id, id, text_hash, line, set, size of every line with a word."""
+    """null_id, id, text_hash, line, set, size of every line with a word.
+
+    Each task also gives its counts of words per slot, in rows with a null ``line``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            rows, numbers, sets, sizes = [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                for number, hashes in _line_sets(text.as_py()):
-                    rows.append(row)
-                    numbers.append(number)
-                    sets.append(_set_hash(hashes))
-                    sizes.append(len(hashes))
-            at = pa.array(rows, pa.int64())
+            sets = Sets(batch.column("text").to_pylist())
+            totals += np.bincount(_slot(sets.hashes), minlength=SLOTS)
+            at = pa.array(sets.text, pa.int64())
             columns = {c: batch.column(c).take(at) for c in PLACE}
-            columns |= {"line": pa.array(numbers, pa.int32()), "set": pa.array(sets, pa.int64()), "size": pa.array(sizes, pa.int32())}
-            yield pa.RecordBatch.from_pydict(columns)
+            columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(columns | {"counts": pa.nulls(len(sets), pa.binary())})
+        if totals.any():
+            n, width = SLOT_BLOCKS, SLOTS // SLOT_BLOCKS
+            columns = {"null_id": pa.nulls(n, pa.int32()), "id": pa.nulls(n, pa.int64()), "text_hash": pa.nulls(n, pa.int64()), "line": pa.nulls(n, pa.int32())}
+            columns |= {"set": pa.array(range(n), pa.int64()), "size": pa.nulls(n, pa.int32())}
+            blobs = [totals[b * width : (b + 1) * width].tobytes() for b in range(n)]
+            yield pa.RecordBatch.from_pydict(columns | {"counts": pa.array(blobs, pa.binary())})
 
-    return keyed.mapInArrow(run, "null_id int, id long, text_hash long, line int, set long, size int")
+    return keyed.mapInArrow(run, "null_id int, id long, text_hash long, line int, set long, size int, counts binary")
 
 
-def _bitmap(hashes: np.ndarray) -> tuple[int, int]:
-    """Parity of the words per bit: differing bits never outnumber differing words."""
-    bits = (mix(hashes + np.uint64(5)) >> np.uint64(57)).astype(np.int64)
-    odd = np.bincount(bits, minlength=128) & 1
-    low, high = (int(np.packbits(odd[k : k + 64].astype(np.uint8), bitorder="little").view(np.int64)[0]) for k in (0, 64))
-    return (low ^ high, 0) if len(hashes) <= SMALL_SET else (low, high)
+POSTING = ("word", "set", "size", "place", "first", "w0", "w1", "w2", "w3")
+_KINDS = {c: "int" if c in ("size", "place") else "long" for c in POSTING}
+_ARROW = {c: pa.int32() if k == "int" else pa.int64() for c, k in _KINDS.items()}
 
 
-def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per line and indexed word: word, set, size, place in the order, bitmap.
+def _postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
+    """One row per set of a batch and indexed word: word, set, size, place in the order, bitmap.
 
-    Sets of fewer than NUM words are alike only to themselves and need no index.
+    ``first`` is about where the set is first seen in the batch (by document, then line); it
+    only says which candidates to try first. Sets of fewer than NUM words are alike only to
+    themselves and need no index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: set[int] = set()
-            words, sets, sizes, places, low, high = [], [], [], [], [], []
-            for text in batch.column("text"):
-                for _, hashes in _line_sets(text.as_py()):
-                    own, size = _set_hash(hashes), len(hashes)
-                    if size < NUM or own in done:
-                        continue
-                    done.add(own)
-                    n = size - -(-NUM * size // DEN) + 1
-                    words.append(hashes[np.lexsort((hashes, counts[_slot(hashes)]))[:n]])
-                    sets.append(np.full(n, own, np.int64))
-                    sizes.append(np.full(n, size, np.int32))
-                    places.append(np.arange(n, dtype=np.int32))
-                    a, b = _bitmap(hashes)
-                    low.append(np.full(n, a, np.int64))
-                    high.append(np.full(n, b, np.int64))
-            if words:
-                columns = [np.concatenate(words).view(np.int64), *map(np.concatenate, (sets, sizes, places, low, high))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "set", "size", "place", "low", "high"])
-
-    return docs.select("text").mapInArrow(run, "word long, set long, size int, place int, low long, high long")
-
-
-def _survivors(group: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of equal ``group`` (sorted by size) that pass all filters."""
+            sets = Sets(batch.column("text").to_pylist())
+            if not len(sets):
+                continue
+            ids = np.where(batch.column("null_id").to_numpy() == 1, 1 << 50, batch.column("id").to_numpy())[np.array(sets.text)]
+            # huge ids and line numbers tie; ties are tried both ways
+            seen = np.clip(ids, -(1 << 50), 1 << 50) * 4096 + np.minimum(sets.number, 4095)
+            # of equal sets in the batch the earliest stands for all
+            order = np.lexsort((seen, sets.set))
+            stands = np.zeros(len(sets), bool)
+            stands[order] = np.concatenate([[True], sets.set[order][1:] != sets.set[order][:-1]])
+            stands &= sets.size >= NUM
+            rare = np.lexsort((sets.hashes, counts[_slot(sets.hashes)], sets.line))
+            line = sets.line
+            place = np.arange(len(line)) - sets.start[line]
+            n = sets.size - -(-NUM * sets.size // DEN) + 1
+            use = stands[line] & (place < n[line])
+            line, place, words = line[use], place[use], sets.hashes[rare][use].view(np.int64)
+            columns = [words, sets.set[line], sets.size[line], place, seen[line], *[w[line] for w in sets.bitmaps()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[k].to_pandas_dtype())) for k, c in zip(POSTING, columns, strict=True)], list(POSTING))
+
+    return keyed.select("null_id", "id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _KINDS.items()))
+
+
+def _differing_bits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of two bitmaps at the width of the smaller set, which is i's."""
+    x = [(rows[f"w{k}"][i] ^ rows[f"w{k}"][j]).view(np.uint64) for k in range(4)]
+    small, middle = rows["size"][i] <= BITMAP_WORDS[0], rows["size"][i] <= BITMAP_WORDS[1]
+    none = np.uint64(0)
+    folded = [
+        np.where(small, x[0] ^ x[1] ^ x[2] ^ x[3], np.where(middle, x[0] ^ x[2], x[0])),
+        np.where(small, none, np.where(middle, x[1] ^ x[3], x[1])),
+        np.where(middle, none, x[2]),
+        np.where(middle, none, x[3]),
+    ]
+    return sum(np.bitwise_count(w).astype(np.int64) for w in folded)
+
+
+def _survivors(group: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs within runs of equal ``group`` (sorted by size) that pass all filters, in portions."""
     n = len(group)
     ends = np.searchsorted(group, group, side="right")
     size, left_over = rows["size"].astype(np.int64), (rows["size"] - rows["place"]).astype(np.int64)
-    low, high, own = rows["low"], rows["high"], rows["set"]
-    folded = low ^ high
-    left, step, out = np.arange(n), 1, []
+    left, step = np.arange(n), 1
     while True:
         left = left[left + step < ends[left]]
         left = left[size[left] * DEN >= size[left + step] * NUM]  # sizes only grow, so these stay out
         if not len(left):
-            break
-        for i in np.array_split(left, -(-len(left) // 1_000_000)):
+            return
+        for i in np.array_split(left, -(-len(left) // 500_000)):
             j = i + step
             both = size[i] + size[j]
             need = -(-NUM * both // (NUM + DEN))
-            fits = (np.minimum(left_over[i], left_over[j]) >= need) & (own[i] != own[j])
+            fits = (np.minimum(left_over[i], left_over[j]) >= need) & (rows["set"][i] != rows["set"][j])
             i, j, spare = i[fits], j[fits], (both - 2 * need)[fits]
-            small = size[i] <= SMALL_SET
-            differ = np.where(
-                small,
-                np.bitwise_count((folded[i] ^ folded[j]).view(np.uint64)),
-                np.bitwise_count((low[i] ^ low[j]).view(np.uint64)) + np.bitwise_count((high[i] ^ high[j]).view(np.uint64)),
-            )
-            fits = differ <= spare
-            out.append((np.minimum(own[i], own[j])[fits], np.maximum(own[i], own[j])[fits]))
+            fits = _differing_bits(rows, i, j) <= spare
+            yield i[fits], j[fits]
         step += 1
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
 
 
-def _compare(postings: DataFrame, keys: list[str], spill: bool) -> DataFrame:
-    """Candidate pairs a, b; with ``spill``, rows of words with too many lines come back with b null."""
-    columns = [*keys, "set", "size", "place", "low", "high"]
+class Tried:
+    """For every row the earliest few other rows that passed, and whether there were more."""
+
+    def __init__(self, rows: dict[str, np.ndarray], most: int | None):
+        self.rows, self.most = rows, most
+        self.late: list[np.ndarray] = []
+        self.early: list[np.ndarray] = []
+        self.more = np.zeros(len(rows["set"]), bool)
+        self.kept = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        first = self.rows["first"]
+        up, down = first[i] >= first[j], first[i] <= first[j]
+        self.late += [i[up], j[down]]
+        self.early += [j[up], i[down]]
+        self.kept += int(up.sum() + down.sum())
+        if self.most is not None and self.kept > 2_000_000:
+            self._thin()
+
+    def _thin(self) -> None:
+        late, early = np.concatenate(self.late), np.concatenate(self.early)
+        order = np.lexsort((self.rows["first"][early], late))
+        late, early = late[order], early[order]
+        starts = np.concatenate([[0], np.flatnonzero(late[1:] != late[:-1]) + 1]) if len(late) else np.zeros(0, np.int64)
+        nth = np.arange(len(late)) - np.repeat(starts, np.diff(np.append(starts, len(late))))
+        self.more[late[nth >= self.most]] = True
+        self.late, self.early = [late[nth < self.most]], [early[nth < self.most]]
+        self.kept = len(self.late[0])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sets (later, earlier), as far as ``first`` tells; with 0 as the earlier for sets that have more."""
+        if not self.late:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.most is not None:
+            self._thin()
+        own = self.rows["set"]
+        pairs = np.stack([own[np.concatenate(self.late)], own[np.concatenate(self.early)]], axis=1)
+        more = own[self.more]
+        return tuple(np.unique(np.concatenate([pairs, np.stack([more, np.zeros_like(more)], axis=1)]), axis=0).T)
+
+
+def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None, asked: bool = False) -> DataFrame:
+    """Candidate pairs a (later), b (earlier).
+
+    With ``most``, a set has at most that many under a word, and a row with b = 0 if it had
+    more. With ``asked``, only pairs of which one row has ``open`` come back. With ``spill``,
+    rows of words with too many lines come back as they are, with b null.
+    """
+    columns = [*dict.fromkeys([*keys, *POSTING]), *(["open"] if asked else [])]
+    rest = [c for c in POSTING if c != "set"]
 
     def candidates(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows["set"]))))
-        a, b = _survivors(group, rows)
-        empty = [pa.nulls(len(a), pa.int64() if c in ("word", "low", "high") else pa.int32()) for c in ("word", "size", "place", "low", "high")]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], ["a", "b", "word", "size", "place", "low", "high"])
+        tried = Tried(rows, most)
+        for i, j in _survivors(group, rows):
+            if asked:
+                use = rows["open"][i] | rows["open"][j]
+                i, j = i[use], j[use]
+            tried.add(i, j)
+        a, b = tried.pairs()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), _ARROW[c]) for c in rest]], ["a", "b", *rest])
 
     def spilled(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        own = [pa.array(rows[c]) for c in ("word", "size", "place", "low", "high")]
-        return pa.RecordBatch.from_arrays([pa.array(rows["set"]), pa.nulls(len(rows["set"]), pa.int64()), *own], ["a", "b", "word", "size", "place", "low", "high"])
+        n = len(rows["set"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["set"]), pa.nulls(n, pa.int64()), *[pa.array(rows[c]) for c in rest]], ["a", "b", *rest])
 
     def cut(rows: dict[str, np.ndarray], where) -> dict[str, np.ndarray]:
         return {c: v[where] for c, v in rows.items()}
@@ -234,24 +327,30 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool) -> DataFrame:
             yield candidates(kept, np.array([0]))
 
     dealt = postings.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "size", "set")
-    return dealt.select(columns).mapInArrow(run, "a long, b long, word long, size int, place int, low long, high long")
+    schema = ", ".join(["a long", "b long", *[f"{c} {_KINDS[c]}" for c in rest]])
+    return dealt.select(columns).mapInArrow(run, schema)
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """Pairs of different sets (a < b) that may be alike."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    postings = _postings(docs, _slot_counts(docs))
-    first = store(_compare(postings, ["word"], spill=True), "line-pairs")
-    long = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set").distinct()
+def _in_blocks(long: DataFrame) -> DataFrame:
+    """Rows of words with too many lines, once for every pair of blocks they take part in."""
     blocks = long.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST_ROWS)).cast("int").alias("blocks"))
     own = F.pmod("set", F.col("blocks")).cast("int")
-    paired = (
+    return (
         long.join(blocks, "word")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"block_a": F.least("own", "other"), "block_b": F.greatest("own", "other")})
     )
-    second = _compare(paired, ["word", "block_a", "block_b"], spill=False)
+
+
+def _candidates(postings: DataFrame, most: int | None, asked: bool = False) -> DataFrame:
+    """Distinct candidate pairs of different sets, a later than b as far as ``first`` tells."""
+    postings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    if asked:  # one pass in blocks, whatever the length of a list
+        return _compare(_in_blocks(postings), ["word", "block_a", "block_b"], False, None, True).select("a", "b").distinct()
+    first = store(_compare(postings, ["word"], True, most), "line-pairs")
+    long = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set").dropDuplicates(["word", "set"])
+    second = _compare(_in_blocks(long), ["word", "block_a", "block_b"], False, most)
     return first.where("b IS NOT NULL").select("a", "b").union(second.select("a", "b")).distinct()
 
 
@@ -261,14 +360,13 @@ def _words_of_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, words = [], []
-            for text, lines in zip(batch.column("text"), batch.column("lines"), strict=True):
-                asked = set(lines.as_py())
-                for number, hashes in _line_sets(text.as_py()):
-                    if number in asked:
-                        sets.append(_set_hash(hashes))
-                        words.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"set": pa.array(sets, pa.int64()), "words": pa.array(words, pa.list_(pa.int64()))})
+            texts = []
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                lines = text.split("\n")
+                texts.append("\n".join(lines[n] for n in numbers))
+            sets = Sets(texts)
+            words = pa.ListArray.from_arrays(pa.array(np.append(sets.start, len(sets.hashes)).astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"set": pa.array(sets.set), "words": words})
 
     small_batches(keyed.sparkSession)
     found = keyed.join(by_doc.hint("shuffle_hash"), list(PLACE)).select("text", "lines")
@@ -276,49 +374,54 @@ def _words_of_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "set long, words array<long>").dropDuplicates(["set"])
 
 
-def alike_sets(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
-    """a, b of all pairs of different sets with a Jaccard similarity of at least NUM / DEN."""
-    pairs = store(_candidates(keyed), "line-candidates")
+def _verified(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets (``set``) of ``pairs`` that an earlier line is alike to, checked on words and places."""
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    words = store(_words_of_sets(keyed, firsts.join(asked, "set").select(*PLACE, "line", "set")), "line-words")
-    side = {k: words.select(F.col("set").alias(k), F.col("words").alias(f"words_{k}")) for k in ("a", "b")}
+    places = store(firsts.join(asked, "set"), "line-places")
+    words = store(_words_of_sets(keyed, places.select(*PLACE, "line", "set")).join(places, "set"), "line-words")
+    side = {k: words.select(F.col("set").alias(k), F.col("words").alias(f"words_{k}"), F.struct(*PLACE, "line").alias(f"at_{k}")) for k in ("a", "b")}
     both = F.size("words_a") + F.size("words_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return pairs.join(side["a"], "a").join(side["b"], "b").where(shared * (NUM + DEN) >= both * NUM).select("a", "b")
+    alike = pairs.join(side["a"], "a").join(side["b"], "b").where(shared * (NUM + DEN) >= both * NUM)
+    # the order of the pairs was a guess; the places decide
+    return alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("set")).distinct()
+
+
+def late_sets(keyed: DataFrame, firsts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The sets whose first line comes after a line of another set that is alike to it."""
+    postings = _postings(keyed, counts)
+    tried = store(_candidates(postings, FIRST_TRIED), "line-candidates")
+    late = store(_verified(keyed, firsts, tried.where("b != 0")), "line-late")
+    still_open = store(tried.where("b = 0").select(F.col("a").alias("set")).distinct().join(late, "set", "left_anti"), "line-open")
+    if still_open.isEmpty():
+        return late
+    # these had more candidates than were tried, and none of those settled them
+    marked = postings.join(still_open.withColumn("open", F.lit(True)), "set", "left")
+    words = marked.where("open").select("word").distinct()
+    again = marked.join(words, "word", "left_semi").withColumn("open", F.coalesce("open", F.lit(False)))
+    rest = store(_candidates(again, None, asked=True), "line-candidates")
+    return late.union(_verified(keyed, firsts, rest)).distinct()
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """null_id, id, text_hash, line, removed, links of every line with a word.
+    """null_id, id, text_hash, line, removed of every line with a word.
 
-    ``links`` counts the other sets of words that the line's set is alike to. A line is
-    removed if a line before it, in a smaller doc_id or above it, is alike to it; all are
-    judged on the input. Null ids come last; rows of equal id and text are one document.
+    A line is removed if a line before it, in a smaller doc_id or above it, is alike to it;
+    all are judged on the input. Null ids come last; rows of equal id and text are one document.
     """
     keyed = _keyed(docs)
     small_batches(docs.sparkSession)
-    lines = store(_lines(keyed), "lines")
+    stored = store(_lines(keyed), "lines")
+    counts = _slot_counts(stored.where("line IS NULL").select("set", "counts"))
+    lines = stored.where("line IS NOT NULL").drop("counts")
     place = F.struct(*PLACE, "line")
     firsts = store(lines.groupBy("set").agg(F.min(place).alias("first")).select("set", "first.*"), "line-firsts")
-    alike = store(alike_sets(keyed, firsts), "line-links")
-    at = firsts.select("set", place.alias("first"))
-    ordered = alike.join(at.select(F.col("set").alias("a"), F.col("first").alias("first_a")), "a").join(
-        at.select(F.col("set").alias("b"), F.col("first").alias("first_b")), "b"
-    )
-    sides = ordered.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("a").alias("set"), (F.col("first_b") < F.col("first_a")).alias("late")),
-                F.struct(F.col("b").alias("set"), (F.col("first_a") < F.col("first_b")).alias("late")),
-            )
-        )
-    )
-    judged = sides.groupBy("set").agg(F.max("late").alias("late"), F.count(F.lit(1)).alias("links"))
-    sets = at.join(judged, "set", "left")
+    late = late_sets(keyed, firsts, counts).withColumn("late", F.lit(True))
+    sets = firsts.select("set", place.alias("first")).join(late, "set", "left")
     return lines.join(sets, "set").select(
         *PLACE,
         "line",
         (F.coalesce("late", F.lit(False)) | (place != F.col("first"))).alias("removed"),
-        F.coalesce("links", F.lit(0)).alias("links"),
     )
 
 
@@ -327,8 +430,6 @@ def _by_document(docs: DataFrame) -> DataFrame:
     return line_decisions(docs).groupBy(*PLACE).agg(
         F.countDistinct("line").alias("n_lines"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
-        F.sum("links").alias("n_links"),
-        F.count(F.lit(1)).alias("n_rows"),
     )
 
 
@@ -343,7 +444,7 @@ def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_lines (with a word), n_removed, n_links, removed_lines (numbers from 0).
+    """Per row: doc_id, n_lines (with a word), n_removed, removed_lines (numbers from 0).
 
     Null, empty and blank texts have no lines. Repeated rows get the same answer each.
     """
@@ -360,7 +461,6 @@ def line_report(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce("_n_lines", F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("_removed_lines"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce((F.col("_n_links") * F.col("_n_lines") / F.col("_n_rows")).cast("long"), F.lit(0)).alias("n_links"),
         F.coalesce("_removed_lines", none).alias("removed_lines"),
     )
 

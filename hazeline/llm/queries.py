@@ -68,7 +68,7 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document that are alike to an earlier line, and its number of links."""
+    """Lines of each document that are alike to an earlier line."""
     return lines.line_report(documents(spark, sf_dir, "doc_id", "text"))
 
 
