@@ -46,7 +46,7 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     assert len(rows) - 60 < len(now) < len(rows) - 10
     gone, _ = alike_lines(now)
     now = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if ((d is None, d or 0), i) not in gone)) for d, t in now]
-    label = components([(d if d is not None else 10**6, reference_print(t)) for d, t in now])
+    label = components([(d if d is not None else 10**6, reference_print(t, corpus_pipeline.SHINGLE_WORDS)) for d, t in now])
     now = [(d, t) for d, t in now if label[d if d is not None else 10**6] == (d if d is not None else 10**6)]
     held = [(leaks.normal(t), leaks.budget(len(leaks.normal(t)))) for _, t in items]
     clean = [(d, t) for d, t in now if not any(fewest_edits(i, leaks.normal(t)) <= k for i, k in held)]

@@ -7,12 +7,12 @@ import xxhash
 from hazeline.llm import simhash
 
 
-def reference_print(text):
+def reference_print(text, k=3):
     words = (text or "").encode().split()
     words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    shingles = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [b" ".join(words)]
     hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
