@@ -86,3 +86,38 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN host_score < {linkgrap
   round(coalesce(host_score, 0.0), 6) AS host_score
 FROM judged LEFT JOIN hosts USING (host)
 """
+
+
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+def repeats_sql() -> str:
+    return f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+firsts AS (SELECT h, min(doc_id * 4294967296 + i) AS first FROM win GROUP BY 1),
+later AS (SELECT doc_id, i FROM win JOIN firsts USING (h) WHERE doc_id * 4294967296 + i > first),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+marked AS (SELECT words.doc_id, word, words.i AS i, max(CAST(later.i IS NOT NULL AS INTEGER)) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone
+  FROM words LEFT JOIN later ON words.doc_id = later.doc_id AND words.i = later.i),
+done AS (SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+
+def lines_sql() -> str:
+    return f"""
+WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT doc_id, line, doc_id * 4294967296 + line AS place, list_sort(list_distinct({WORDS.format("t")})) AS ws FROM l),
+sets AS (SELECT ws, min(place) AS first, len(ws) AS n, row_number() OVER () AS id FROM s WHERE len(ws) > 0 GROUP BY ws),
+tok AS (SELECT id, n, first, unnest(ws) AS w FROM sets),
+df AS (SELECT w, count(*) AS c FROM tok GROUP BY 1),
+ranked AS (SELECT id, n, first, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r FROM tok JOIN df USING (w)),
+pre AS (SELECT * FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.id AS x, b.id AS y FROM pre a JOIN pre b ON a.w = b.w AND a.first > b.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+late AS (SELECT DISTINCT x FROM cand JOIN sets a ON a.id = x JOIN sets b ON b.id = y WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+judged AS (SELECT doc_id, line, x IS NOT NULL OR place > first AS removed FROM s JOIN sets USING (ws) LEFT JOIN late ON id = x)
+SELECT d.doc_id, count(line) AS n_lines, CAST(count_if(removed) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE removed), '') AS removed_lines
+FROM documents d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id
+"""

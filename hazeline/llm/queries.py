@@ -69,7 +69,8 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are alike to an earlier line."""
-    return lines.line_report(documents(spark, sf_dir, "doc_id", "text"))
+    found = lines.line_report(documents(spark, sf_dir, "doc_id", "text"))
+    return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
 QUERIES = {
@@ -85,6 +86,8 @@ QUERIES = {
     "op10_line_join": op10_line_join,
 }
 ORACLES = {
+    "op3_suffix_trees": oracles.repeats_sql(),
     "op4_url_linkgraph": oracles.pages_sql(),
     "op5_hash_tree_shards": oracles.shards_sql(),
+    "op10_line_join": oracles.lines_sql(),
 }
