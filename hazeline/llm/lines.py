@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WordHash, mix, small_batches, store
+from hazeline.llm.common import REMEMBERED, mix, small_batches, store
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -32,40 +33,79 @@ LIST_ROWS = 1 << 15
 BITMAP_WORDS = (64, 128)
 #: Candidates of a set under one word that are tried first.
 FIRST_TRIED = 3
-_hashes: dict[int, WordHash] = {}
+#: Places of the filter of words that the second round asks for, a fixed size.
+ASKED_BITS = 22
 
 
-def _word_hash() -> WordHash:
-    return _hashes.setdefault(23, WordHash(23))
+class Words(dict):
+    """Numbers words as they come and keeps their 64-bit hashes; starts afresh when it grows too large."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        if number >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[number] = xxhash.xxh64_intdigest(word, 23)
+        return number
+
+    def many(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+_seen: list[Words] = []
+
+
+def _words() -> Words:
+    """One per worker process."""
+    if not _seen:
+        _seen.append(Words())
+    return _seen[0]
 
 
 class Sets:
-    """The distinct word hashes of many lines side by side, and which line each belongs to."""
+    """The distinct word hashes of many lines side by side, rarest first, and which line each belongs to.
 
-    def __init__(self, texts: list[str | None]):
+    With ``asked`` (a filter of words by leading hash bits), only lines that hold such a word.
+    """
+
+    def __init__(self, texts: list[str | None], counts: np.ndarray | None = None, asked: np.ndarray | None = None):
         words: list[bytes] = []
-        counts, self.text, self.number = [], [], []
+        n, of_text, of_number = [], [], []
         for i, text in enumerate(texts):
             for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                 own = line.split()
                 if own:
                     words += own
-                    counts.append(len(own))
-                    self.text.append(i)
-                    self.number.append(number)
-        hashes = _word_hash().many(words)
-        line = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((hashes, line))
-        hashes, line = hashes[order], line[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-        self.hashes, self.line = hashes[new], line[new]
-        self.size = np.bincount(self.line, minlength=len(counts))
+                    n.append(len(own))
+                    of_text.append(i)
+                    of_number.append(number)
+        known = _words()
+        numbers, line = known.many(words), np.repeat(np.arange(len(n)), n)
+        self.text, self.number = np.array(of_text, np.int64), np.array(of_number, np.int64)
+        if asked is not None and len(n):
+            hit = asked[(known.hashes[numbers] >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
+            use = np.bincount(line, hit, len(n)) > 0
+            numbers, line = numbers[use[line]], (np.cumsum(use) - 1)[line[use[line]]]
+            self.text, self.number = self.text[use], self.number[use]
+        present = np.flatnonzero(np.bincount(numbers, minlength=1))
+        order = present[np.lexsort((known.hashes[present], *([] if counts is None else [counts[_slot(known.hashes[present])]])))]
+        rank = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
+        rank[order] = np.arange(len(order))
+        key = np.sort(line << 32 | rank[numbers])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        self.line = key >> 32
+        self.hashes = known.hashes[order[key & 0xFFFFFFFF]] if len(key) else np.zeros(0, np.uint64)
+        self.size = np.bincount(self.line, minlength=len(self.text))
         self.start = np.cumsum(self.size) - self.size
         self.set = self._set_hashes()
 
     def __len__(self) -> int:
-        return len(self.size)
+        return len(self.text)
 
     def _set_hashes(self) -> np.ndarray:
         if not len(self):
@@ -140,7 +180,8 @@ def _lines(keyed: DataFrame) -> DataFrame:
         totals = np.zeros(SLOTS, np.int64)
         for batch in batches:
             sets = Sets(batch.column("text").to_pylist())
-            totals += np.bincount(_slot(sets.hashes), minlength=SLOTS)
+            if len(sets):
+                totals += np.bincount(_slot(sets.hashes), minlength=SLOTS)
             at = pa.array(sets.text, pa.int64())
             columns = {c: batch.column(c).take(at) for c in PLACE}
             columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
@@ -160,7 +201,7 @@ _KINDS = {c: "int" if c in ("size", "place") else "long" for c in POSTING}
 _ARROW = {c: pa.int32() if k == "int" else pa.int64() for c, k in _KINDS.items()}
 
 
-def _postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
+def _postings(keyed: DataFrame, counts: np.ndarray, asked: np.ndarray | None = None) -> DataFrame:
     """One row per set of a batch and indexed word: word, set, size, place in the order, bitmap.
 
     ``first`` is about where the set is first seen in the batch (by document, then line); it
@@ -170,10 +211,10 @@ def _postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = Sets(batch.column("text").to_pylist())
+            sets = Sets(batch.column("text").to_pylist(), counts, asked)
             if not len(sets):
                 continue
-            ids = np.where(batch.column("null_id").to_numpy() == 1, 1 << 50, batch.column("id").to_numpy())[np.array(sets.text)]
+            ids = np.where(batch.column("null_id").to_numpy() == 1, 1 << 50, batch.column("id").to_numpy())[sets.text]
             # huge ids and line numbers tie; ties are tried both ways
             seen = np.clip(ids, -(1 << 50), 1 << 50) * 4096 + np.minimum(sets.number, 4095)
             # of equal sets in the batch the earliest stands for all
@@ -181,12 +222,11 @@ def _postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
             stands = np.zeros(len(sets), bool)
             stands[order] = np.concatenate([[True], sets.set[order][1:] != sets.set[order][:-1]])
             stands &= sets.size >= NUM
-            rare = np.lexsort((sets.hashes, counts[_slot(sets.hashes)], sets.line))
             line = sets.line
             place = np.arange(len(line)) - sets.start[line]
             n = sets.size - -(-NUM * sets.size // DEN) + 1
             use = stands[line] & (place < n[line])
-            line, place, words = line[use], place[use], sets.hashes[rare][use].view(np.int64)
+            line, place, words = line[use], place[use], sets.hashes[use].view(np.int64)
             columns = [words, sets.set[line], sets.size[line], place, seen[line], *[w[line] for w in sets.bitmaps()]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[k].to_pandas_dtype())) for k, c in zip(POSTING, columns, strict=True)], list(POSTING))
 
@@ -258,23 +298,33 @@ class Tried:
         self.late, self.early = [late[nth < self.most]], [early[nth < self.most]]
         self.kept = len(self.late[0])
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sets (later, earlier), as far as ``first`` tells; with 0 as the earlier for sets that have more."""
+    def pairs(self) -> np.ndarray:
+        """Sets (later, earlier) as far as ``first`` tells, one a row."""
         if not self.late:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros((0, 2), np.int64)
         if self.most is not None:
             self._thin()
         own = self.rows["set"]
-        pairs = np.stack([own[np.concatenate(self.late)], own[np.concatenate(self.early)]], axis=1)
-        more = own[self.more]
-        return tuple(np.unique(np.concatenate([pairs, np.stack([more, np.zeros_like(more)], axis=1)]), axis=0).T)
+        return np.unique(np.stack([own[np.concatenate(self.late)], own[np.concatenate(self.early)]], axis=1), axis=0)
+
+
+def _once(rows: dict[str, np.ndarray], keys: list[str]) -> dict[str, np.ndarray]:
+    """Sorted rows with each set once in a list, at its earliest."""
+    same = [*keys, "set"]
+    if not len(rows["set"]):
+        return rows
+    new = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in same])
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    out = {c: v[starts] for c, v in rows.items()}
+    out["first"] = np.minimum.reduceat(rows["first"], starts)
+    return out
 
 
 def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None, asked: bool = False) -> DataFrame:
     """Candidate pairs a (later), b (earlier).
 
-    With ``most``, a set has at most that many under a word, and a row with b = 0 if it had
-    more. With ``asked``, only pairs of which one row has ``open`` come back. With ``spill``,
+    With ``most``, a set has at most that many under a word, and a row with b = 0 and the word
+    if it had more. With ``asked``, only pairs of which one row has ``open`` come back. With ``spill``,
     rows of words with too many lines come back as they are, with b null.
     """
     columns = [*dict.fromkeys([*keys, *POSTING]), *(["open"] if asked else [])]
@@ -288,8 +338,10 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
                 use = rows["open"][i] | rows["open"][j]
                 i, j = i[use], j[use]
             tried.add(i, j)
-        a, b = tried.pairs()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), _ARROW[c]) for c in rest]], ["a", "b", *rest])
+        pairs, more = tried.pairs(), np.flatnonzero(tried.more)
+        columns = [pa.array(np.concatenate([pairs[:, 0], rows["set"][more]])), pa.array(np.concatenate([pairs[:, 1], np.zeros(len(more), np.int64)]))]
+        word = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), rows["word"][more]]))
+        return pa.RecordBatch.from_arrays([*columns, *[word if c == "word" else pa.nulls(len(word), _ARROW[c]) for c in rest]], ["a", "b", *rest])
 
     def spilled(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         n = len(rows["set"])
@@ -314,6 +366,7 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
             if not n:
                 kept = rows
                 continue
+            rows = _once(rows, keys)
             new = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])
             starts = np.concatenate([[0], np.flatnonzero(new) + 1])
             if starts[-1]:
@@ -344,14 +397,37 @@ def _in_blocks(long: DataFrame) -> DataFrame:
 
 
 def _candidates(postings: DataFrame, most: int | None, asked: bool = False) -> DataFrame:
-    """Distinct candidate pairs of different sets, a later than b as far as ``first`` tells."""
+    """a, b, word: candidate pairs of different sets, a later than b as far as ``first`` tells.
+
+    With ``most`` also (set, 0, word) for sets that had more under a word.
+    """
     postings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     if asked:  # one pass in blocks, whatever the length of a list
         return _compare(_in_blocks(postings), ["word", "block_a", "block_b"], False, None, True).select("a", "b").distinct()
     first = store(_compare(postings, ["word"], True, most), "line-pairs")
-    long = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set").dropDuplicates(["word", "set"])
+    same = [c for c in POSTING if c != "first"]
+    long = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set").groupBy(*same).agg(F.min("first").alias("first"))
     second = _compare(_in_blocks(long), ["word", "block_a", "block_b"], False, most)
-    return first.where("b IS NOT NULL").select("a", "b").union(second.select("a", "b")).distinct()
+    return first.where("b IS NOT NULL").select("a", "b", "word").union(second.select("a", "b", "word")).distinct()
+
+
+def _word_filter(words: DataFrame) -> np.ndarray:
+    """Which leading hash bits the words (``word``) have: a fixed 2^22 places, whatever their number."""
+    blocks = 64
+    width = (1 << ASKED_BITS) // blocks
+    bit = F.shiftrightunsigned("word", 64 - ASKED_BITS)
+
+    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(width, bool)
+        for batch in batches:
+            bits[batch.column("bit").to_numpy() % width] = True
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    rows = words.select(bit.alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / F.lit(width)))
+    out = np.zeros(1 << ASKED_BITS, bool)
+    for r in rows.groupBy("block").applyInArrow(mark, "block long, bits binary").collect():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)
+    return out
 
 
 def _words_of_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -389,16 +465,18 @@ def _verified(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFram
 
 def late_sets(keyed: DataFrame, firsts: DataFrame, counts: np.ndarray) -> DataFrame:
     """The sets whose first line comes after a line of another set that is alike to it."""
-    postings = _postings(keyed, counts)
-    tried = store(_candidates(postings, FIRST_TRIED), "line-candidates")
-    late = store(_verified(keyed, firsts, tried.where("b != 0")), "line-late")
-    still_open = store(tried.where("b = 0").select(F.col("a").alias("set")).distinct().join(late, "set", "left_anti"), "line-open")
+    tried = store(_candidates(_postings(keyed, counts), FIRST_TRIED), "line-candidates")
+    late = store(_verified(keyed, firsts, tried.where("b != 0").select("a", "b").distinct()), "line-late")
+    # sets with more candidates than were tried, none of which settled them
+    still_open = store(tried.where("b = 0").select(F.col("a").alias("set"), "word").join(late, "set", "left_anti"), "line-open")
     if still_open.isEmpty():
         return late
-    # these had more candidates than were tried, and none of those settled them
-    marked = postings.join(still_open.withColumn("open", F.lit(True)), "set", "left")
-    words = marked.where("open").select("word").distinct()
-    again = marked.join(words, "word", "left_semi").withColumn("open", F.coalesce("open", F.lit(False)))
+    small_batches(keyed.sparkSession)
+    asked = _word_filter(still_open)
+    words = still_open.select("word").distinct()
+    sets = still_open.select("set").distinct().withColumn("open", F.lit(True))
+    again = _postings(keyed, counts, asked).join(words, "word", "left_semi").join(sets, "set", "left")
+    again = store(again.withColumn("open", F.coalesce("open", F.lit(False))), "line-again")
     rest = store(_candidates(again, None, asked=True), "line-candidates")
     return late.union(_verified(keyed, firsts, rest)).distinct()
 
