@@ -511,6 +511,7 @@ WHERE o_orderpriority <> '5-LOW' GROUP BY 1 ORDER BY avg(o_totalprice / 7777.0e0
     "next_hours": f"""{ON_HOURLY} SELECT city, datetime, CAST(step AS INTEGER) AS step, {r6('pm10')} FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime) AS step
 FROM raw WHERE datetime > (SELECT min(datetime) + INTERVAL 100 HOURS FROM raw)) WHERE step <= 72""",
     "forecast_inputs": f"{HOURLY_FEATURES}, {ANCHOR_ROWS} SELECT {picked(['city', 'datetime', *FEATURE_COLUMNS])} FROM inputs",
+    "forecast_from_store": f"{GAPPY_FEATURES}, {ANCHOR_ROWS} SELECT {picked(['city', 'datetime', *FEATURE_COLUMNS])} FROM inputs",
     "skipped_stations": """SELECT CAST(user_id AS VARCHAR) AS city, max(ts) AS newest FROM events GROUP BY user_id
 HAVING max(ts) <= (SELECT date_trunc('hour', max(ts) - INTERVAL 1 DAY) FROM events)""",
     "nearest_horizon_interval": f"{FORECAST} SELECT city, datetime, horizon, {r6('low')}, {r6('high')}, {r6('lower')}, {r6('upper')} FROM bounded",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import wraps
 
 from pyspark.ml import Pipeline
@@ -631,6 +632,17 @@ def forecast_inputs(spark, sf_dir):
     return forecast.forecast_inputs(rows, as_of(hourly(spark, sf_dir)))
 
 
+@query
+def forecast_from_store(spark, sf_dir):
+    """Model input read from a store, of which only the days around the forecast time are scanned."""
+    raw = hourly_with_gaps(spark, sf_dir)
+    target = store.FeatureStore(spark, scratch_path(spark, "store"))
+    ingest.backfill(target, raw, station_dim(spark))
+    now = str(raw.agg(F.max("datetime")).first()[0] - timedelta(hours=72))
+    found = forecast.forecast_inputs(target.around(now, forecast.HORIZON_HOURS), now)
+    return found.withColumn("is_weekend", F.col("is_weekend").cast("int"))  # stored as a double
+
+
 @query
 def skipped_stations(spark, sf_dir):
     """Users, as stations, that have no reading in the last day."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,26 @@ class FeatureStore:
         return _with_target(self.read_all().where(F.col(DAY).between(first_day, last_day)).drop(DAY))
 
     def day_counts(self) -> DataFrame:
-        """city, day and number of stored hours."""
+        """city, day, number of stored hours (``n``) and of those with a target (``known``)."""
         if not self._fs_exists(self.counts):
-            return self.read_all().groupBy("city", DAY).agg(F.count(F.lit(1)).alias("n"))
-        return self.spark.read.parquet(self.counts).select("city", DAY, "n")
+            return _counted(self.read_all())
+        return self.spark.read.parquet(self.counts).select("city", DAY, "n", "known")
+
+    def around(self, as_of: str, hours_ahead: int) -> DataFrame:
+        """Enough rows with a target to forecast from: per station its last day before
+        ``as_of``, that day itself and the days after it that hold ``hours_ahead`` rows.
+
+        The day counts say which days these are, so the history is not read.
+        """
+        days = self.day_counts().where("known > 0")
+        now = F.to_date(F.lit(as_of))
+        last = days.where(F.col(DAY) < now).groupBy("city").agg(F.max(DAY).alias(DAY))
+        forward = Window.partitionBy("city").orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = days.where(F.col(DAY) > now).withColumn("_before", F.coalesce(F.sum("known").over(forward), F.lit(0)))
+        wanted = last.unionByName(days.where(F.col(DAY) == now).select("city", DAY)).unionByName(
+            ahead.where(F.col("_before") < hours_ahead).select("city", DAY)
+        )
+        return _with_target(self.days_of(wanted))
 
     def days_of(self, wanted: DataFrame) -> DataFrame:
         """Stored hours of the given (city, day) pairs; only their day partitions are read."""
@@ -135,9 +151,9 @@ class FeatureStore:
         self._delete(stage)
 
     def _count_days(self, rows: DataFrame) -> None:
-        counts = rows.groupBy("city", DAY).agg(F.count(F.lit(1)).alias("n"))
         (
-            counts.hint("rebalance", DAY)
+            _counted(rows)
+            .hint("rebalance", DAY)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(DAY)
@@ -161,6 +177,11 @@ def _with_target(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("aqi").isNotNull()) if "aqi" in rows.columns else rows
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    known = F.count("aqi") if "aqi" in rows.columns else F.count(F.lit(1))
+    return rows.groupBy("city", DAY).agg(F.count(F.lit(1)).alias("n"), known.alias("known"))
+
+
 def normalize_types(rows: DataFrame) -> DataFrame:
     """Measurements become doubles; keys, text and times stay."""
     keep = {"timestamp"}

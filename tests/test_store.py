@@ -120,6 +120,7 @@ def test_refresh_in_any_order_equals_a_rebuild(spark, store, batches):
         refresh(store, hours(raw, *spans))
     assert_as_built_at_once(store, raw)
     assert store.read_all().count() == 200 and store.read().count() == 188
+    assert sum(r.known for r in store.day_counts().collect()) == 188
     counts = {(r.city, str(r.day)): r.n for r in store.day_counts().collect()}
     assert counts[("Lahore", "2024-01-02")] == 24 and sum(counts.values()) == 200
 
@@ -133,6 +134,12 @@ def test_repeated_hours_count_once_and_the_last_wins(spark, store):
     assert_as_built_at_once(store, raw)
 
 
+def test_around_reads_few_days(spark, store):
+    store.upsert(build_features(panel(spark, station_series(240, "Lahore"), station_series(60, "Karachi")), dropna_target=False))
+    got = {(r.city, r.d) for r in store.around("2024-01-06 05:00:00", 30).select("city", F.to_date("datetime").cast("string").alias("d")).collect()}
+    assert got == {("Lahore", f"2024-01-0{d}") for d in (5, 6, 7, 8)} | {("Karachi", "2024-01-03")}
+
+
 def test_backfill_keeps_the_first_copy(spark, store):
     raw = panel(spark, station_series(60, "Lahore")).withColumn("_seq", F.lit(1))
     again = raw.withColumn("us_aqi", F.lit(1.0)).withColumn("_seq", F.lit(2))
