@@ -65,7 +65,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2^64."""
     if len(_powers.get("up", ())) < n:
         size = max(1 << 14, 1 << (n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", _UNBASE)):
@@ -77,7 +78,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def window_sums(hashes: np.ndarray) -> np.ndarray:
     """Running polynomial sums; ``window_hash`` reads windows of any length from them."""
-    up, _ = _power_table(len(hashes) + 1)
+    up, _ = power_tables(len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
     return sums
@@ -88,7 +89,7 @@ def window_hash(sums: np.ndarray, k: int) -> np.ndarray:
     n = len(sums) - 1
     if n < k:
         return np.zeros(0, np.uint64)
-    _, down = _power_table(n + 1)
+    _, down = power_tables(n + 1)
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 

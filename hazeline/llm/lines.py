@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import REMEMBERED, mix, small_batches, store
+from hazeline.llm.common import mix, power_tables, small_batches, store
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -37,34 +36,32 @@ FIRST_TRIED = 3
 ASKED_BITS = 22
 
 
-class Words(dict):
-    """Numbers words as they come and keeps their 64-bit hashes; starts afresh when it grows too large."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        if number >= len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = xxhash.xxh64_intdigest(word, 23)
-        return number
-
-    def many(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-_seen: list[Words] = []
-
-
-def _words() -> Words:
-    """One per worker process."""
-    if not _seen:
-        _seen.append(Words())
-    return _seen[0]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(23))
+#: Bytes hashed side by side.
+_PART = 1 << 20
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word of a text, without a loop over words."""
+    data = np.frombuffer(raw, np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = starts[at]
+        upto = max(int(np.searchsorted(ends, first + _PART, side="right")), at + 1)
+        last = ends[upto - 1]
+        up, down = power_tables(int(last - first) + 1)
+        sums = np.zeros(int(last - first) + 1, np.uint64)
+        np.cumsum(_BYTE[data[first:last]] * up[:-1], out=sums[1:])
+        a, b = starts[at:upto] - first, ends[at:upto] - first
+        hashes[at:upto] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = upto
+    return starts, hashes
 
 
 class Sets:
@@ -74,32 +71,28 @@ class Sets:
     """
 
     def __init__(self, texts: list[str | None], counts: np.ndarray | None = None, asked: np.ndarray | None = None):
-        words: list[bytes] = []
-        n, of_text, of_number = [], [], []
-        for i, text in enumerate(texts):
-            for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                own = line.split()
-                if own:
-                    words += own
-                    n.append(len(own))
-                    of_text.append(i)
-                    of_number.append(number)
-        known = _words()
-        numbers, line = known.many(words), np.repeat(np.arange(len(n)), n)
-        self.text, self.number = np.array(of_text, np.int64), np.array(of_number, np.int64)
-        if asked is not None and len(n):
-            hit = asked[(known.hashes[numbers] >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
-            use = np.bincount(line, hit, len(n)) > 0
-            numbers, line = numbers[use[line]], (np.cumsum(use) - 1)[line[use[line]]]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        whole = b"\n".join(raw)
+        text_starts = np.cumsum([0, *[len(r) + 1 for r in raw]])[:-1]
+        breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+        word_starts, hashes = word_hashes(whole)
+        physical = np.searchsorted(breaks, word_starts)
+        held, line = np.unique(physical, return_inverse=True)
+        line_starts = np.concatenate([[0], breaks + 1])
+        self.text = np.searchsorted(text_starts, line_starts[held], side="right") - 1
+        self.number = held - np.searchsorted(line_starts, text_starts)[self.text]
+        if asked is not None and len(held):
+            use = np.bincount(line, asked[(hashes >> np.uint64(64 - ASKED_BITS)).astype(np.int64)], len(held)) > 0
+            hashes, line = hashes[use[line]], (np.cumsum(use) - 1)[line[use[line]]]
             self.text, self.number = self.text[use], self.number[use]
-        present = np.flatnonzero(np.bincount(numbers, minlength=1))
-        order = present[np.lexsort((known.hashes[present], *([] if counts is None else [counts[_slot(known.hashes[present])]])))]
-        rank = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
-        rank[order] = np.arange(len(order))
-        key = np.sort(line << 32 | rank[numbers])
+        unique, number = np.unique(hashes, return_inverse=True)
+        order = np.lexsort((unique, *([] if counts is None else [counts[_slot(unique)]])))
+        rank = np.empty(len(unique), np.int64)
+        rank[order] = np.arange(len(unique))
+        key = np.sort(line << 32 | rank[number])
         key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         self.line = key >> 32
-        self.hashes = known.hashes[order[key & 0xFFFFFFFF]] if len(key) else np.zeros(0, np.uint64)
+        self.hashes = unique[order[key & 0xFFFFFFFF]]
         self.size = np.bincount(self.line, minlength=len(self.text))
         self.start = np.cumsum(self.size) - self.size
         self.set = self._set_hashes()
