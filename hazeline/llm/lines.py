@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import mix, power_tables, small_batches, store
+from hazeline.llm.common import mix, small_batches, store, word_hashes
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -36,32 +36,18 @@ FIRST_TRIED = 3
 ASKED_BITS = 22
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(23))
-#: Bytes hashed side by side.
-_PART = 1 << 20
-
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word of a text, without a loop over words."""
-    data = np.frombuffer(raw, np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        first = starts[at]
-        upto = max(int(np.searchsorted(ends, first + _PART, side="right")), at + 1)
-        last = ends[upto - 1]
-        up, down = power_tables(int(last - first) + 1)
-        sums = np.zeros(int(last - first) + 1, np.uint64)
-        np.cumsum(_BYTE[data[first:last]] * up[:-1], out=sums[1:])
-        a, b = starts[at:upto] - first, ends[at:upto] - first
-        hashes[at:upto] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-        at = upto
-    return starts, hashes
+#: Bytes of text whose lines are looked at together.
+SLICE = 1 << 20
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about ``SLICE`` bytes, each with the place of its first."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= SLICE or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
 
 
 class Sets:
@@ -172,13 +158,15 @@ def _lines(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sets = Sets(batch.column("text").to_pylist())
-            if len(sets):
+            for first, texts in _slices(batch.column("text").to_pylist()):
+                sets = Sets(texts)
+                if not len(sets):
+                    continue
                 totals += np.bincount(_slot(sets.hashes), minlength=SLOTS)
-            at = pa.array(sets.text, pa.int64())
-            columns = {c: batch.column(c).take(at) for c in PLACE}
-            columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
-            yield pa.RecordBatch.from_pydict(columns | {"counts": pa.nulls(len(sets), pa.binary())})
+                at = pa.array(sets.text + first, pa.int64())
+                columns = {c: batch.column(c).take(at) for c in PLACE}
+                columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | {"counts": pa.nulls(len(sets), pa.binary())})
         if totals.any():
             n, width = SLOT_BLOCKS, SLOTS // SLOT_BLOCKS
             columns = {"null_id": pa.nulls(n, pa.int32()), "id": pa.nulls(n, pa.int64()), "text_hash": pa.nulls(n, pa.int64()), "line": pa.nulls(n, pa.int32())}
@@ -194,34 +182,41 @@ _KINDS = {c: "int" if c in ("size", "place") else "long" for c in POSTING}
 _ARROW = {c: pa.int32() if k == "int" else pa.int64() for c, k in _KINDS.items()}
 
 
+def _posting_rows(sets: Sets, ids: np.ndarray) -> pa.RecordBatch | None:
+    """Index rows of the lines of some texts, whose ids are given."""
+    if not len(sets):
+        return None
+    # huge ids and line numbers tie; ties are tried both ways
+    seen = np.clip(ids[sets.text], -(1 << 50), 1 << 50) * 4096 + np.minimum(sets.number, 4095)
+    # of equal sets the earliest stands for all
+    order = np.lexsort((seen, sets.set))
+    stands = np.zeros(len(sets), bool)
+    stands[order] = np.concatenate([[True], sets.set[order][1:] != sets.set[order][:-1]])
+    stands &= sets.size >= NUM
+    line = sets.line
+    place = np.arange(len(line)) - sets.start[line]
+    n = sets.size - -(-NUM * sets.size // DEN) + 1
+    use = stands[line] & (place < n[line])
+    line, place, words = line[use], place[use], sets.hashes[use].view(np.int64)
+    columns = [words, sets.set[line], sets.size[line], place, seen[line], *[w[line] for w in sets.bitmaps()]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[k].to_pandas_dtype())) for k, c in zip(POSTING, columns, strict=True)], list(POSTING))
+
+
 def _postings(keyed: DataFrame, counts: np.ndarray, asked: np.ndarray | None = None) -> DataFrame:
-    """One row per set of a batch and indexed word: word, set, size, place in the order, bitmap.
+    """One row per set of a slice of texts and indexed word: word, set, size, place in the order, bitmap.
 
-    ``first`` is about where the set is first seen in the batch (by document, then line); it
+    ``first`` is about where the set is first seen in them (by document, then line); it
     only says which candidates to try first. Sets of fewer than NUM words are alike only to
     themselves and need no index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = Sets(batch.column("text").to_pylist(), counts, asked)
-            if not len(sets):
-                continue
-            ids = np.where(batch.column("null_id").to_numpy() == 1, 1 << 50, batch.column("id").to_numpy())[sets.text]
-            # huge ids and line numbers tie; ties are tried both ways
-            seen = np.clip(ids, -(1 << 50), 1 << 50) * 4096 + np.minimum(sets.number, 4095)
-            # of equal sets in the batch the earliest stands for all
-            order = np.lexsort((seen, sets.set))
-            stands = np.zeros(len(sets), bool)
-            stands[order] = np.concatenate([[True], sets.set[order][1:] != sets.set[order][:-1]])
-            stands &= sets.size >= NUM
-            line = sets.line
-            place = np.arange(len(line)) - sets.start[line]
-            n = sets.size - -(-NUM * sets.size // DEN) + 1
-            use = stands[line] & (place < n[line])
-            line, place, words = line[use], place[use], sets.hashes[use].view(np.int64)
-            columns = [words, sets.set[line], sets.size[line], place, seen[line], *[w[line] for w in sets.bitmaps()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[k].to_pandas_dtype())) for k, c in zip(POSTING, columns, strict=True)], list(POSTING))
+            null_ids, ids = batch.column("null_id").to_numpy(), batch.column("id").to_numpy()
+            for at, texts in _slices(batch.column("text").to_pylist()):
+                rows = _posting_rows(Sets(texts, counts, asked), np.where(null_ids == 1, 1 << 50, ids)[at : at + len(texts)])
+                if rows is not None:
+                    yield rows
 
     return keyed.select("null_id", "id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _KINDS.items()))
 
@@ -394,7 +389,7 @@ def _candidates(postings: DataFrame, most: int | None, asked: bool = False) -> D
 
     With ``most`` also (set, 0, word) for sets that had more under a word.
     """
-    postings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    postings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     if asked:  # one pass in blocks, whatever the length of a list
         return _compare(_in_blocks(postings), ["word", "block_a", "block_b"], False, None, True).select("a", "b").distinct()
     first = store(_compare(postings, ["word"], True, most), "line-pairs")

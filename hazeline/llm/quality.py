@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hazeline.llm.common import WordHash, mix, small_batches, window_hash, window_sums, words_of
+from hazeline.llm.common import mix, small_batches, window_hash, window_sums, word_hashes
 from hazeline.llm.samples import fit_in_task, labelled_sample, prior_shift
 
 BUCKETS = 1 << 16
@@ -32,13 +32,6 @@ _RATE = 0.5
 _DECAY = 1e-6
 _SCALE = 8.0
 
-_hashes: dict[int, WordHash] = {}
-
-
-def _word_hash() -> WordHash:
-    return _hashes.setdefault(11, WordHash(11))
-
-
 def _bucket(hashes: np.ndarray, table: int) -> np.ndarray:
     return ((mix(hashes + np.uint64(table)) >> np.uint64(48)).astype(np.int64)) + table * BUCKETS
 
@@ -85,7 +78,7 @@ class Regression:
 def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the weight of each."""
     out_i, out_v = [], []
-    for buckets in (word_buckets(_word_hash().many(words_of(text))), np.concatenate([np.zeros(0, np.int64), *_parts(text)])):
+    for buckets in (word_buckets(word_hashes(text.encode("utf-8", "surrogatepass"))[1]), np.concatenate([np.zeros(0, np.int64), *_parts(text)])):
         if len(buckets):
             at, n = np.unique(buckets, return_counts=True)
             out_i.append(at)
@@ -149,7 +142,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, np.ndarray]:
     points = len(raw) - int(counts[0x80:0xC0].sum())
     word_chars = points - int(counts[9:14].sum() + counts[32])
     lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
-    hashes = _word_hash().many(words)
+    hashes = word_hashes(raw)[1]
     repeated = 0
     if len(words) >= 4:
         triples = window_hash(window_sums(hashes), 3)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hazeline.llm import lines
+from hazeline.llm import common, lines
 
 
 def corpus(seed=1, n=60):
@@ -70,3 +70,26 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_report(empty).collect() == []
     assert lines.drop_lines(empty).collect() == []
+
+
+def test_words_are_found_as_by_splitting(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", " ", "a", "a\x1cb \x85c", "é\x0bü\x0c\r\n漢 " * 5, "aa aaa aaaa aa"]
+    texts += ["".join(rng.choice("ab \n\té\x1c") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    seen = {}
+    for part in (1 << 20, 7):
+        monkeypatch.setattr(common, "_PART", part)
+        for t in texts:
+            raw = t.encode()
+            starts, hashes = common.word_hashes(raw)
+            words = raw.split()
+            assert [raw[s : s + len(w)] for s, w in zip(starts, words, strict=True)] == words
+            for w, h in zip(words, hashes.tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_line_numbers_and_texts():
+    sets = lines.Sets(["x\n\ny z y", None, "", "\n q", "x"])
+    assert list(zip(sets.text.tolist(), sets.number.tolist(), sets.size.tolist(), strict=True)) == [(0, 0, 1), (0, 2, 2), (3, 1, 1), (4, 0, 1)]
+    assert sets.set[0] == sets.set[3] != sets.set[2]
