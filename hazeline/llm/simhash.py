@@ -244,12 +244,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: the smallest doc_id, then the smallest hash of the text.
+    """One row of each component, with all its columns: ``first_of_roots``."""
+    return first_of_roots(docs, members(docs, shingle_words))
+
+
+def first_of_roots(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of each ``root`` of ``rooted`` (doc_id, text_hash, root): the smallest doc_id, then the smallest hash of the text.
 
     Null ids come last, and of equal rows one stays.
     """
     key = ("_null", "_id", "_hash")
     place = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
-    stays = members(docs, shingle_words).groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    stays = rooted.groupBy("root").agg(F.min(place).alias("first")).select("first.*")
     placed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")})
     return placed.join(stays, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
