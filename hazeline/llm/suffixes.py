@@ -1,15 +1,13 @@
-"""Repeated passages through a prefix-partitioned, sparse suffix tree.
-
-The tree is over words. Of each passage of ``window`` words only the suffix at one place is
-kept: the place whose next ``prefix`` words hash lowest, which copies of the passage choose
-alike. Suffixes are split by that prefix into groups that fit in memory; where a prefix is
-so frequent that its group would not, it is lengthened to the whole window. Each group is
-one subtree: its leaves are the passages in sorted order, and leaves that agree over the
-whole window hang below one deep internal node, which is a repeat. All leaves of such a
-node but the earliest are removed.
-
-Words and passages are compared by hashes: 64 bits of the prefix and 32 of the passage
-across tasks, 64 of the passage within one.
+"""Repeated passages by their hashes, split by a prefix that copies choose alike.
+
+Of each passage of ``window`` words the place whose next ``prefix`` words hash lowest names
+its group; copies of a passage choose alike. Where a prefix is so frequent that its group
+would not fit in memory, the hash of the whole window names the group instead. Within a
+group, passages with equal hashes are one repeat, and all but the earliest are removed. No
+suffix is sorted and no tree is built: that would need the words behind each place in its
+group, many times the bytes of a hash.
+
+Passages are compared by the 64-bit hash of the whole window, within a task and across tasks.
 """
 
 from __future__ import annotations
@@ -196,7 +194,7 @@ def _suffixes(docs: DataFrame, window: int, prefix: int, buckets: int, heavy: by
                 rows.append(
                     (
                         int(bucket[part[0]]), table[used].tobytes(), low[at].tobytes(), number.astype(np.uint32).tobytes(),
-                        place[at].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), own[part].astype(np.uint32).tobytes(), b"",
+                        place[at].astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), own[part].tobytes(), b"",
                     )
                 )
             for chunk in np.array_split(known, -(-len(known) // 20_000)) if len(known) else []:
@@ -216,7 +214,7 @@ SPANS = "null_id int, doc_id long, text_hash long, start int, n int"
 
 
 def _subtree_repeats(suffixes: DataFrame) -> DataFrame:
-    """Starts of passages that an earlier leaf of the same deep node repeats, as spans of starts."""
+    """Starts of passages whose hash an earlier passage of the group has, as spans of starts."""
 
     def spans(docs: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         null, ids, text = docs[doc].T if len(doc) else np.zeros((3, 0), np.int64)
@@ -241,7 +239,7 @@ def _subtree_repeats(suffixes: DataFrame) -> DataFrame:
                 doc.append(np.frombuffer(r["doc"], np.uint32).astype(np.int64) + first)
                 place.append(np.frombuffer(r["place"], np.uint32))
                 counts.append(np.frombuffer(r["n"], np.uint32))
-                owns.append(np.frombuffer(r["own"], np.uint32))
+                owns.append(np.frombuffer(r["own"], np.uint64))
                 first += len(table)
         if not tables:
             return

@@ -98,3 +98,26 @@ def test_empty_table_and_extra_columns(spark):
     extra = spark.createDataFrame([(1, "a " * 30, 5, "z")], "doc_id long, text string, n int, spans string")
     (row,) = suffixes.remove_repeats(extra).collect()
     assert (row.n_words, row.n_removed) == (30, 29)
+
+
+def test_passages_under_one_prefix_differ_by_more_than_32_bits(spark):
+    """Two different passages with the same lowest prefix, whose window hashes agree in the lower 32 bits, both stay."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    names = ["w%d" % i for i in range(5000)]
+    hashes = suffixes._word_hash().many([n.encode() for n in names])
+    pick = rng.integers(0, 5000, 400_000)
+    start = int(suffixes.window_hash(suffixes.window_sums(hashes[pick]), 8).argmin())
+    phrase = pick[start : start + 8]  # hashes so low that it is the lowest of its passages
+    pick = np.concatenate([np.tile(phrase, (300_000, 1)), rng.integers(0, 5000, (300_000, 12))], axis=1)
+    sums = suffixes.window_sums(hashes[pick.ravel()])
+    own, low = suffixes.window_hash(sums, 20)[::20], suffixes.window_hash(sums, 8)
+    lowest = np.stack([low[i::20][: len(own)] for i in range(13)]).min(axis=0)
+    order = np.argsort(own & np.uint64(0xFFFFFFFF))
+    half = (own & np.uint64(0xFFFFFFFF))[order]
+    pairs = [(a, b) for a, b in zip(order[:-1][half[1:] == half[:-1]], order[1:][half[1:] == half[:-1]], strict=True) if lowest[a] == lowest[b] and own[a] != own[b]]
+    assert pairs
+    rows = [(i, " ".join(names[w] for w in pick[p])) for i, p in enumerate(pairs[0])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert [r.n_removed for r in got] == [0, 0]
