@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazeline.llm import linkgraph, sharding
+from hazeline.llm import linkgraph, phrases, sharding
 
 
 def _draw(parent: str, child: str, weight: str) -> str:
@@ -24,13 +24,17 @@ def _descend(name: str, shards: int) -> str:
   FROM {name}_2 JOIN {name}_nodes USING (region, rack) GROUP BY 1)"""
 
 
-def shards_sql() -> str:
-    """CRC-32 is folded over the bytes with a table made by its rule (reflected polynomial 0xEDB88320)."""
+def _crc_table() -> str:
+    """CTEs up to crc_table, made by the rule of CRC-32 (reflected polynomial 0xEDB88320)."""
     step = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
     rounds = ", ".join(f"t{i + 1} AS (SELECT i, {step.format('c')} AS c FROM t{i})" for i in range(8))
+    return f"""t0 AS (SELECT i, CAST(i AS BIGINT) AS c FROM range(256) r(i)), {rounds},
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM t8)"""
+
+
+def shards_sql() -> str:
     return f"""
-WITH t0 AS (SELECT i, CAST(i AS BIGINT) AS c FROM range(256) r(i)), {rounds},
-crc_table AS (SELECT list(c ORDER BY i) AS tab FROM t8),
+WITH {_crc_table()},
 texts AS (SELECT DISTINCT coalesce(text, '') AS txt FROM documents),
 hexed AS (SELECT txt, hex(encode(txt)) AS h, octet_length(encode(txt)) AS n FROM texts),
 bytes AS (SELECT txt, list_transform(range(n), lambda j: CAST(('0x' || substr(h, CAST(2 * j + 1 AS INT), 2)) AS BIGINT)) AS b FROM hexed),
@@ -121,3 +125,63 @@ judged AS (SELECT doc_id, line, x IS NOT NULL OR place > first AS removed FROM s
 SELECT d.doc_id, count(line) AS n_lines, CAST(count_if(removed) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE removed), '') AS removed_lines
 FROM documents d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id
 """
+
+
+def phrases_sql() -> str:
+    runs = "\n  UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})".replace("- -1", "+ 1")
+        for k in range(1, phrases.MOST_WORDS + 1)
+    )
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM ({runs}) GROUP BY 1, 2, 3 HAVING count(*) >= {phrases.THRESHOLD}),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, k, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, cuts.k, j, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head AND x.k = j JOIN f y ON y.lang = cuts.lang AND y.phrase = rest AND y.k = cuts.k - j),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + n - 1], ' ') AS phrase, max(a) AS cover
+  FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c WHERE k > 2)) GROUP BY 1, 2),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE cover IS NULL OR CAST(cover AS HUGEINT) * 100 < CAST(a AS HUGEINT) * {phrases.COVERED}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= {phrases.MOST_RANKS}
+"""
+
+
+def conversations_sql() -> str:
+    """The edits are tried row by row; of the ways to one state the least cost and then the least audit goes on."""
+    return f"""
+WITH RECURSIVE {_crc_table()},
+said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS b FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(octet_length(b)), lambda j: CAST(('0x' || substr(hex(b), CAST(2 * j + 1 AS INT), 2)) AS BIGINT)),
+  lambda a, x: xor(a >> 8, tab[CAST(xor(a, x) & 255 AS INT) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS h FROM said, crc_table),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, substr(role, 1, 1) AS own FROM d),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o),
+r AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(own) OVER (PARTITION BY conv_id ORDER BY i) || own AS pair FROM s),
+nx(state, nxt, word) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+heads AS (SELECT state, state AS base, '' AS pre, 0 AS paid, CAST([] AS VARCHAR[]) AS added FROM nx UNION ALL SELECT state, nxt, 'I', 3, [word || ':'] FROM nx),
+ways AS (SELECT heads.state AS state, base, pre, paid, added, nxt, word, way FROM heads JOIN nx ON nx.state = base, (VALUES ('D'), ('K'), ('R')) v(way)),
+walk(conv_id, i, state, cost, audit, said_rows) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM r
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.rows FROM (
+    SELECT walk.conv_id, r.i, CASE way WHEN 'D' THEN base WHEN 'K' THEN own ELSE nxt END AS state, min({{'cost': cost + paid
+        + CASE way WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN way != 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, 'audit': audit || pre || way,
+        'rows': list_concat(list_concat(said_rows, added), CASE way WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [word || ':' || text] END)}}) AS best
+    FROM walk JOIN r ON r.conv_id IS NOT DISTINCT FROM walk.conv_id AND r.i = walk.i + 1 JOIN ways ON ways.state = walk.state
+    WHERE way = 'D' OR fault NOT IN ('blank', 'duplicate') AND (way = 'R' OR own = nxt OR own = 's' AND base = '') GROUP BY 1, 2, 3)),
+ends AS (SELECT walk.conv_id, min({{'cost': cost + CASE state WHEN 'u' THEN 3 ELSE 0 END, 'audit': audit || CASE state WHEN 'u' THEN 'I' ELSE '' END,
+    'rows': list_concat(said_rows, CASE state WHEN 'u' THEN ['assistant:'] ELSE [] END)}}) AS best
+  FROM walk JOIN (SELECT conv_id, max(i) AS n FROM r GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = n WHERE state != 's' GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+  count_if(fault = 'truncated') AS truncated, count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.rows, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

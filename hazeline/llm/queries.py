@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import completion, leaks, lines, linkgraph, matrices, oracles, quality, sharding, simhash, suffixes, toxicity
+from hazeline.llm import completion, contexts, conversations, leaks, lines, linkgraph, matrices, oracles, phrases, quality, sharding, simhash, suffixes, toxicity
 from hazeline.llm.common import documents
 from hazeline.llm.tokens import tokenizer_path
 
@@ -73,6 +73,22 @@ def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
+def op11_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by code length, learned from the lang of two thirds of the ids."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return contexts.identify(docs.select("doc_id", "text"), contexts.train(docs))
+
+
+def op12_frequent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of 2 to 4 words of each language."""
+    return phrases.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+def op13_conversation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after damage."""
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_token_matrices": op1_token_matrices,
     "op2_toxicity_machine": op2_toxicity_machine,
@@ -84,10 +100,15 @@ QUERIES = {
     "op8_qgram_bands": op8_qgram_bands,
     "op9_bin_completion": op9_bin_completion,
     "op10_line_join": op10_line_join,
+    "op11_context_trees": op11_context_trees,
+    "op12_frequent_phrases": op12_frequent_phrases,
+    "op13_conversation_paths": op13_conversation_paths,
 }
 ORACLES = {
     "op3_suffix_trees": oracles.repeats_sql(),
     "op4_url_linkgraph": oracles.pages_sql(),
     "op5_hash_tree_shards": oracles.shards_sql(),
     "op10_line_join": oracles.lines_sql(),
+    "op12_frequent_phrases": oracles.phrases_sql(),
+    "op13_conversation_paths": oracles.conversations_sql(),
 }
