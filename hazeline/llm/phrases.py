@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WordHash, mix, small_batches, store
+from hazeline.llm.common import mix, small_batches, store, word_hashes
 
 #: Words of the longest phrase, and the least count of a candidate.
 MOST_WORDS = 4
@@ -37,7 +37,7 @@ THRESHOLD = 30
 COVERED = 80
 MOST_RANKS = 2000
 #: Bytes of text whose runs are put together before they are sent.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Counters of one partition's summary that are aimed at; more input makes more partitions.
 COUNTERS = 1 << 18
 LEAST_PARTITIONS = 1 << 10
@@ -86,12 +86,10 @@ def _next_gap(raw: bytes, at: int) -> int:
     return min(found, default=len(raw))
 
 
-def runs_of(raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Words of a slice, and the number of the piece that each lies in."""
-    data = np.frombuffer(raw, np.uint8)
-    gap = (data == 32) | (data == 10)
-    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(data) else np.zeros(0, np.intp)
-    return raw.split(), np.cumsum(data == 10)[starts]
+def runs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a slice, and the number of the piece that each lies in; the words are ``raw.split()``."""
+    starts, hashes = word_hashes(raw)
+    return hashes, np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts)
 
 
 def hashes_of(words: np.ndarray, piece: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,13 +173,11 @@ def _counted_runs(texts: DataFrame, power: int) -> DataFrame:
     """Per chunk and partition of hash space: keys seen once, keys seen more often with counts, and mass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = WordHash(_SEED)
         edges = np.arange(1, 1 << power, dtype=np.uint64) << np.uint64(64 - power)
         for chunk in Chunks().read(batches):
             found = []
             for lang, raw, again in chunk:
-                words, piece = runs_of(raw)
-                for k, (hashes, whole) in enumerate(hashes_of(word_hash.many(words), piece, lang_seed(lang)), 1):
+                for k, (hashes, whole) in enumerate(hashes_of(*runs_of(raw), lang_seed(lang)), 1):
                     found.append(hashes[max(0, again - k + 1) :][whole[max(0, again - k + 1) :]])
             if not found or not sum(map(len, found)):
                 continue
@@ -272,14 +268,13 @@ def _exact_counts(texts: DataFrame, marks: bytes, bits: int) -> DataFrame:
     """lang, phrase, words, f of all runs that the filter lets through; words 0 has the number of words of a lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = WordHash(_SEED)
         on = np.frombuffer(marks, np.uint8)
         for chunk in Chunks().read(batches):
             for lang, raw, again in chunk:
-                words, piece = runs_of(raw)
+                words = raw.split()
                 shorter = np.ones(len(words) + 1, bool)
                 phrases, sizes, counts = [""], [0], [len(words) - again]
-                for k, (hashes, whole) in enumerate(hashes_of(word_hash.many(words), piece, lang_seed(lang)), 1):
+                for k, (hashes, whole) in enumerate(hashes_of(*runs_of(raw), lang_seed(lang)), 1):
                     at = hashes >> np.uint64(64 - bits)
                     # a frequent run holds only frequent runs
                     able = whole & shorter[:-1] & shorter[1:]
