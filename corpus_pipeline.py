@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import completion, leaks, lines, quality, shingles, simhash
+from hazeline.llm import completion, leaks, lines, quality, simhash
 from hazeline.llm.common import documents, store
 from hazeline.llm.tokens import tokenizer_path
 
-SHINGLE_WORDS = 5
+SHINGLE_WORDS = 3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,9 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component, links being a Jaccard similarity of five-word shingles of 0.8 or more."""
-    docs = docs.select(*COLUMNS)
-    return simhash.first_of_roots(docs, shingles.members(docs, SHINGLE_WORDS))
+    """The first document of each component, links being fingerprints of three-word shingles at 3 or fewer differing bits."""
+    return simhash.first_of_each(docs.select(*COLUMNS), SHINGLE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
