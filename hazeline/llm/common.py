@@ -152,3 +152,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def ascii_lower(column):
     """A-Z only, so that other letters stay as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """``wanted`` names with as many underscores in front as it takes to differ from all of ``taken``."""
+    held = {t.lower() for t in taken}
+    front = "_"
+    while any((front + w).lower() in held for w in wanted):
+        front += "_"
+    return [front + w for w in wanted]

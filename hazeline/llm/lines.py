@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import mix, small_batches, store, word_hashes
+from hazeline.llm.common import free_names, mix, small_batches, store, word_hashes
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -499,14 +499,18 @@ def _by_document(docs: DataFrame) -> DataFrame:
     )
 
 
-def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(*[F.col(c).alias(f"_{c}") for c in found.columns])
+def _matched(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the removed lines of each document as one more column, ``name``."""
+    null_id, own_id, own_hash = free_names([*docs.columns, name], "null_id", "id", "text_hash")
+    found = found.select(
+        F.col("null_id").alias(null_id), F.col("id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("removed_lines").alias(name)
+    )
     match = (
-        (F.col("doc_id").isNull().cast("int") == F.col("_null_id"))
-        & (F.coalesce("doc_id", F.lit(0)) == F.col("_id"))
-        & (F.xxhash64("text") == F.col("_text_hash"))
+        (F.col("doc_id").isNull().cast("int") == F.col(null_id))
+        & (F.coalesce("doc_id", F.lit(0)) == F.col(own_id))
+        & (F.xxhash64("text") == F.col(own_hash))
     )
-    return docs.join(found.hint("shuffle_hash"), match, "left")
+    return docs.join(found.hint("shuffle_hash"), match, "left").select(*docs.columns, name)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -539,12 +543,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """
     removed = _by_document(docs).where(F.size("removed_lines") > 0).select(*PLACE, "removed_lines")
     names = docs.columns
-    found = _matched(docs, removed).select(*names, "_removed_lines")
+    (gone_name,) = free_names(names, "removed_lines")
+    found = _matched(docs, removed, gone_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, gone in zip(batch.column("text"), batch.column("_removed_lines"), strict=True):
+            for text, gone in zip(batch.column("text"), batch.column(gone_name), strict=True):
                 value = text.as_py()
                 if gone.is_valid:
                     out = set(gone.as_py())

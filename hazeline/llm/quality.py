@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """The regression; its probabilities follow the share of good rows among all labels."""
     model = fit_in_task(labelled_sample(docs, labels, "quality", rows_per_class), fit)
     if model:
-        model.shift += prior_shift(labels, "quality", rows_per_class)
+        model.shift += prior_shift(docs, labels, "quality", rows_per_class)
     return model
 
 

@@ -7,31 +7,37 @@ import pickle
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> DataFrame:
-    """doc_id, text, y of at most ``rows_per_class`` rows of each class (0 and 1), by hash of doc_id.
+def usable_labels(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y (0 or 1) of every document that can be learned from: it has a text and a label.
 
-    Labels other than 0 and 1, null ids and null texts are left out. A doc_id with several
-    labels counts once, with the larger; one with several texts gives several rows, fewer in
-    all than ``rows_per_class`` times the copies it has, and the fit takes its share of them.
+    Labels other than 0 and 1, null ids, null texts and labels of absent documents are left
+    out. A doc_id with several labels counts once, with the larger.
     """
     one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    return one.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> DataFrame:
+    """doc_id, text, y of ``rows_per_class`` usable rows of each class (0 and 1), or all if there are fewer, by hash of doc_id.
+
+    Of a doc_id with several texts the least one is taken.
+    """
     order = F.xxhash64(F.col("doc_id"), F.lit(label))
-    picked = [one.where(F.col("y") == y).withColumn("h", order).orderBy("h", "doc_id").limit(rows_per_class).drop("h") for y in (0, 1)]
+    usable = usable_labels(docs, labels, label).withColumn("h", order)
+    picked = [usable.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows_per_class).drop("h") for y in (0, 1)]
     ids = picked[0].union(picked[1])
     # two bounded lists of ids, so the broadcast has a fixed limit
     found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
-def prior_shift(labels: DataFrame, label: str, rows_per_class: int) -> float:
-    """What to add to the log odds of a model fitted on the sample, for the classes' true shares."""
-    one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def prior_shift(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> float:
+    """What to add to the log odds of a model fitted on the sample, for the classes' shares among usable rows."""
+    n = {r["y"]: r["n"] for r in usable_labels(docs, labels, label).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(n) != {0, 1}:
         return 0.0
     return math.log(n[1] / n[0]) - math.log(min(n[1], rows_per_class) / min(n[0], rows_per_class))

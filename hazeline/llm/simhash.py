@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import small_batches, store, words_of
+from hazeline.llm.common import free_names, small_batches, store, words_of
 from hazeline.llm.components import connected_components
 
 BITS = 3
@@ -253,8 +253,9 @@ def first_of_roots(docs: DataFrame, rooted: DataFrame) -> DataFrame:
 
     Null ids come last, and of equal rows one stays.
     """
-    key = ("_null", "_id", "_hash")
-    place = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
-    stays = rooted.groupBy("root").agg(F.min(place).alias("first")).select("first.*")
-    placed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")})
-    return placed.join(stays, list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)
+    key = free_names(docs.columns, "null", "id", "hash")
+    place = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text_hash")]
+    stays = rooted.groupBy("root").agg(F.min(F.struct(*[c.alias(k) for c, k in zip(place, key, strict=True)])).alias("first")).select("first.*")
+    place[2] = F.xxhash64("text")
+    placed = docs.withColumns(dict(zip(key, place, strict=True)))
+    return placed.join(stays, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     seen = labels.where(~held_out(F.col("doc_id")))
     machine = fit_in_task(labelled_sample(docs, seen, "toxic", rows_per_class), fit)
     if machine:
-        machine.bias += prior_shift(seen, "toxic", rows_per_class)
+        machine.bias += prior_shift(docs, seen, "toxic", rows_per_class)
     return machine
 
 

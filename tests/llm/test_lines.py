@@ -66,6 +66,15 @@ def test_dropped_lines_leave_the_rest(spark):
     assert got == {1: ("c b a", None), 2: ("keep me\n", "en"), 3: (None, "x"), 4: ("", "y")}
 
 
+def test_columns_with_internal_names_stay(spark):
+    names = ("_id", "_null_id", "_text_hash", "_removed_lines", "__id", "line", "set", "removed_lines", "first", "late")
+    rows = [(2, "a b c\nkeep me\n\nb a c", *range(len(names))), (1, "c b a", *range(5, 5 + len(names)))]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = lines.drop_lines(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect())) == [rows[1], (2, "keep me\n", *rows[0][2:])]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_report(empty).collect() == []

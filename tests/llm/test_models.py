@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from hazeline.llm import quality, toxicity
-from hazeline.llm.samples import labelled_sample
+from hazeline.llm.samples import labelled_sample, prior_shift
 
 
 def slow_counts(text):
@@ -110,6 +110,16 @@ def test_sample_is_bounded_and_balanced(spark):
     assert sorted(r.y for r in sample) == [0] * 40 + [1] * 40 and len({r.doc_id for r in sample}) == 80
 
 
+def test_labels_of_absent_documents_take_no_places(spark):
+    rows, labels = corpus(400, 5)
+    docs, marks = frames(spark, rows, [*labels, *[(10_000 + i, i % 2, i % 2) for i in range(20_000)]])
+    _, alone = frames(spark, rows, labels)
+    for label in ("quality", "toxic"):
+        sample = sorted(labelled_sample(docs, marks, label, 25).collect())
+        assert sample == sorted(labelled_sample(docs, alone, label, 25).collect()) and len(sample) == 50
+        assert prior_shift(docs, marks, label, 25) == prior_shift(docs, alone, label, 25)
+
+
 def test_no_rows_and_no_labels(spark):
     docs, marks = frames(spark, corpus(30)[0], [])
     assert quality.train(docs, marks) is None and toxicity.train(docs, marks) is None

@@ -109,3 +109,12 @@ def test_first_of_each_component_stays(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)
     got = sorted([tuple(r) for r in simhash.first_of_each(frame).collect()], key=str)
     assert got == sorted([(3, "A b c d", "y"), (9, "q w e r", "x"), (3, "k l m n o", None), (None, "only nulls here", "n")], key=str)
+
+
+def test_first_of_each_keeps_columns_with_internal_names(spark):
+    names = ("_id", "_null", "_hash", "__id", "fp", "root", "text_hash", "first")
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(2, text, *range(70, 70 + len(names))), (1, text, *range(80, 80 + len(names))), (None, "other words", *range(90, 90 + len(names)))]
+    got = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)))
+    assert got.columns == ["doc_id", "text", *names]
+    assert {tuple(r) for r in got.collect()} == {rows[1], rows[2]}
