@@ -407,6 +407,13 @@ g AS (SELECT *, prev IS NULL OR rmse < prev AS promoted FROM v)
 SELECT board, version, run_id, model, round_even(rmse, 3) AS rmse, promoted,
   version = max(CASE WHEN promoted THEN version END) OVER (PARTITION BY board) AS is_champion, prev AS prev_champion_rmse FROM g"""
 
+MARGIN = """WITH RECURSIVE v AS (SELECT o_orderpriority AS board, o_orderkey AS run_id, o_orderstatus AS model, o_totalprice / 7777.0e0 + 25.0e0 / (1.0e0 + floor(o_orderkey / 500.0e0)) AS rmse,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS version FROM orders),
+w AS (SELECT board, run_id, model, round_even(rmse, 3) AS rmse, version, true AS promoted, CAST(NULL AS DOUBLE) AS prev, round_even(rmse, 3) AS champion FROM v WHERE version = 1
+  UNION ALL SELECT v.board, v.run_id, v.model, round_even(v.rmse, 3), v.version, v.rmse < w.champion - 0.75e0, w.champion, CASE WHEN v.rmse < w.champion - 0.75e0 THEN round_even(v.rmse, 3) ELSE w.champion END
+  FROM w JOIN v ON v.board = w.board AND v.version = w.version + 1)
+SELECT board, version, run_id, model, rmse, promoted, version = max(CASE WHEN promoted THEN version END) OVER (PARTITION BY board) AS is_champion, prev AS prev_champion_rmse FROM w"""
+
 ORACLES: dict[str, str] = {
     "sub_indices": f"""WITH {READINGS} SELECT city, datetime, {r6(sub_index('pm2_5', 'pm2_5'), 'aqi_pm2_5')}, {r6(sub_index('pm10', 'pm10'), 'aqi_pm10')},
 {r6(sub_index('t25', 'pm2_5'), 'aqi_pm2_5_truncated')}, {r6(sub_index('t10', 'pm10'), 'aqi_pm10_truncated')}
@@ -505,6 +512,7 @@ SELECT city, 'air_quality' AS source, reason, count(*) AS n FROM found WHERE rea
     "province_cities": """SELECT r_name AS province, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS cities FROM supplier
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "leaderboard_history": LEADERBOARD,
+    "leaderboard_margin": MARGIN,
     "best_candidate": f"""SELECT o_orderpriority AS model, {r6('avg(o_totalprice / 7777.0e0)', 'rmse')} FROM orders
 WHERE o_orderpriority <> '5-LOW' GROUP BY 1 ORDER BY avg(o_totalprice / 7777.0e0), 1 LIMIT 1""",
     "as_of_anchor": f"{HOURLY_FEATURES}, {ANCHOR_ROWS} SELECT city, anchor_datetime, {', '.join(r6(c) for c in ANCHOR_COLUMNS)} FROM anchors",

@@ -110,10 +110,10 @@ def test_error_metrics(spark):
     assert got["r2"] == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))
 
 
-def gate_by_hand(errors):
+def gate_by_hand(errors, margin=0.0):
     champion, out = None, []
     for e in errors:
-        promoted = champion is None or e < champion
+        promoted = champion is None or e < champion - margin
         out.append(promoted)
         champion = round(e, 3) if promoted else champion
     return out
@@ -133,6 +133,38 @@ def test_gate_history_equals_one_run_at_a_time(spark, block):
         assert mine[mine.is_champion].version.tolist() == [max(i for i, p in enumerate(gate_by_hand(es), 1) if p)]
 
 
+def champions_by_hand(errors, margin):
+    now, out = None, []
+    for e, promoted in zip(errors, gate_by_hand(errors, margin)):
+        out.append(now)
+        now = round(e, 3) if promoted else now
+    return out
+
+
+@pytest.mark.parametrize("block,fan,margin", [(1, 2, 0.3), (3, 2, 0.05), (7, 3, 1.5), (5, 256, 0.0), (1000, 256, 0.3), (2, 2, 0.001)])
+def test_gate_with_a_margin_over_composed_blocks(spark, monkeypatch, block, fan, margin):
+    monkeypatch.setattr(leaderboard, "FAN", fan)
+    rng = np.random.default_rng(int(block * 10 + margin * 100))
+    boards = {
+        "walk": np.cumsum(rng.normal(size=90)) + 50,
+        "falling": 60 - 0.2 * np.arange(70) + rng.normal(size=70) / 9,
+        "noise": 20 + rng.normal(size=80),
+        "ties": rng.integers(0, 4, 60) / 2,
+        "rounded": 20 + rng.integers(0, 40, 60) / 10_000,
+        "one": np.array([3.0]),
+    }
+    rows = [(b, 3 * i, f"m{i}", float(e)) for b, es in boards.items() for i, e in enumerate(es)]
+    runs = spark.createDataFrame(rows, "board string, run int, model string, rmse double").repartition(5)
+    got = leaderboard.gate_history(runs, board="board", order="run", block=F.floor(F.col("run") / (3 * block)), margin=margin).toPandas()
+    for b, es in boards.items():
+        mine, errors = got[got.board == b].sort_values("version"), es.tolist()
+        promoted = gate_by_hand(errors, margin)
+        assert mine.version.tolist() == list(range(1, len(errors) + 1)) and mine.run.tolist() == [3 * i for i in range(len(errors))]
+        assert mine.promoted.tolist() == promoted
+        assert [None if np.isnan(x) else x for x in mine.prev_champion_rmse] == champions_by_hand(errors, margin)
+        assert mine[mine.is_champion].version.tolist() == [max(i for i, p in enumerate(promoted, 1) if p)]
+
+
 def test_record_run(spark, tmp_path):
     path = str(tmp_path / "board")
 
