@@ -457,6 +457,12 @@ count(*) AS n_rows, min(datetime) AS first, max(datetime) AS last FROM sup GROUP
 {r6('sqrt(avg((y_aqi - aqi_anchor) * (y_aqi - aqi_anchor)))', 'baseline_rmse')} FROM sup GROUP BY horizon""",
     "residual_intervals": f"{READING_SUPERVISED}, {INTERVALS} SELECT horizon, {r6('low')}, {r6('high')} FROM intervals",
     "walk_forward_folds": folds_sql("SELECT * FROM report"),
+    "walk_forward_two_inputs": folds_sql(f""", sums AS (SELECT i, avg(aqi_anchor) AS ma, avg(temperature_2m) AS mb, avg(y_aqi) AS my, stddev_pop(aqi_anchor) AS sa, stddev_pop(temperature_2m) AS sb,
+  corr(aqi_anchor, temperature_2m) AS r, covar_pop(aqi_anchor, y_aqi) / stddev_pop(aqi_anchor) AS ca, covar_pop(temperature_2m, y_aqi) / stddev_pop(temperature_2m) AS cb, 1 + 300.0e0 / count(*) AS d
+  FROM folded, range(1, 6) s(i) WHERE fold < i GROUP BY i),
+scored AS (SELECT folded.*, my + (d * ca - r * cb) / (d * d - r * r) * (aqi_anchor - ma) / sa + (d * cb - r * ca) / (d * d - r * r) * (temperature_2m - mb) / sb AS p FROM folded JOIN sums ON fold = i)
+SELECT fold, train_rows, test_rows, test_from, rmse, mae, r2 FROM (SELECT fold, train_rows, test_rows, test_from FROM report)
+JOIN (SELECT fold, {error_columns('y_aqi', 'p')} FROM scored GROUP BY fold) USING (fold)"""),
     "fold_summary": folds_sql(f"SELECT {r6('avg(rmse)', 'mean_rmse')}, {r6('stddev_samp(rmse)', 'sd_rmse')} FROM report"),
     "city_ranking": f"{ON_READINGS} SELECT city, {r6('avg(aqi)', 'mean_aqi')} FROM known GROUP BY city",
     "monthly_profile": f"{ON_READINGS} SELECT CAST(month(datetime) AS INTEGER) AS month, {r6('avg(aqi)', 'mean_aqi')} FROM known GROUP BY 1",

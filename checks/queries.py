@@ -25,6 +25,7 @@ from hazeline.operators import (
     leaderboard,
     metrics,
     models,
+    normal,
     scenario,
     scoring,
     sequences,
@@ -835,7 +836,8 @@ def _fitted_metrics(spark, sf_dir, name, build):
 
 @query
 def ridge_metrics(spark, sf_dir):
-    return _fitted_metrics(spark, sf_dir, "Ridge", models.ridge)
+    train, valid = _split(spark, sf_dir)
+    return models.compare(valid, {"Ridge": normal.fit_ridge(train)})
 
 
 @query
@@ -850,7 +852,13 @@ def boosted_metrics(spark, sf_dir):
 
 @query
 def walk_forward_ridge(spark, sf_dir):
-    return evaluation.walk_forward(supervised_table(spark, sf_dir), 5, models.ridge)
+    return evaluation.walk_forward_ridge(supervised_table(spark, sf_dir))
+
+
+@query
+def walk_forward_two_inputs(spark, sf_dir):
+    """The backtest of a ridge on two inputs, whose coefficients have a closed form."""
+    return evaluation.walk_forward_ridge(supervised_table(spark, sf_dir), features=("aqi_anchor", "temperature_2m"), alpha=300.0)
 
 
 def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:

@@ -13,7 +13,8 @@ from hazeline.operators import models
 from hazeline.operators.blocks import suggest_block_seconds
 from hazeline.operators.folds import assign_folds, fold_report
 from hazeline.operators.metrics import fold_summary, horizon_metrics
-from hazeline.operators.supervised import HORIZONS, make_supervised, time_split
+from hazeline.operators.normal import expanding_ridge
+from hazeline.operators.supervised import FEATURE_COLUMNS, HORIZONS, make_supervised, time_split
 from hazeline.plans.training import FIT_ROWS, fitting_rows, use_checkpoints
 from hazeline.session import materialize
 from hazeline.sources.bundle import ModelBundle
@@ -44,6 +45,12 @@ def walk_forward(
     return fold_report(reduce(DataFrame.unionByName, scored), n_splits)
 
 
+def walk_forward_ridge(rows: DataFrame, n_splits: int = N_SPLITS, features=FEATURE_COLUMNS, alpha: float = models.RIDGE_ALPHA) -> DataFrame:
+    """The expanding backtest of a ridge: all folds are fitted on all their rows from one scan."""
+    folded = assign_folds(rows, n_splits)
+    return fold_report(expanding_ridge(folded, n_splits, features, alpha=alpha), n_splits)
+
+
 def evaluate(
     features: DataFrame,
     bundle: ModelBundle,
