@@ -568,7 +568,7 @@ version = (SELECT max(version) FROM v WHERE best IS NULL OR e < best) AS is_cham
     "forecast_any_place": f"{FORECAST} SELECT 'Somewhere' AS city, 12.5e0 AS lat, 45.25e0 AS lon, NULL AS province, datetime, aqi, lower, upper, category FROM hours WHERE city = 'view'",
     "forecast_72h": f"{FORECAST} SELECT city, datetime, TRUE AS bounded, TRUE AS labelled FROM hours",
     "linear_attribution": f"{READING_SUPERVISED} SELECT city, datetime, horizon, TRUE AS exact, round(avg(y_aqi) OVER (), 6) + 0.0e0 AS base FROM sup",
-    "tree_attribution": f"{READING_SUPERVISED} SELECT city, datetime, horizon, TRUE AS exact FROM sup",
+    "tree_attribution": f"{READING_SUPERVISED} SELECT city, max(datetime) AS datetime, horizon, TRUE AS exact FROM sup GROUP BY city, horizon",
     "stream_refresh": f"{GAPPY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",
     "stream_unique": f"{ON_HOURLY} SELECT city, datetime, {r6('pm10')} FROM raw",
     "stream_scoring": f"""{HOURLY_FEATURES} SELECT CAST(date_trunc('day', datetime) AS TIMESTAMP) AS day, count(*) AS scored, {r6('avg(abs(aqi_lag_24h - aqi))', 'mae')}

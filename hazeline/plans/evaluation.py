@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.operators import models
+from hazeline.operators import boosting, models
 from hazeline.operators.blocks import suggest_block_seconds
 from hazeline.operators.folds import assign_folds, fold_report
 from hazeline.operators.metrics import fold_summary, horizon_metrics
@@ -22,8 +22,8 @@ from hazeline.sources.bundle import ModelBundle
 N_SPLITS = 5
 
 
-def backtest_model(_train: DataFrame) -> Pipeline:
-    return models.boosted(maxIter=models.BACKTEST_ROUNDS)
+def backtest_model(_train: DataFrame) -> boosting.HistogramBoosting:
+    return boosting.HistogramBoosting(rounds=models.BACKTEST_ROUNDS)
 
 
 def walk_forward(
@@ -45,6 +45,17 @@ def walk_forward(
     return fold_report(reduce(DataFrame.unionByName, scored), n_splits)
 
 
+def walk_forward_boosted(
+    rows: DataFrame, n_splits: int = N_SPLITS, fit_rows: int = FIT_ROWS, features=FEATURE_COLUMNS, settings: boosting.Settings | None = None
+) -> DataFrame:
+    """The expanding backtest of a boosted ensemble: the folds' bounded samples are fitted side by side, all test rows scored in one scan."""
+    settings = settings or boosting.Settings(rounds=models.BACKTEST_ROUNDS)
+    folded = assign_folds(rows, n_splits)
+    samples = [fitting_rows(folded.where(F.col("fold") < i), fit_rows).withColumn("_fit", F.lit(i)) for i in range(1, n_splits + 1)]
+    fitted = boosting.fit_groups(reduce(DataFrame.unionByName, samples), "_fit", n_splits, features, settings=settings)
+    return fold_report(boosting.predict_groups(folded, "fold", fitted), n_splits)
+
+
 def walk_forward_ridge(rows: DataFrame, n_splits: int = N_SPLITS, features=FEATURE_COLUMNS, alpha: float = models.RIDGE_ALPHA) -> DataFrame:
     """The expanding backtest of a ridge: all folds are fitted on all their rows from one scan."""
     folded = assign_folds(rows, n_splits)
@@ -56,14 +67,17 @@ def evaluate(
     bundle: ModelBundle,
     *,
     n_splits: int = N_SPLITS,
-    pipeline: Callable[[DataFrame], Pipeline] = backtest_model,
+    pipeline: Callable[[DataFrame], Pipeline] | None = None,
     block_seconds: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Tables of the evaluation report over all rows: ``per_horizon``, ``walk_forward``, ``summary``."""
+    """Tables of the evaluation report over all rows: ``per_horizon``, ``walk_forward``, ``summary``.
+
+    The backtest is that of the boosted ensemble, or of ``pipeline``.
+    """
     seconds = block_seconds or suggest_block_seconds(features)
     rows = materialize(make_supervised(features, horizons=HORIZONS, block_seconds=seconds), "evaluation")
     _, valid = time_split(rows)
-    folds = materialize(walk_forward(rows, n_splits, pipeline), "folds")
+    folds = materialize(walk_forward(rows, n_splits, pipeline) if pipeline else walk_forward_boosted(rows, n_splits), "folds")
     return {
         "per_horizon": horizon_metrics(bundle.predict(valid)),
         "walk_forward": folds.orderBy("fold"),

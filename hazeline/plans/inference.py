@@ -12,6 +12,7 @@ from hazeline.functions.clock import iso_text
 from hazeline.operators.alerts import forecast_alerts
 from hazeline.operators.blocks import suggest_block_seconds
 from hazeline.operators.attribution import explain, linear_attribution, tree_attribution
+from hazeline.operators.boosting import Boosted
 from hazeline.operators.features import build_features
 from hazeline.operators.forecast import (
     HORIZON_HOURS,
@@ -35,7 +36,7 @@ def score_hours(features: DataFrame, bundle: ModelBundle, as_of, hours: int = HO
 
 
 def attribute(rows: DataFrame, bundle: ModelBundle) -> DataFrame:
-    if hasattr(bundle.model.stages[-1], "trees"):
+    if isinstance(bundle.model, Boosted) or hasattr(bundle.model.stages[-1], "trees"):
         return tree_attribution(rows, bundle.model, bundle.feature_columns)
     return linear_attribution(rows, bundle.model, bundle.feature_columns)
 
