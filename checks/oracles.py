@@ -284,6 +284,8 @@ log AS (SELECT strftime(datetime - INTERVAL 24 HOURS, '%Y-%m-%dT%H:%M:%S') AS ge
 scored AS (SELECT l.city, l.target_datetime, generated_at, predicted_aqi, aqi AS actual_aqi, predicted_aqi - aqi AS error
   FROM log l JOIN feats f ON f.city = l.city AND f.datetime = l.target_datetime)"""
 
+CUTOFF = "(SELECT make_timestamp(CAST(trunc(quantile_cont(CAST(epoch_us(datetime) AS DOUBLE), 0.8e0)) AS BIGINT)) FROM {0})"
+CUTOFF_OF_SUP = CUTOFF.format("sup")
 NOW = "(SELECT max(datetime) - INTERVAL 72 HOURS FROM raw)"
 ANCHOR_ROWS = f"""
 clocked AS (SELECT feats.*, {NOW} AS now FROM feats),
@@ -296,12 +298,14 @@ inputs AS (SELECT f.city, f.datetime, {', '.join('f.' + c for c in TARGET_TIME_F
 
 INTERVALS = """
 intervals AS (SELECT horizon, quantile_cont(y_aqi - aqi_anchor, 0.1e0) AS low, quantile_cont(y_aqi - aqi_anchor, 0.9e0) AS high FROM sup GROUP BY horizon)"""
-FORECAST = f"""{HOURLY_SUPERVISED}, {ANCHOR_ROWS}, {INTERVALS},
-matched AS (SELECT i.*, n.horizon AS nearest, low, high, row_number() OVER (PARTITION BY i.city, i.datetime ORDER BY abs(n.horizon - i.horizon), n.horizon) AS pick
-  FROM inputs i, intervals n),
-bounded AS (SELECT *, greatest(0.0e0, aqi_anchor + low) AS lower, least(500.0e0, aqi_anchor + high) AS upper FROM matched WHERE pick = 1),
-hours AS (SELECT city, datetime, CAST(round_even(aqi_anchor, 0) AS INTEGER) AS aqi, CAST(round_even(lower, 0) AS INTEGER) AS lower,
-  CAST(round_even(upper, 0) AS INTEGER) AS upper, {category('aqi_anchor')} AS category FROM bounded),
+def forecast_ctes(value: str, tables: str = "") -> str:
+    """Forecast hours, days and current state from ``value``, a prediction over the columns of the inputs and of ``tables``."""
+    return f"""
+matched AS (SELECT i.*, n.horizon AS nearest, low, high, {value} AS value, row_number() OVER (PARTITION BY i.city, i.datetime ORDER BY abs(n.horizon - i.horizon), n.horizon) AS pick
+  FROM inputs i, intervals n{tables}),
+bounded AS (SELECT *, greatest(0.0e0, value + low) AS lower, least(500.0e0, value + high) AS upper FROM matched WHERE pick = 1),
+hours AS (SELECT city, datetime, CAST(round_even(value, 0) AS INTEGER) AS aqi, CAST(round_even(lower, 0) AS INTEGER) AS lower,
+  CAST(round_even(upper, 0) AS INTEGER) AS upper, {category('value')} AS category FROM bounded),
 per_day AS (SELECT city, strftime(datetime, '%Y-%m-%d') AS date, avg(aqi) AS m, avg(lower) AS l, avg(upper) AS u FROM hours GROUP BY 1, 2),
 days AS (SELECT city, date, CAST(round_even(m, 0) AS INTEGER) AS aqi, CAST(round_even(l, 0) AS INTEGER) AS lower,
   CAST(round_even(u, 0) AS INTEGER) AS upper, {category('m')} AS category
@@ -310,6 +314,37 @@ curr AS (SELECT city, CAST(round_even(v, 0) AS INTEGER) AS current_aqi, {categor
   (SELECT city, aqi_anchor AS v, row_number() OVER (PARTITION BY city ORDER BY datetime) AS rn FROM inputs) WHERE rn = 1)"""
 
 
+FORECAST = f"{HOURLY_SUPERVISED}, {ANCHOR_ROWS}, {INTERVALS}, {forecast_ctes('aqi_anchor')}"
+RIDGE = "my + w * (aqi_anchor - mx) / sx"
+RIDGE_FIT = f"""
+train AS (SELECT * FROM sup WHERE datetime <= {CUTOFF_OF_SUP}), valid AS (SELECT * FROM sup WHERE datetime > {CUTOFF_OF_SUP}),
+fit AS (SELECT avg(aqi_anchor) AS mx, stddev_pop(aqi_anchor) AS sx, avg(y_aqi) AS my, covar_pop(aqi_anchor, y_aqi) / stddev_pop(aqi_anchor) * count(*) / (count(*) + 900.0e0) AS w FROM train)"""
+RIDGE_FORECAST = f"""{HOURLY_SUPERVISED}, {ANCHOR_ROWS}, {RIDGE_FIT},
+intervals AS (SELECT horizon, quantile_cont(y_aqi - ({RIDGE}), 0.1e0) AS low, quantile_cont(y_aqi - ({RIDGE}), 0.9e0) AS high FROM valid, fit GROUP BY horizon),
+{forecast_ctes(RIDGE, ', fit')},
+peaks AS (SELECT * FROM (SELECT i.*, fit.*, {RIDGE} AS value, row_number() OVER (PARTITION BY city ORDER BY {RIDGE} DESC, datetime) AS rn FROM inputs i, fit) WHERE rn = 1),
+told AS (SELECT city, CAST(round_even(value, 0) AS INTEGER) AS prediction, round_even(my, 1) AS base_value, strftime(datetime, '%Y-%m-%dT%H:%M:%S') AS for_time,
+  'Forecast AQI ≈ ' || CAST(round_even(value, 0) AS BIGINT) || ' (baseline ' || CAST(round_even(my, 0) AS BIGINT) || '). Main drivers: current AQI '
+  || CASE WHEN round_even(value - my, 1) >= 0 THEN '+' ELSE '−' END || abs(round_even(value - my, 1)) || '.' AS text FROM peaks)"""
+
+
+# Weight and middle of each input in the rule of the explained queries.
+EXPLAIN_RULE = {"aqi_anchor": (0.5, 100.0), "pm2_5_anchor": (0.25, 40.0), "wind_u": (-1.5, 0.0), "temperature_2m": (0.75, 20.0), "relative_humidity_2m": (-0.125, 60.0), "surface_pressure": (0.0625, 1000.0), "horizon": (0.25, 24.0)}
+RULE_BASE = 90.0
+
+
+def rule_ctes(source: str) -> str:
+    """One row for each contribution of a fixed linear rule, by size."""
+    parts = " UNION ALL ".join(
+        f"SELECT city, datetime, horizon, '{c}' AS feature, {w}e0 * (CAST({c} AS DOUBLE) - {m}e0) AS p FROM {source}" for c, (w, m) in EXPLAIN_RULE.items()
+    )
+    return f"""
+parts AS ({parts}),
+sized AS (SELECT *, round_even(p, 1) AS impact, {label_case('feature')} AS label, sum(p) OVER (PARTITION BY city, datetime, horizon) + {RULE_BASE}e0 AS explained,
+  row_number() OVER (PARTITION BY city, datetime, horizon ORDER BY abs(p) DESC, feature) AS place FROM parts),
+top AS (SELECT *, max(abs(impact)) OVER (PARTITION BY city, datetime, horizon) AS most FROM sized WHERE place <= 5)"""
+
+
 def alerts_sql(source: str) -> str:
     return f"""
 pk AS (SELECT city, aqi, datetime, row_number() OVER (PARTITION BY city ORDER BY aqi DESC, datetime) AS rn,
@@ -364,7 +399,6 @@ windows AS (SELECT city, "end", end_time AS datetime, CAST(CAST(aqi AS FLOAT) AS
   CAST(CAST(oldest_aqi AS FLOAT) AS DOUBLE) AS oldest_aqi, CAST(CAST(newest_aqi AS FLOAT) AS DOUBLE) AS newest_aqi
   FROM seq WHERE "end" >= 48 AND "end" < n - 24 AND ("end" - 48) % 6 = 0 AND usable = 48)"""
 
-CUTOFF = "(SELECT make_timestamp(CAST(trunc(quantile_cont(CAST(epoch_us(datetime) AS DOUBLE), 0.8e0)) AS BIGINT)) FROM {0})"
 
 PAYLOAD = f"""{ON_HOURLY}
 SELECT {', '.join(c if c in ('city', 'datetime') else r6(c) for c in RAW)} FROM raw
@@ -566,7 +600,33 @@ v AS (SELECT row_number() OVER (ORDER BY y) AS version, CAST(y AS VARCHAR) AS tr
 SELECT CAST(version AS INTEGER) AS version, trained_at, 'A' AS model, round(e, 3) AS rmse, n AS n_train, best IS NULL OR e < best AS promoted,
 version = (SELECT max(version) FROM v WHERE best IS NULL OR e < best) AS is_champion, best AS prev_champion_rmse FROM v""",
     "forecast_any_place": f"{FORECAST} SELECT 'Somewhere' AS city, 12.5e0 AS lat, 45.25e0 AS lon, NULL AS province, datetime, aqi, lower, upper, category FROM hours WHERE city = 'view'",
-    "forecast_72h": f"{FORECAST} SELECT city, datetime, TRUE AS bounded, TRUE AS labelled FROM hours",
+    "forecast_72h": f"{RIDGE_FORECAST} SELECT city, datetime, aqi, lower, upper, category FROM hours",
+    "explained_forecast": f"{RIDGE_FORECAST} SELECT * FROM told",
+    "explanation_lookup": f"""{RIDGE_FORECAST}, asked(city) AS (VALUES {', '.join(f"('{s[0]}')" for s in STATIONS)}, ('nowhere'))
+SELECT a.city, text AS explanation, CASE WHEN t.city IS NOT NULL THEN 'current AQI' END AS driver, for_time, CASE WHEN t.city IS NULL THEN 'No explanation available' END AS error
+FROM asked a LEFT JOIN told t ON t.city = a.city""",
+    "impact_bars": f"""{RIDGE_FORECAST} SELECT city, datetime, horizon, 'aqi_anchor' AS feature, 'current AQI' AS label, round_even(value - my, 1) AS impact,
+{r6("abs(round_even(value - my, 1)) / greatest(abs(round_even(value - my, 1)), 1.0e0)", 'bar')} FROM peaks""",
+    "trained_run": f"""{HOURLY_SUPERVISED}, {RIDGE_FIT},
+flat AS (SELECT covar_pop(aqi_anchor, y_aqi) / stddev_pop(aqi_anchor) * count(*) / (count(*) + 1e9) AS w0 FROM train),
+p AS (SELECT y_aqi, aqi_anchor, {RIDGE} AS ridge, my + w0 * (aqi_anchor - mx) / sx AS flat FROM valid, fit, flat),
+errors AS (SELECT 'Persistence (baseline)' AS model, {error_columns('y_aqi', 'aqi_anchor')} FROM p UNION ALL SELECT 'Ridge', {error_columns('y_aqi', 'ridge')} FROM p UNION ALL SELECT 'Flat', {error_columns('y_aqi', 'flat')} FROM p)
+SELECT errors.*, (SELECT model FROM errors WHERE model IN ('Ridge', 'Flat') ORDER BY rmse, model LIMIT 1) AS champion, (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM valid) AS n_valid,
+CAST(1 AS INTEGER) AS version, (SELECT round(CASE WHEN (SELECT model FROM errors WHERE model IN ('Ridge', 'Flat') ORDER BY rmse, model LIMIT 1) = 'Ridge' THEN avg({RIDGE}) ELSE avg(my + w0 * (aqi_anchor - mx) / sx) END, 6) + 0.0e0 FROM sup, fit, flat) AS mean_prediction FROM errors""",
+    "explained_rule": f"""{HOURLY_FEATURES}, {ANCHOR_ROWS}, {rule_ctes('inputs')}
+SELECT city, datetime, horizon, {r6('any_value(explained)', 'explained')}, 'Forecast AQI ≈ ' || CAST(round_even(any_value(explained), 0) AS BIGINT) || ' (baseline {RULE_BASE:.0f}). Main drivers: '
+  || string_agg(label || ' ' || CASE WHEN impact >= 0 THEN '+' ELSE '−' END || abs(impact), ', ' ORDER BY place) || '.' AS text,
+  string_agg(feature || ':' || label, ',' ORDER BY place) AS drivers, arg_min(impact, place) AS largest FROM top GROUP BY 1, 2, 3""",
+    "impact_bars_rule": f"""{HOURLY_FEATURES}, {ANCHOR_ROWS}, {rule_ctes('inputs')} SELECT city, datetime, horizon, feature, label, impact, {r6('abs(impact) / greatest(most, 1.0e0)', 'bar')} FROM top""",
+    "importance_rule": f"""{READING_SUPERVISED}, {rule_ctes('sup')} SELECT feature, {r6('avg(abs(p))', 'mean_abs')} FROM sized GROUP BY feature ORDER BY avg(abs(p)) DESC LIMIT 5""",
+    "supervised_sample": f"""{READING_SUPERVISED} SELECT {picked([*FEATURE_COLUMNS, 'y_aqi', 'city', 'datetime'])} FROM sup
+ORDER BY substr(md5(city || '|' || CAST(datetime AS VARCHAR) || '|' || horizon || '|42'), 1, 15), city, datetime, horizon LIMIT 5000""",
+    "listed_cities": f"""WITH {HOURLY}, dim(name, lat, lon, province) AS (VALUES {', '.join(f"('{n}', {la}e0, {lo}e0, '{p}')" for n, la, lo, p in STATIONS)})
+SELECT name, province, lat, lon, newest FROM dim JOIN (SELECT city AS name, max(datetime) AS newest FROM raw GROUP BY 1) USING (name)""",
+    "json_documents": f"{FORECAST} SELECT 'run-1' AS generated_at, city, datetime AS target_datetime, aqi AS predicted_aqi FROM hours",
+    "monitoring_answers": f"""{HOURLY_FEATURES}, {LOG}, {psi_ctes()}, worst AS (SELECT * FROM statuses ORDER BY round(psi, 3) DESC, position LIMIT 1)
+SELECT 14 AS recent_days, (SELECT count(*) FROM known, edge WHERE datetime < cut) AS reference_rows, (SELECT count(*) FROM known, edge WHERE datetime >= cut) AS recent_rows,
+(SELECT status FROM worst) AS overall_status, (SELECT feature FROM worst) AS worst_feature, count(*) AS scored_points, round_even(avg(abs(error)), 2) AS mae, round_even(sqrt(avg(error * error)), 2) AS rmse FROM scored""",
     "linear_attribution": f"{READING_SUPERVISED} SELECT city, datetime, horizon, TRUE AS exact, round(avg(y_aqi) OVER (), 6) + 0.0e0 AS base FROM sup",
     "tree_attribution": f"{READING_SUPERVISED} SELECT city, max(datetime) AS datetime, horizon, TRUE AS exact FROM sup GROUP BY city, horizon",
     "stream_refresh": f"{GAPPY_FEATURES} SELECT city, datetime, {r6('aqi')}, {r6('aqi_lag_24h')}, {r6('aqi_roll_std_24h')} FROM feats",

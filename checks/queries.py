@@ -273,7 +273,7 @@ def supervised_clock(spark, sf_dir):
 @query
 def supervised_sample(spark, sf_dir):
     rows = supervised_table(spark, sf_dir)
-    return supervised.exact_sample(rows, 5000, ["city", "datetime", "horizon"])
+    return supervised.exact_sample(rows, 5000, ["city", "datetime", "horizon"], portable=True)
 
 
 @query
@@ -404,6 +404,15 @@ def forecast_error(spark, sf_dir):
     return scoring.error_report(log, stored_hourly_features(spark, sf_dir)).drop("biggest_misses")
 
 
+@query
+def monitoring_answers(spark, sf_dir):
+    """Drift and forecast error as one client asks for them."""
+    rows = stored_hourly_features(spark, sf_dir)
+    found = reports.monitoring(rows, scoring.latest_log(forecast_log(spark, sf_dir)))
+    drifted = found["drift"].select("recent_days", "reference_rows", "recent_rows", "overall_status", "worst_feature")
+    return drifted.join(F.broadcast(found["forecast_error"].select("scored_points", "mae", "rmse")))
+
+
 @query
 def biggest_misses(spark, sf_dir):
     log = scoring.latest_log(forecast_log(spark, sf_dir))
@@ -710,6 +719,21 @@ def forecast_documents(spark, sf_dir):
     return scoring.flatten_documents(documents(spark, sf_dir))
 
 
+@query
+def json_documents(spark, sf_dir):
+    """The documents as written for other programs, read back and flattened."""
+    made, path = documents(spark, sf_dir), scratch_path(spark, "json")
+    inference.write_json(made, path)
+    return scoring.flatten_documents(spark.read.schema(made.schema).json(path))
+
+
+@query
+def listed_cities(spark, sf_dir):
+    """Places as a client lists them, with their newest hour."""
+    newest = hourly(spark, sf_dir).groupBy(F.col("city").alias("name")).agg(F.max("datetime").alias("newest"))
+    return reports.list_cities(station_dim(spark)).join(newest, "name")
+
+
 @query
 def forecast_lookup(spark, sf_dir):
     """Summaries of every station and of one that does not exist."""
@@ -871,12 +895,17 @@ def walk_forward_two_inputs(spark, sf_dir):
     return evaluation.walk_forward_ridge(supervised_table(spark, sf_dir), features=("aqi_anchor", "temperature_2m"), alpha=300.0)
 
 
+ONE_INPUT = ("aqi_anchor",)
+ONE_INPUT_ALPHA = 900.0
+
+
 def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:
+    """A saved and reloaded model of one input, whose numbers SQL can give, with intervals from the recent rows."""
     rows = stored_hourly_features(spark, sf_dir)
-    train = stored_once(spark, sf_dir, hourly_supervised)
-    fitted = models.fit_candidates(train, {"Ridge": models.ridge(train)})["Ridge"]
-    intervals = metrics.residual_intervals(fitted.predict(train))
-    bundle = ModelBundle("Ridge", fitted.model, intervals, "2024-01-01T00:00:00")
+    train, valid = supervised.time_split(stored_once(spark, sf_dir, hourly_supervised))
+    fitted = models.fit_candidates(train, {"Ridge": models.ridge(train, ONE_INPUT, alpha=ONE_INPUT_ALPHA)})["Ridge"]
+    intervals = metrics.residual_intervals(fitted.predict(valid))
+    bundle = ModelBundle("Ridge", fitted.model, intervals, "2024-01-01T00:00:00", feature_columns=ONE_INPUT)
     path = scratch_path(spark, "bundle")
     save_bundle(spark, bundle, path)
     return load_bundle(spark, path), rows
@@ -884,11 +913,9 @@ def _bundle(spark, sf_dir) -> tuple[ModelBundle, DataFrame]:
 
 @query
 def forecast_72h(spark, sf_dir):
-    """Saved and reloaded model, every station: hours whose values, bounds and labels agree."""
+    """Saved and reloaded model, every station: values, bounds and categories of the next hours."""
     bundle, rows = _bundle(spark, sf_dir)
-    hours = forecast.hourly_forecast(inference.score_hours(rows, bundle, as_of(rows)), bundle.intervals)
-    within = F.col("lower").between(0, F.col("upper")) & (F.col("upper") <= 500)
-    return hours.select(*KEY, within.alias("bounded"), F.col("category").isNotNull().alias("labelled"))
+    return forecast.hourly_forecast(inference.score_hours(rows, bundle, as_of(rows)), bundle.intervals)
 
 
 @query
@@ -898,6 +925,64 @@ def explained_forecast(spark, sf_dir):
     return explained.select("city", "explanation.*").drop("contributors")
 
 
+@query
+def explanation_lookup(spark, sf_dir):
+    """Explanations of every station and of one that does not exist, as a client asks for them."""
+    bundle, rows = _bundle(spark, sf_dir)
+    scored = materialize(inference.score_hours(rows, bundle, as_of(rows)), "scored")
+    made = inference.forecast_documents(scored, bundle.intervals, station_dim(spark), "run-1", inference.explanations(scored, bundle))
+    names = [r[0] for r in station_dim(spark).select("name").collect()] + ["nowhere"]
+    found = reports.get_explanation(made, names)
+    return found.select("city", "explanation", F.get("top_drivers", F.lit(0))["label"].alias("driver"), "for_time", "error")
+
+
+@query
+def trained_run(spark, sf_dir):
+    """A training run on one-input models: errors of all families, the promoted one, and what the saved bundle predicts."""
+    rows = stored_hourly_features(spark, sf_dir)
+    path, board = scratch_path(spark, "model"), scratch_path(spark, "board")
+
+    def families(train):
+        return {"Ridge": models.ridge(train, ONE_INPUT, alpha=ONE_INPUT_ALPHA), "Flat": models.ridge(train, ONE_INPUT, alpha=1e9)}
+
+    run = training.train(rows, pipelines=families, model_path=path, leaderboard_path=board, trained_at="run-1")
+    champion = leaderboard.load_leaderboard(spark, board).where("is_champion").select(F.col("model").alias("champion"), "n_train", "n_valid", "version")
+    scored = load_bundle(spark, path).predict(stored_once(spark, sf_dir, hourly_supervised))
+    means = scored.agg(F.avg("prediction").alias("mean_prediction"))
+    return run.results.join(F.broadcast(champion)).join(F.broadcast(means))
+
+
+RULE = {"aqi_anchor": (0.5, 100.0), "pm2_5_anchor": (0.25, 40.0), "wind_u": (-1.5, 0.0), "temperature_2m": (0.75, 20.0), "relative_humidity_2m": (-0.125, 60.0), "surface_pressure": (0.0625, 1000.0), "horizon": (0.25, 24.0)}
+RULE_BASE = 90.0
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    """Contributions under a fixed linear rule: weight times distance from a fixed middle."""
+    phi = F.array(*[F.lit(w) * (F.col(c).cast("double") - F.lit(m)) for c, (w, m) in RULE.items()])
+    return rows.withColumns({"base": F.lit(RULE_BASE), "phi": phi})
+
+
+@query
+def explained_rule(spark, sf_dir):
+    """Sentence and top contributors of every future hour under the rule."""
+    rows = stored_hourly_features(spark, sf_dir)
+    found = attribution.explain(_by_rule(forecast.forecast_inputs(rows, as_of(rows))), tuple(RULE))
+    said = F.array_join(F.transform("contributors", lambda c: F.concat_ws(":", c["feature"], c["label"])), ",")
+    return found.select(*KEY, "horizon", "explained", "text", said.alias("drivers"), F.get("contributors", F.lit(0))["impact"].alias("largest"))
+
+
+@query
+def impact_bars_rule(spark, sf_dir):
+    rows = stored_hourly_features(spark, sf_dir)
+    return attribution.impact_bars(attribution.explain(_by_rule(forecast.forecast_inputs(rows, as_of(rows))), tuple(RULE)))
+
+
+@query
+def importance_rule(spark, sf_dir):
+    """Mean size of the rule's contributions over all supervised rows, the five largest."""
+    return attribution.global_importance(_by_rule(supervised_table(spark, sf_dir)), tuple(RULE), k=5)
+
+
 @query
 def linear_attribution(spark, sf_dir):
     train = supervised_table(spark, sf_dir)
@@ -945,7 +1030,7 @@ def global_importance(spark, sf_dir):
 def impact_bars(spark, sf_dir):
     bundle, rows = _bundle(spark, sf_dir)
     scored = inference.peak_hours(inference.score_hours(rows, bundle, as_of(rows)))
-    return attribution.impact_bars(attribution.explain(inference.attribute(scored, bundle)))
+    return attribution.impact_bars(attribution.explain(inference.attribute(scored, bundle), bundle.feature_columns))
 
 
 @query

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # 2**20 hash buckets: the bucket counts are one small table whatever the input size.
 BUCKET_BITS = 20
 
 
-def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+def md5_order(*columns) -> Column:
+    """The first 60 bits of the MD5 of the columns as text, joined by bars: an order other engines can repeat."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("long")
+
+
+def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42, portable: bool = False) -> DataFrame:
     """The ``n`` rows with the smallest key hash; all rows when there are no more.
 
     ``keys`` must identify a row. Two counting passes find the hash of the n-th row;
     the sample itself is then a plain filter, so it keeps the input's partitioning.
+    ``portable`` orders by MD5, which other engines know, instead of the faster hash.
     """
     if n <= 0:
         return df.limit(0)
-    order = [F.xxhash64(*keys, F.lit(seed)).alias("_hash"), *keys]
-    bucket = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 64 - BUCKET_BITS)
+    mixed, bits = (md5_order(*keys, F.lit(seed)), 60) if portable else (F.xxhash64(*keys, F.lit(seed)), 64)
+    order = [mixed.alias("_hash"), *keys]
+    bucket = F.shiftrightunsigned(mixed, bits - BUCKET_BITS)
     counts = df.groupBy(bucket.alias("_bucket")).count()
     upto = Window.orderBy("_bucket")
     edge = (
@@ -30,7 +38,7 @@ def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> Data
     if edge is None:
         return df
     within = n - (edge["_end"] - edge["count"])
-    rows = df.select(*order).where(F.shiftrightunsigned("_hash", 64 - BUCKET_BITS) == edge["_bucket"])
+    rows = df.select(*order).where(F.shiftrightunsigned("_hash", bits - BUCKET_BITS) == edge["_bucket"])
     last = rows.orderBy("_hash", *keys).limit(within).orderBy(*[F.desc(c) for c in ("_hash", *keys)]).first()
     types = {f.name: f.dataType for f in rows.schema.fields}
     limit = F.struct(*[F.lit(str(last[c])).cast(types[c]).alias(c) for c in ("_hash", *keys)])

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.operators.blocks import (
@@ -14,7 +14,6 @@ from hazeline.operators.blocks import (
     DEFAULT_BLOCK_SECONDS,
     OWN,
     block_directory,
-    block_window,
     series_positions,
     with_halo,
 )
@@ -54,8 +53,9 @@ def build_sequences(
 ) -> DataFrame:
     """``end`` (row index after the window), ``datetime`` there, ``window`` and ``target``.
 
-    Every window is built at its target row, ``lead - 1`` rows after ``end``, so it only
-    looks back. Windows with a missing value are left out.
+    A block and the rows before it are one sorted array; windows are cut out of it at the
+    stride's ends alone, ``lead - 1`` rows before their target row, so they only look back.
+    Windows with a missing value are left out.
     """
     directory = block_directory(features, key="city", time="datetime", seconds=block_seconds)
     rows_back = length + lead - 1
@@ -65,36 +65,35 @@ def build_sequences(
         carry=list(columns),
         seconds=block_seconds,
     )
-    w = block_window()
-    span = w.rowsBetween(-rows_back, -lead)
     complete = F.lit(True)
     for c in columns:
         complete = complete & F.col(c).isNotNull()
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.struct(*[F.col(c).cast("float").alias(c) for c in columns])
-    rows = blocked.withColumn("_ok", complete).select(
-        "city",
-        BLOCK,
-        OWN,
-        F.sum(F.col(OWN).cast("int")).over(upto).alias("_nth"),
-        F.lag("datetime", lead - 1).over(w).alias("datetime"),
-        F.collect_list(step).over(span).alias("window"),
-        F.count_if("_ok").over(span).alias("_usable"),
-        F.col("aqi").cast("float").alias("target"),
-    )
-    placed = rows.where(F.col(OWN)).join(series_positions(directory), ["city", BLOCK])
-    end = F.col("rows_before") + F.col("_nth") - 1 - (lead - 1)
-    return (
-        placed.withColumn("end", end)
-        .where(
-            (F.col("end") >= length)
-            & (F.col("end") < F.col("series_rows") - lead)
-            & ((F.col("end") - length) % stride == 0)
-            & (F.col("_usable") == length)
-            & F.col("target").isNotNull()
+    row = F.struct("datetime", F.col(OWN).alias("own"), complete.alias("ok"), step.alias("step"), F.col("aqi").cast("float").alias("target"))
+    listed = blocked.groupBy("city", BLOCK).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    placed = listed.join(series_positions(directory), ["city", BLOCK])
+    # the p-th place (from 1) holds the target of the window that ends at series row p + shift
+    before = F.size(F.filter("s", lambda r: ~r["own"]))
+    shift = F.col("rows_before") - before - lead
+    first = F.greatest(before + 1, F.lit(length) - shift).cast("long")
+    start = first + F.pmod(F.lit(length) - first - shift, F.lit(stride))
+    last = F.least(F.size("s"), F.col("series_rows") - lead - 1 - shift).cast("long")
+    targets = F.when(start <= last, F.sequence(start, last, F.lit(stride).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def cut(p: Column) -> Column:
+        window = F.slice("s", (p - rows_back).cast("int"), F.lit(length))
+        target = F.get("s", (p - 1).cast("int"))
+        return F.struct(
+            (p + F.col("shift")).alias("end"),
+            F.get("s", (p - lead).cast("int"))["datetime"].alias("datetime"),
+            F.when(F.size(F.filter(window, lambda r: r["ok"])) == length, window["step"]).alias("window"),
+            target["target"].alias("target"),
         )
-        .select("city", "end", "datetime", "window", "target")
-    )
+
+    cuts = placed.select("city", "s", shift.alias("shift"), targets.alias("targets"))
+    # a place with fewer rows before it than the window takes holds no window
+    able = F.filter("targets", lambda p: p > rows_back)
+    return cuts.select("city", F.inline(F.transform(able, cut))).where("window IS NOT NULL AND target IS NOT NULL").select("city", "end", "datetime", "window", "target")
 
 
 def sequence_baseline(sequences: DataFrame, *, valid_fraction: float = 0.2) -> DataFrame:
