@@ -7,7 +7,9 @@ personalised PageRank over host edges, in DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +25,12 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
-ITERATIONS = 8
+#: Rounds go on until what is still on its way is below this share of all seeds.
+TOLERANCE = 1e-7
 #: A host is blocked if (trust - distrust) / (trust + distrust) is below this.
 THRESHOLD = 0.0
-#: Iterations between two written tables.
-STORED_EVERY = 4
+#: Rounds whose shares are added up together.
+ADDED_TOGETHER = 8
 
 #: A link with a host of its own; relative links stay on their host and carry nothing.
 LINK = r"""href\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
@@ -86,25 +89,45 @@ def _steps(edges: DataFrame) -> DataFrame:
     return both.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("total")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """kind, host, score after ``iterations`` rounds from ``seeds`` (kind, host, seed)."""
+def most_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Each round passes on at most ``damping`` of what the one before did."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """kind, host, score: personalised PageRank of ``seeds`` (kind, host, seed), up to ``tolerance`` of their sum.
+
+    The score is a sum over rounds: what the seeds keep, what arrives over one link, over two, and
+    so on. Only what arrived last is passed on, so hosts that nothing reaches any more cost nothing.
+    """
     steps = store(_steps(edges), "link-steps")
-    seeds = store(seeds, "link-seeds")
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for turn in range(1, iterations + 1):
-        sent = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        kept = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-        scores = sent.unionByName(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % STORED_EVERY == 0 and turn < iterations:
-            scores = store(scores, "link-scores")
-    return scores
-
-
-def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+    moving = store(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score")), "link-scores")
+    whole = moving.agg(F.sum("score")).first()[0] or 0.0
+    parts = [moving]
+    for _ in range(most_rounds(damping, tolerance)):
+        sent = moving.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        moving = store(sent.groupBy("kind", "host").agg(F.sum("score").alias("score")), "link-scores")
+        mass = moving.agg(F.sum("score")).first()[0] or 0.0
+        if not mass:
+            break
+        parts.append(moving)
+        if len(parts) > ADDED_TOGETHER:
+            parts = [store(_added(parts), "link-scores")]
+        if mass < tolerance * whole:
+            break
+    return _added(parts)
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+
+
+def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, host_score.
 
     Hosts with pages that a rule allows (blocks) are the seeds of trust (distrust), by their
-    number of such pages. Without a fitting rule a page has its host's verdict: block when
+    number of such pages; trust and distrust stay in pages, so that a host's own pages weigh alike
+    whatever the share of blocked pages in the whole crawl. Without a fitting rule a page has its host's verdict: block when
     the score is below ``threshold``. A host that neither reaches has score 0. Null urls and
     urls without ``://`` have an empty host and path, and the empty host is never a seed.
     Repeated rows are judged alike; null html has no links.
@@ -117,7 +140,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damp
         .groupBy(F.when(F.col("own") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
         .agg(F.count(F.lit(1)).cast("double").alias("seed"))
     )
-    scores = propagate(seeds, host_edges(pages.select("url", "html")), damping, iterations)
+    scores = propagate(seeds, host_edges(pages.select("url", "html")), damping, tolerance)
     trust, distrust = (F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) for k in ("trust", "distrust"))
     hosts = scores.groupBy("host").agg(((trust - distrust) / (trust + distrust)).alias("host_score"))
     return judged.join(hosts, "host", "left").select(

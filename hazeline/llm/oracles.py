@@ -60,13 +60,12 @@ def pages_sql() -> str:
         fits.append(f"('{rule}', '{name}', '{slash}{rest}')")
     kinds = ", ".join(f"('{k}', '{r}')" for k, r in linkgraph.RULES)
     link = linkgraph.LINK.replace("'", "''")
-    d, turns = linkgraph.DAMPING, []
-    for i in range(linkgraph.ITERATIONS):
-        turns.append(
-            f"""s{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
-  SELECT kind, "to" AS host, score * share * {d} AS score FROM s{i} JOIN steps USING (kind, host)
-  UNION ALL SELECT kind, host, seed * {1 - d} FROM seeds) GROUP BY 1, 2)"""
-        )
+    d, n = linkgraph.DAMPING, linkgraph.most_rounds()
+    turns = [
+        f"""s{i + 1} AS (SELECT kind, "to" AS host, sum(score * share * {d}) AS score FROM s{i} JOIN steps USING (kind, host) GROUP BY 1, 2)"""
+        for i in range(n)
+    ]
+    every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(n + 1))
     return f"""
 WITH p AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
 q AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -82,10 +81,10 @@ links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}'
 edges AS (SELECT src, dst, count(*) AS links FROM links WHERE src != '' AND dst != '' AND src != dst GROUP BY 1, 2),
 ways AS (SELECT 'trust' AS kind, src AS host, dst AS "to", links FROM edges UNION ALL SELECT 'distrust', dst, src, links FROM edges),
 steps AS (SELECT kind, host, "to", links / sum(links) OVER (PARTITION BY kind, host) AS share FROM ways),
-s0 AS (SELECT kind, host, seed AS score FROM seeds),
-{", ".join(turns)},
+s0 AS MATERIALIZED (SELECT kind, host, seed * {1 - d} AS score FROM seeds),
+{", ".join(turns).replace(" AS (", " AS MATERIALIZED (")},
 hosts AS (SELECT host, (t - b) / (t + b) AS host_score FROM (SELECT host, sum(CASE kind WHEN 'trust' THEN score ELSE 0 END) AS t,
-  sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS b FROM s{linkgraph.ITERATIONS} GROUP BY 1))
+  sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS b FROM ({every}) GROUP BY 1))
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN host_score < {linkgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(host_score, 0.0), 6) AS host_score
 FROM judged LEFT JOIN hosts USING (host)

@@ -80,12 +80,29 @@ def test_link_graph_decides_hosts_without_rules(spark):
     assert got[3].verdict == "block"  # links to a blocked host
     assert all(got[i].verdict == "allow" for i in (1, 4, 5, 6, 7, 8, 9, 10, 13, 14))
     edges = {("good.org", "friend.net"): 2, ("good.org", "far.net:80"): 1, ("friend.net", "second.net"): 1, ("x.com", "victim.net"): 1, ("farm.net", "x.com"): 2}
-    trust = propagated({"good.org": 2.0, "x.com": 1.0}, edges, linkgraph.DAMPING, linkgraph.ITERATIONS)
-    distrust = propagated({"x.com": 1.0, "a.example.org": 1.0, "example.org": 1.0, "Àb.com": 1.0}, {(b, a): n for (a, b), n in edges.items()}, linkgraph.DAMPING, linkgraph.ITERATIONS)
+    trust = propagated({"good.org": 2.0, "x.com": 1.0}, edges, linkgraph.DAMPING, 400)
+    distrust = propagated({"x.com": 1.0, "a.example.org": 1.0, "example.org": 1.0, "Àb.com": 1.0}, {(b, a): n for (a, b), n in edges.items()}, linkgraph.DAMPING, 400)
     for r in got.values():
         t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
         assert abs(r.host_score - ((t - d) / (t + d) if t + d else 0.0)) < 1e-6
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 30
+    pages = [(0, "https://h0.com/de/x", "")] + [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}.{"com" if i == 1 else "net"}/">x</a>') for i in range(1, n)]
+    got = {r.page_id: r for r in linkgraph.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].host_score == -1 for i in range(n))
+
+
+def test_cycles_converge(spark):
+    edges = {("a", "b"): 2, ("b", "c"): 1, ("c", "a"): 1, ("b", "a"): 3, ("c", "d"): 1, ("d", "d2"): 1, ("d2", "d"): 1}
+    seeds = {"a": 1.0, "d": 0.25}
+    frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, links long")
+    seeded = spark.createDataFrame([("trust", h, s) for h, s in seeds.items()], "kind string, host string, seed double")
+    got = {r.host: r.score for r in linkgraph.propagate(seeded, frame).collect()}
+    want = propagated(seeds, edges, linkgraph.DAMPING, 400)
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-6 for h in want)
+
+
 def test_no_pages(spark):
     assert linkgraph.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
