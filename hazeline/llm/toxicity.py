@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words without outer punctuation and their first three to six letters,
-hashed. On the fitting sample, the buckets more frequent in toxic texts than chance explains
-become inputs; the machine has a weight for each and a vector whose products weigh pairs,
-such as an insult beside a mention of a group.
+hashed. On the fitting sample, buckets more or less frequent in toxic texts than chance explains
+become inputs, and so do both buckets of every pair that says more together than either alone,
+such as an insult beside a mention of a group; the machine has a weight for each input and a
+vector whose products weigh pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from hazeline.llm.samples import fit_in_task, labelled_sample, prior_shift
 BUCKETS = 1 << 20
 #: The bound of the fitting sample: so many rows of each class.
 ROWS_PER_CLASS = 4_000
-#: Inputs at most, and how many standard errors above chance each must be.
-MOST_INPUTS = 2_048
-LEAST_Z = 5.0
+#: How many standard errors from chance a bucket must be to become an input by itself, and by how
+#: many a pair must be further from chance than either bucket of it.
+LEAST_Z = 4.0
+PAIR_Z = 6.0
+#: Pairs are looked for among buckets that at least this share of the sample's texts holds.
+PAIR_SHARE = 1 / 40
+PAIR_BLOCK = 1_024
 FACTORS = 8
 FOLDS = 5
 _EPOCHS = 8
@@ -90,6 +95,44 @@ def _buckets(text: str) -> np.ndarray:
     return np.unique(np.array([t for w in set(text.lower().split()) for t in terms(w)], np.int64))
 
 
+def _excess(in1: np.ndarray, in0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Standard errors by which toxic texts hold something more often than clean ones."""
+    share = (in1 + in0) / (n1 + n0)
+    return (in1 / n1 - in0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+
+
+def _paired(held: list[np.ndarray], y: np.ndarray, texts: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that together say more than either alone, also where each alone says nothing.
+
+    A pair's z is below the root of the texts that hold it, so buckets in very few texts cannot
+    make one; ``PAIR_SHARE`` bounds the others. They are counted in pairs, block by block.
+    """
+    usual = np.flatnonzero(texts >= max(PAIR_Z**2, PAIR_SHARE * len(y)))
+    place = np.full(BUCKETS, -1)
+    place[usual] = np.arange(len(usual))
+    order = np.argsort(y, kind="stable")
+    table = np.zeros((len(held), len(usual)), np.uint8)
+    for i, own in enumerate(held):
+        at = place[own]
+        table[i, at[at >= 0]] = 1
+    sides = [order[: int((y == 0).sum())], order[int((y == 0).sum()) :]]
+    alone, found = np.abs(z[usual]), np.zeros(len(usual), bool)
+    for start in range(0, len(usual), PAIR_BLOCK):
+        cut, rest = slice(start, start + PAIR_BLOCK), slice(start, None)
+        counts = []
+        for side in sides:
+            total = np.zeros((len(alone[cut]), len(alone[rest])), np.float32)
+            for at in range(0, len(side), PAIR_BLOCK):
+                part = table[side[at : at + PAIR_BLOCK], start:].astype(np.float32)
+                total += part[:, :PAIR_BLOCK].T @ part
+            counts.append(total)
+        both = _excess(counts[1], counts[0], len(sides[1]), len(sides[0]))
+        more = np.abs(both) - np.maximum(alone[cut][:, None], alone[rest]) >= PAIR_Z
+        found[cut] |= more.any(axis=1)
+        found[rest] |= more.any(axis=0)
+    return usual[found]
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 3) -> Machine | None:
     """Mini-batch gradient steps (Adam) on the log loss; None without both classes."""
     y = np.array(labels, float)
@@ -101,11 +144,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Machine | None:
     in1, in0 = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for own, label in zip(held, labels, strict=True):
         (in1 if label else in0)[own] += 1
-    share = (in1 + in0) / len(y)
-    z = (in1 / n1 - in0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    z = _excess(in1, in0, n1, n0)
     z[in1 < LEAST_TEXTS] = 0
-    order = np.argsort(-z, kind="stable")[:MOST_INPUTS]
-    buckets = np.sort(order[z[order] >= LEAST_Z])
+    buckets = np.union1d(np.flatnonzero(np.abs(z) >= LEAST_Z), _paired(held, y, in1 + in0, z))
     rows = [np.searchsorted(buckets, own[np.isin(own, buckets)]) for own in held]
     k = len(buckets)
     rng = np.random.default_rng(seed)

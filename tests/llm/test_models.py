@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from hazeline.llm import quality, toxicity
 from hazeline.llm.samples import labelled_sample, prior_shift
@@ -127,3 +128,38 @@ def test_no_rows_and_no_labels(spark):
     assert all(r.quality is None and r.kept != r.base_failed for r in judged)
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert quality.judge(docs.limit(0), None).collect() == [] and toxicity.score(docs.limit(0), None).collect() == []
+
+
+def test_pairs_of_neutral_words_are_learned():
+    """Each word is equally common in both classes; only the pair tells."""
+    rng = random.Random(1)
+
+    def texts(n):
+        out = []
+        for _ in range(n):
+            a, b = rng.choice("pq"), rng.choice("rs")
+            words = [f"w{rng.randint(0, 400)}" for _ in range(25)] + ["alpha" + a, "gamma" + b]
+            rng.shuffle(words)
+            out.append((" ".join(words), int(a + b in ("pr", "qs"))))
+        return out
+
+    machine = toxicity.fit(*map(list, zip(*texts(3000))))
+    inputs = toxicity.WordInputs(machine)
+    right = [(machine.score(inputs.active(t)) >= 0.5) == y for t, y in texts(600)]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, 8)))
+    for active in ([], [4], [0, 3, 7, 11], list(range(12))):
+        raw = machine.bias + sum(machine.weights[i] for i in active)
+        raw += sum(machine.factors[i] @ machine.factors[j] for i in active for j in active if i < j)
+        assert machine.score(np.array(active, int)) == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_a_rare_slur_is_an_input():
+    rng = random.Random(3)
+    rows = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(25)) + (" slurword" if i % 2 and i < 40 else "") for i in range(4000)]
+    machine = toxicity.fit(rows, [i % 2 for i in range(4000)])
+    assert toxicity.terms("slurword")[0] in machine.buckets
