@@ -42,6 +42,7 @@ HEADLINE = (
     "scenario_features",
     "sequence_windows",
     "ridge_metrics",
+    "walk_forward_two_inputs",
 )
 
 
