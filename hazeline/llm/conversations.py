@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +105,7 @@ def unpack(value: int, n: int) -> tuple[int, list[tuple[int, int]]]:
     return value >> width, pairs
 
 
-def as_edges(steps: list[tuple[Edge, ...]], starts: tuple[int, ...] = (0, 1, 2, 3)) -> tuple[Edge, ...]:
+def as_edges(steps: list[tuple[Edge, ...]]) -> tuple[Edge, ...]:
     """A run of steps as one step: an edge for each pair of states, its digit the audit's rank.
 
     From one state two ways out never have the same audit, as the state follows from it, and
@@ -114,7 +113,7 @@ def as_edges(steps: list[tuple[Edge, ...]], starts: tuple[int, ...] = (0, 1, 2,
     """
     width = 2 * DIGIT * len(steps)
     out = []
-    for start in starts:
+    for start in range(4):
         ways = cheapest(steps, start)
         for rank, to in enumerate(sorted(ways, key=lambda s: ways[s] & ((1 << width) - 1)), 1):
             out.append((start, to, ways[to] >> width, rank, 0))
