@@ -13,19 +13,23 @@ leave open are compared with all their candidates. No group is expanded into all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import free_names, mix, small_batches, store, word_hashes
+from hazeline.llm.common import free_names, mix, small_batches, store
 
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
 #: Words are counted in so many slots, a fixed size whatever the input; the order within a slot is by hash.
 SLOTS = 1 << 18
 SLOT_BLOCKS = 64
+#: Places (a power of two) that tell words in one line of the corpus from words in more; also a fixed size.
+TWICE_BITS = 22
 #: More lines than this under one word are compared in pairs of blocks, each a task's group of its own.
 LIST_ROWS = 1 << 15
 #: Sets of up to so many words have a bitmap of 64 and of 128 bits, larger ones one of 256.
@@ -50,20 +54,72 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
             first, size = i + 1, 0
 
 
+#: Words of up to so many times 8 bytes are hashed side by side.
+_CHUNKS = 4
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LENGTHS = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word, from its bytes eight at a time."""
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    np.logical_or(data[:-8] == 32, (data[:-8] - np.uint8(9)) < 5, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.lib.stride_tricks.as_strided(data, (len(raw) + 1, 8), (1, 1), writeable=False)
+    hashes = size.astype(np.uint64) * _LENGTHS
+    at = np.flatnonzero(size <= 8 * _CHUNKS)
+    for chunk in range(0, 8 * _CHUNKS, 8):
+        at = at[size[at] > chunk]
+        value = np.ascontiguousarray(eight[starts[at] + chunk]).view(np.uint64)[:, 0]
+        hashes[at] = mix(hashes[at] + (value & _MASKS[np.minimum(size[at] - chunk, 8)]))
+    for i in np.flatnonzero(size > 8 * _CHUNKS).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + size[i]])
+    return starts, hashes
+
+
+def _sorted_words(line: np.ndarray, lead: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
+    """Places of words ordered by line, lead (below 256) and hash.
+
+    One integer holds line, lead, leading hash bits and the place, so that a plain sort does;
+    where the bits kept do not tell two words of a line apart, all keys are compared.
+    """
+    place_bits = max(len(hashes) - 1, 1).bit_length()
+    room = 64 - place_bits - 8 - max(lines, 1).bit_length()
+    if room >= 16:
+        front = (line.astype(np.uint64) << np.uint64(8) | lead.astype(np.uint64)) << np.uint64(room) | hashes >> np.uint64(64 - room)
+        key = np.sort(front << np.uint64(place_bits) | np.arange(len(hashes), dtype=np.uint64))
+        order = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        alike = key[1:] >> np.uint64(place_bits) == key[:-1] >> np.uint64(place_bits)
+        if (hashes[order[1:][alike]] == hashes[order[:-1][alike]]).all():
+            return order
+    return np.lexsort((hashes, lead, line))
+
+
+class Corpus(NamedTuple):
+    """How often words of each slot are held by lines, in quarters of powers of two (a coarse
+    count orders as well as a fine one), and which places hold a word of two lines or more."""
+
+    lead: np.ndarray
+    twice: np.ndarray
+
+
 class Sets:
     """The distinct word hashes of many lines side by side, rarest first, and which line each belongs to.
 
     With ``asked`` (a filter of words by leading hash bits), only lines that hold such a word.
     """
 
-    def __init__(self, texts: list[str | None], counts: np.ndarray | None = None, asked: np.ndarray | None = None):
+    def __init__(self, texts: list[str | None], corpus: Corpus | None = None, asked: np.ndarray | None = None):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         whole = b"\n".join(raw)
         text_starts = np.cumsum([0, *[len(r) + 1 for r in raw]])[:-1]
         breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
-        word_starts, hashes = word_hashes(whole)
-        physical = np.searchsorted(breaks, word_starts)
-        held, line = np.unique(physical, return_inverse=True)
+        word_starts, hashes = _word_hashes(whole)
+        words = np.diff(np.concatenate([[0], np.searchsorted(word_starts, breaks), [len(hashes)]]))
+        held = np.flatnonzero(words)
+        line = np.repeat(np.arange(len(held)), words[held])
         line_starts = np.concatenate([[0], breaks + 1])
         self.text = np.searchsorted(text_starts, line_starts[held], side="right") - 1
         self.number = held - np.searchsorted(line_starts, text_starts)[self.text]
@@ -71,14 +127,14 @@ class Sets:
             use = np.bincount(line, asked[(hashes >> np.uint64(64 - ASKED_BITS)).astype(np.int64)], len(held)) > 0
             hashes, line = hashes[use[line]], (np.cumsum(use) - 1)[line[use[line]]]
             self.text, self.number = self.text[use], self.number[use]
-        unique, number = np.unique(hashes, return_inverse=True)
-        order = np.lexsort((unique, *([] if counts is None else [counts[_slot(unique)]])))
-        rank = np.empty(len(unique), np.int64)
-        rank[order] = np.arange(len(unique))
-        key = np.sort(line << 32 | rank[number])
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        self.line = key >> 32
-        self.hashes = unique[order[key & 0xFFFFFFFF]]
+        lead = np.zeros(len(hashes), np.uint8)
+        if corpus is not None:
+            lead = corpus.lead[_slot(hashes)]
+        order = _sorted_words(line, lead, hashes, len(self.text))
+        line, hashes = line[order], hashes[order]
+        once = np.ones(len(line), bool)
+        once[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+        self.line, self.hashes = line[once], hashes[once]
         self.size = np.bincount(self.line, minlength=len(self.text))
         self.start = np.cumsum(self.size) - self.size
         self.set = self._set_hashes()
@@ -92,8 +148,8 @@ class Sets:
         total = np.add.reduceat(mix(mix(self.hashes)), self.start)
         return mix(total + self.size.astype(np.uint64)).view(np.int64)
 
-    def bitmaps(self) -> list[np.ndarray]:
-        """Four 64-bit words per line: the parity of its words per bit, folded for smaller sets.
+    def bitmaps(self) -> np.ndarray:
+        """Four 64-bit words per line, zero beyond ``_bitmap_width``: the parity of its words per bit, folded for smaller sets.
 
         Differing bits never outnumber differing words.
         """
@@ -109,31 +165,58 @@ class Sets:
             np.where(middle, none, w[2]),
             np.where(middle, none, w[3]),
         ]
-        return [x.view(np.int64) for x in out]
+        return np.stack(out, axis=1)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def _slot_counts(counted: DataFrame) -> np.ndarray:
-    """How many lines of the corpus hold a word of each slot (64-bit counts, 2 MB in all).
+def _twice_place(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - TWICE_BITS)).astype(np.int64)
+
+
+def _mark(places: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+    """Adds words at ``places`` to the places seen once and those seen more often."""
+    places = np.sort(places)
+    again = places[1:] == places[:-1]
+    twice[places[1:][again]] = True
+    first = places[np.concatenate([[True], ~again])] if len(places) else places
+    twice[first[once[first]]] = True
+    once[first] = True
+
+
+def _bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+
+
+def _corpus(counted: DataFrame) -> Corpus:
+    """What all tasks counted, added up (2 MB of counts and half a MB of places reach the driver).
 
-    ``counted`` has the rows ``set`` (a block of slots) and ``counts`` of every task.
+    ``counted`` has the rows ``set`` (a block of slots) and ``counts`` of every task: the counts
+    of its slots, then bit by bit its places seen and those seen twice.
     """
-    width = SLOTS // SLOT_BLOCKS
+    width, places = SLOTS // SLOT_BLOCKS, (1 << TWICE_BITS) // SLOT_BLOCKS
+    ends = [8 * width, 8 * width + places // 8]
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total, once, twice = np.zeros(width, np.int64), np.zeros(places, bool), np.zeros(places, bool)
         for batch in batches:
-            for blob in batch.column("counts"):
-                total += np.frombuffer(blob.as_py(), np.int64)
-        yield pa.RecordBatch.from_pydict({"set": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    counts = np.zeros(SLOTS, np.int64)
+            for value in batch.column("counts"):
+                blob = value.as_py()
+                total += np.frombuffer(blob[: ends[0]], np.int64)
+                seen = _bits(blob[ends[0] : ends[1]])
+                twice |= _bits(blob[ends[1] :]) | (once & seen)
+                once |= seen
+        blob = total.tobytes() + np.packbits(twice).tobytes()
+        yield pa.RecordBatch.from_pydict({"set": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([blob], pa.binary())})
+
+    corpus = Corpus(np.zeros(SLOTS, np.uint8), np.zeros(1 << TWICE_BITS, bool))
     for r in counted.groupBy("set").applyInArrow(add, "set long, counts binary").collect():
-        counts[r["set"] * width : (r["set"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return counts
+        blob, block = bytes(r["counts"]), r["set"]
+        corpus.lead[block * width : (block + 1) * width] = 4 * np.log2(1 + np.frombuffer(blob[: ends[0]], np.int64))
+        corpus.twice[block * places : (block + 1) * places] = _bits(blob[ends[0] :])
+    return corpus
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -157,33 +240,69 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(SLOTS, np.int64)
+        once, twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
         for batch in batches:
             for first, texts in _slices(batch.column("text").to_pylist()):
                 sets = Sets(texts)
                 if not len(sets):
                     continue
                 totals += np.bincount(_slot(sets.hashes), minlength=SLOTS)
+                _mark(_twice_place(sets.hashes), once, twice)
                 at = pa.array(sets.text + first, pa.int64())
                 columns = {c: batch.column(c).take(at) for c in PLACE}
                 columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
                 yield pa.RecordBatch.from_pydict(columns | {"counts": pa.nulls(len(sets), pa.binary())})
         if totals.any():
-            n, width = SLOT_BLOCKS, SLOTS // SLOT_BLOCKS
+            n = SLOT_BLOCKS
+            parts = [totals.reshape(n, -1), np.packbits(once).reshape(n, -1), np.packbits(twice).reshape(n, -1)]
             columns = {"null_id": pa.nulls(n, pa.int32()), "id": pa.nulls(n, pa.int64()), "text_hash": pa.nulls(n, pa.int64()), "line": pa.nulls(n, pa.int32())}
             columns |= {"set": pa.array(range(n), pa.int64()), "size": pa.nulls(n, pa.int32())}
-            blobs = [totals[b * width : (b + 1) * width].tobytes() for b in range(n)]
+            blobs = [b"".join(part[b].tobytes() for part in parts) for b in range(n)]
             yield pa.RecordBatch.from_pydict(columns | {"counts": pa.array(blobs, pa.binary())})
 
     return keyed.mapInArrow(run, "null_id int, id long, text_hash long, line int, set long, size int, counts binary")
 
 
-POSTING = ("word", "set", "size", "place", "first", "w0", "w1", "w2", "w3")
-_KINDS = {c: "int" if c in ("size", "place") else "long" for c in POSTING}
-_ARROW = {c: pa.int32() if k == "int" else pa.int64() for c, k in _KINDS.items()}
+#: ``shape`` is size and place in the order in one number, ``bits`` a bitmap of 8, 16 or 32 bytes.
+POSTING = ("word", "set", "shape", "first", "bits")
+_KINDS = {c: "binary" if c == "bits" else "long" for c in POSTING}
+_ARROW = {c: pa.binary() if k == "binary" else pa.int64() for c, k in _KINDS.items()}
+
+
+def _bitmap_width(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmaps of sets of these sizes."""
+    return np.where(size <= BITMAP_WORDS[0], 1, np.where(size <= BITMAP_WORDS[1], 2, 4))
+
+
+def _packed(rows: dict[str, np.ndarray]) -> list[pa.Array]:
+    """The columns of ``POSTING`` of rows with size, place and four words of bits each."""
+    width = _bitmap_width(rows["size"])
+    data = rows["bits"][np.arange(4) < width[:, None]]
+    ends = np.concatenate([[0], np.cumsum(8 * width)]).astype(np.int32)
+    bits = pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    shape = rows["size"].astype(np.int64) << 32 | rows["place"]
+    return [pa.array(rows["word"]), pa.array(rows["set"]), pa.array(shape), pa.array(rows["first"]), bits]
+
 
+def _unpacked(batch: pa.RecordBatch, more: list[str]) -> dict[str, np.ndarray]:
+    """Rows as ``_packed`` takes them, with the columns ``more`` as they are."""
+    rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["word", "set", "first", *more]}
+    shape = batch.column("shape").to_numpy()
+    rows["size"], rows["place"] = shape >> 32, shape & 0xFFFFFFFF
+    rows["bits"] = np.zeros((len(shape), 4), np.uint64)
+    column = batch.column("bits")
+    _, ends, data = column.buffers()
+    if len(shape):
+        first, last = np.frombuffer(ends, np.int32)[[column.offset, column.offset + len(shape)]]
+        rows["bits"][np.arange(4) < _bitmap_width(rows["size"])[:, None]] = np.frombuffer(data, np.uint64, (last - first) // 8, first)
+    return rows
 
-def _posting_rows(sets: Sets, ids: np.ndarray) -> pa.RecordBatch | None:
-    """Index rows of the lines of some texts, whose ids are given."""
+
+def _posting_rows(sets: Sets, ids: np.ndarray, corpus: Corpus) -> pa.RecordBatch | None:
+    """Index rows of the lines of some texts, whose ids are given.
+
+    A word that no other line of the corpus holds gives no pair and no row.
+    """
     if not len(sets):
         return None
     # huge ids and line numbers tie; ties are tried both ways
@@ -197,13 +316,14 @@ def _posting_rows(sets: Sets, ids: np.ndarray) -> pa.RecordBatch | None:
     place = np.arange(len(line)) - sets.start[line]
     n = sets.size - -(-NUM * sets.size // DEN) + 1
     use = stands[line] & (place < n[line])
-    line, place, words = line[use], place[use], sets.hashes[use].view(np.int64)
-    columns = [words, sets.set[line], sets.size[line], place, seen[line], *[w[line] for w in sets.bitmaps()]]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[k].to_pandas_dtype())) for k, c in zip(POSTING, columns, strict=True)], list(POSTING))
+    use[use] = corpus.twice[_twice_place(sets.hashes[use])]
+    line = line[use]
+    rows = {"word": sets.hashes[use].view(np.int64), "set": sets.set[line], "size": sets.size[line], "place": place[use]}
+    return pa.RecordBatch.from_arrays(_packed(rows | {"first": seen[line], "bits": sets.bitmaps()[line]}), list(POSTING))
 
 
-def _postings(keyed: DataFrame, counts: np.ndarray, asked: np.ndarray | None = None) -> DataFrame:
-    """One row per set of a slice of texts and indexed word: word, set, size, place in the order, bitmap.
+def _postings(keyed: DataFrame, corpus: Corpus, asked: np.ndarray | None = None) -> DataFrame:
+    """One row per set of a slice of texts and indexed word: word, set, size and place in the order, bitmap.
 
     ``first`` is about where the set is first seen in them (by document, then line); it
     only says which candidates to try first. Sets of fewer than NUM words are alike only to
@@ -214,7 +334,8 @@ def _postings(keyed: DataFrame, counts: np.ndarray, asked: np.ndarray | None = N
         for batch in batches:
             null_ids, ids = batch.column("null_id").to_numpy(), batch.column("id").to_numpy()
             for at, texts in _slices(batch.column("text").to_pylist()):
-                rows = _posting_rows(Sets(texts, counts, asked), np.where(null_ids == 1, 1 << 50, ids)[at : at + len(texts)])
+                own = np.where(null_ids == 1, 1 << 50, ids)[at : at + len(texts)]
+                rows = _posting_rows(Sets(texts, corpus, asked), own, corpus)
                 if rows is not None:
                     yield rows
 
@@ -223,7 +344,7 @@ def _postings(keyed: DataFrame, counts: np.ndarray, asked: np.ndarray | None = N
 
 def _differing_bits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Differing bits of two bitmaps at the width of the smaller set, which is i's."""
-    x = [(rows[f"w{k}"][i] ^ rows[f"w{k}"][j]).view(np.uint64) for k in range(4)]
+    x = (rows["bits"][i] ^ rows["bits"][j]).T
     small, middle = rows["size"][i] <= BITMAP_WORDS[0], rows["size"][i] <= BITMAP_WORDS[1]
     none = np.uint64(0)
     folded = [
@@ -296,13 +417,20 @@ class Tried:
         return np.unique(np.stack([own[np.concatenate(self.late)], own[np.concatenate(self.early)]], axis=1), axis=0)
 
 
+def _new_keys(rows: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    return np.concatenate([[True], np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])])
+
+
 def _once(rows: dict[str, np.ndarray], keys: list[str]) -> dict[str, np.ndarray]:
-    """Sorted rows with each set once in a list, at its earliest."""
-    same = [*keys, "set"]
-    if not len(rows["set"]):
-        return rows
-    new = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in same])
-    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    """Rows whose lists follow each other, each list by size with a set once, at its earliest."""
+    group, size = np.cumsum(_new_keys(rows, keys)), rows["size"]
+    if group[-1] >> 20 or size.max() >> 20:
+        order = np.lexsort((rows["set"], size, group))
+    else:  # bits of the set part all but a few equal sizes; a set that stays twice is only tried twice
+        key = (group << 20 | size).astype(np.uint64) << np.uint64(24) | rows["set"].view(np.uint64) >> np.uint64(40)
+        order = np.argsort(key)
+    rows = {c: v[order] for c, v in rows.items()}
+    starts = np.flatnonzero(_new_keys(rows, [*keys, "set"]))
     out = {c: v[starts] for c, v in rows.items()}
     out["first"] = np.minimum.reduceat(rows["first"], starts)
     return out
@@ -315,7 +443,7 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
     if it had more. With ``asked``, only pairs of which one row has ``open`` come back. With ``spill``,
     rows of words with too many lines come back as they are, with b null.
     """
-    columns = [*dict.fromkeys([*keys, *POSTING]), *(["open"] if asked else [])]
+    extra = [*(k for k in keys if k not in POSTING), *(["open"] if asked else [])]
     rest = [c for c in POSTING if c != "set"]
 
     def candidates(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
@@ -333,7 +461,8 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
 
     def spilled(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         n = len(rows["set"])
-        return pa.RecordBatch.from_arrays([pa.array(rows["set"]), pa.nulls(n, pa.int64()), *[pa.array(rows[c]) for c in rest]], ["a", "b", *rest])
+        packed = dict(zip(POSTING, _packed(rows), strict=True))
+        return pa.RecordBatch.from_arrays([packed["set"], pa.nulls(n, pa.int64()), *[packed[c] for c in rest]], ["a", "b", *rest])
 
     def cut(rows: dict[str, np.ndarray], where) -> dict[str, np.ndarray]:
         return {c: v[where] for c, v in rows.items()}
@@ -342,9 +471,9 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
         kept: dict[str, np.ndarray] | None = None
         over: list[int] | None = None  # the key of a list that has become too long
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            rows = _unpacked(batch, extra)
             if kept is not None:
-                rows = {c: np.concatenate([kept[c], rows[c]]) for c in columns}
+                rows = {c: np.concatenate([kept[c], v]) for c, v in rows.items()}
             if over is not None:
                 same = np.logical_and.reduce([rows[k] == v for k, v in zip(keys, over, strict=True)])
                 if same.any():
@@ -355,8 +484,7 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
                 kept = rows
                 continue
             rows = _once(rows, keys)
-            new = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            starts = np.flatnonzero(_new_keys(rows, keys))
             if starts[-1]:
                 yield candidates(cut(rows, slice(0, starts[-1])), starts[:-1])
             kept = cut(rows, slice(starts[-1], None))
@@ -367,9 +495,10 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
         if kept is not None and len(kept["set"]):
             yield candidates(kept, np.array([0]))
 
-    dealt = postings.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "size", "set")
+    # rows of a list need only be neighbours: a sort by one number is quick, the rest is sorted list by list
+    dealt = postings.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     schema = ", ".join(["a long", "b long", *[f"{c} {_KINDS[c]}" for c in rest]])
-    return dealt.select(columns).mapInArrow(run, schema)
+    return dealt.select(*POSTING, *extra).mapInArrow(run, schema)
 
 
 def _in_blocks(long: DataFrame) -> DataFrame:
@@ -451,9 +580,9 @@ def _verified(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFram
     return alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("set")).distinct()
 
 
-def late_sets(keyed: DataFrame, firsts: DataFrame, counts: np.ndarray) -> DataFrame:
+def late_sets(keyed: DataFrame, firsts: DataFrame, corpus: Corpus) -> DataFrame:
     """The sets whose first line comes after a line of another set that is alike to it."""
-    tried = store(_candidates(_postings(keyed, counts), FIRST_TRIED), "line-candidates")
+    tried = store(_candidates(_postings(keyed, corpus), FIRST_TRIED), "line-candidates")
     late = store(_verified(keyed, firsts, tried.where("b != 0").select("a", "b").distinct()), "line-late")
     # sets with more candidates than were tried, none of which settled them
     still_open = store(tried.where("b = 0").select(F.col("a").alias("set"), "word").join(late, "set", "left_anti"), "line-open")
@@ -463,7 +592,7 @@ def late_sets(keyed: DataFrame, firsts: DataFrame, counts: np.ndarray) -> DataFr
     asked = _word_filter(still_open)
     words = still_open.select("word").distinct()
     sets = still_open.select("set").distinct().withColumn("open", F.lit(True))
-    again = _postings(keyed, counts, asked).join(words, "word", "left_semi").join(sets, "set", "left")
+    again = _postings(keyed, corpus, asked).join(words, "word", "left_semi").join(sets, "set", "left")
     again = store(again.withColumn("open", F.coalesce("open", F.lit(False))), "line-again")
     rest = store(_candidates(again, None, asked=True), "line-candidates")
     return late.union(_verified(keyed, firsts, rest)).distinct()
@@ -478,11 +607,11 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     small_batches(docs.sparkSession)
     stored = store(_lines(keyed), "lines")
-    counts = _slot_counts(stored.where("line IS NULL").select("set", "counts"))
+    corpus = _corpus(stored.where("line IS NULL").select("set", "counts"))
     lines = stored.where("line IS NOT NULL").drop("counts")
     place = F.struct(*PLACE, "line")
     firsts = store(lines.groupBy("set").agg(F.min(place).alias("first")).select("set", "first.*"), "line-firsts")
-    late = late_sets(keyed, firsts, counts).withColumn("late", F.lit(True))
+    late = late_sets(keyed, firsts, corpus).withColumn("late", F.lit(True))
     sets = firsts.select("set", place.alias("first")).join(late, "set", "left")
     return lines.join(sets, "set").select(
         *PLACE,

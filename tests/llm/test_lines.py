@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hazeline.llm import common, lines
@@ -81,21 +83,60 @@ def test_empty_table(spark):
     assert lines.drop_lines(empty).collect() == []
 
 
-def test_words_are_found_as_by_splitting(monkeypatch):
-    rng = random.Random(5)
-    texts = ["", " ", "a", "a\x1cb \x85c", "é\x0bü\x0c\r\n漢 " * 5, "aa aaa aaaa aa"]
+def _texts(rng):
+    texts = ["", " ", "a", "a\x1cb \x85c", "é\x0bü\x0c\r\n漢 " * 5, "aa aaa aaaa aa", "a\0 a a\0\0 " + "b" * 32 + " " + "b" * 33]
     texts += ["".join(rng.choice("ab \n\té\x1c") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    return [*texts, *["c" * n + "\n" + "c" * (n - 1) + "\0" for n in range(1, 70)]]
+
+
+def _check_words(found, texts):
     seen = {}
+    for t in texts:
+        raw = t.encode()
+        starts, hashes = found(raw)
+        words = raw.split()
+        assert [raw[s : s + len(w)] for s, w in zip(starts, words, strict=True)] == words
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_words_are_found_as_by_splitting(monkeypatch):
     for part in (1 << 20, 7):
         monkeypatch.setattr(common, "_PART", part)
-        for t in texts:
-            raw = t.encode()
-            starts, hashes = common.word_hashes(raw)
-            words = raw.split()
-            assert [raw[s : s + len(w)] for s, w in zip(starts, words, strict=True)] == words
-            for w, h in zip(words, hashes.tolist(), strict=True):
-                assert seen.setdefault(w, h) == h
-    assert len(set(seen.values())) == len(seen)
+        _check_words(common.word_hashes, _texts(random.Random(5)))
+    _check_words(lines._word_hashes, _texts(random.Random(5)))
+
+
+@pytest.mark.parametrize("kept_bits", [64, 5])
+def test_words_are_sorted_by_line_lead_and_hash(kept_bits):
+    """With few different leading hash bits, words tie in the packed integer and all keys decide."""
+    rng = np.random.default_rng(3)
+    line = np.repeat(np.arange(30), 20)
+    hashes = rng.integers(0, 1 << kept_bits, 600, np.uint64) if kept_bits < 64 else rng.integers(0, 1 << 63, 600, np.uint64)
+    lead = (hashes % np.uint64(3)).astype(np.uint8)
+    order = lines._sorted_words(line, lead, hashes, 30)
+    assert list(zip(line[order], lead[order], hashes[order], strict=True)) == sorted(zip(line, lead, hashes, strict=True))
+
+
+def test_places_seen_twice():
+    once, twice = np.zeros(8, bool), np.zeros(8, bool)
+    for places in ([1, 2, 2], [], [3, 1], [5]):
+        lines._mark(np.array(places, np.int64), once, twice)
+    assert np.flatnonzero(once).tolist() == [1, 2, 3, 5]
+    assert np.flatnonzero(twice).tolist() == [1, 2]
+
+
+def test_index_rows_survive_packing():
+    sets = lines.Sets([" ".join(f"w{i}" for i in range(n)) for n in (4, 64, 65, 128, 129, 400)])
+    n = np.arange(len(sets))
+    rows = {"word": n, "set": sets.set, "size": sets.size, "place": n + 7, "first": n * 3, "bits": sets.bitmaps()}
+    batch = pa.RecordBatch.from_arrays(lines._packed(rows), list(lines.POSTING))
+    assert [len(b.as_py()) for b in batch.column("bits")] == [8, 8, 16, 16, 32, 32]
+    for part in (batch, batch.slice(2, 3), batch.slice(0, 0)):
+        got = lines._unpacked(part, [])
+        where = np.isin(n, got["word"])
+        assert all((got[c] == v[where]).all() for c, v in rows.items())
 
 
 def test_line_numbers_and_texts():
