@@ -1,121 +1,108 @@
-"""Exact linear-interpolation quantiles without sorting a group in one task.
+"""Exact linear-interpolation quantiles by radix selection.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one
-reducer. Here a mergeable sketch first brackets each wanted rank to a sliver of the
-group; a second pass counts the rows below the bracket and the distinct values in it.
-The counts are exact, so the answer does not depend on how good the sketch was: a
-rank that falls outside its bracket raises instead of returning a wrong value.
+The built-in exact ``percentile`` keeps every distinct value of a group in one reducer, and
+a sketch is only near. Here doubles become 64-bit integers of the same order. Each of at most
+four passes counts rows by 16 more leading bits, within the prefixes that hold a wanted rank,
+until each of these holds a single value. Rows are counted before they are exchanged: no group
+is sorted or gathered, and a window sees at most 2^16 counts.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazeline.session import literal_table
-
-SKETCH_ACCURACY = 100_000
-BRACKET = 4 / SKETCH_ACCURACY
-# Groups up to this size are ranked whole; the sketch has nothing to save there.
-SMALL_GROUP = 2 * SKETCH_ACCURACY
-# Per-group brackets are broadcast up to this many groups, joined by key beyond.
-MAX_BROADCAST_GROUPS = 10_000
-
-
-def _brackets(rows: DataFrame, groups: list[str], fractions) -> DataFrame:
-    lows = [max(p - BRACKET, 0.0) for p in fractions]
-    highs = [min(p + BRACKET, 1.0) for p in fractions]
-    sketch = F.approx_percentile("_v", [float(x) for x in (*lows, *highs)], SKETCH_ACCURACY)
-    stats = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_grid"))
-    small = F.col("_n") <= SMALL_GROUP
-    k = len(fractions)
-    low = [
-        F.when(small | F.lit(p <= BRACKET), F.lit(-math.inf)).otherwise(F.col("_grid")[i])
-        for i, p in enumerate(fractions)
-    ]
-    high = [
-        F.when(small | F.lit(p >= 1 - BRACKET), F.lit(math.inf)).otherwise(F.col("_grid")[k + i])
-        for i, p in enumerate(fractions)
-    ]
-    return stats.select(*groups, "_n", F.array(*low).alias("_low"), F.array(*high).alias("_high"))
-
-
-def _attach(rows: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
-    if not groups:
-        found = brackets.first()
-        return rows.withColumns(
-            {
-                "_n": F.lit(found["_n"]).cast("long"),
-                "_low": F.array(*[F.lit(float(x)) for x in found["_low"]]),
-                "_high": F.array(*[F.lit(float(x)) for x in found["_high"]]),
-            }
-        )
-    few = brackets.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if len(few) <= MAX_BROADCAST_GROUPS:
-        brackets = F.broadcast(literal_table(rows.sparkSession, few, brackets.schema))
-    return rows.join(brackets, groups)
+from hazeline.session import materialize
+
+KEY_BITS, PASS_BITS = 64, 16
+
+
+def _ordered(df: DataFrame, groups: list[str], value: str | Column) -> DataFrame:
+    """Stored rows of groups, ``_v`` and ``_key``, a long in the order of the values (both zeros alike)."""
+    column = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*groups, column.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_key", T.LongType())])
+    low_bits = np.int64((1 << 63) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = (batch.column("_v").to_numpy() + 0.0).view(np.int64)
+            key = bits ^ (bits >> 63 & low_bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], schema.names)
+
+    return materialize(rows.mapInArrow(run, schema), "ordered-values")
+
+
+def _within(rows: DataFrame, groups: list[str], wanted: DataFrame, bits: int) -> DataFrame:
+    """``rows`` whose leading ``bits`` are wanted, with ``_n`` and ``_base`` of their prefix.
+
+    ``wanted`` is a stored table of at most two prefixes a group and fraction; Spark knows its size
+    and broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    names = [f"_group{i}" for i in range(len(groups))]
+    wanted = wanted.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], "_n", "_base", F.col("_prefix").alias("_outer"))
+    same = F.shiftright("_key", KEY_BITS - bits) == F.col("_outer")
+    for group, name in zip(groups, names):
+        same &= F.col(group).eqNullSafe(F.col(name))
+    return rows.join(wanted, same).drop(*names, "_outer")
 
 
 def _order_statistics(df: DataFrame, groups: list[str], value: str | Column, fractions) -> DataFrame:
     """One row per group with arrays aligned to ``fractions``: the values around each
     rank, the rows before the lower one, and the share of the way to the upper one."""
-    column = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*groups, column.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    wide = _attach(rows, _brackets(rows, groups, fractions), groups)
-
-    # Cell = brackets that lie wholly below the row, so cells are in value order. A row
-    # inside the bracket of its cell keeps its value, a row below it is only counted.
-    k = len(fractions)
-    cell = " + ".join(f"CAST(_v > _high[{i}] AS int)" for i in range(k))
-    counted = (
-        wide.select(*groups, "_n", "_v", "_low", F.expr(cell).alias("_cell"))
-        .where(F.col("_cell") < k)
-        .groupBy(*groups, "_n", "_cell", F.expr("CASE WHEN _v >= get(_low, _cell) THEN _v END").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    in_cell = Window.partitionBy(*groups, "_n", "_cell")
-    upto = F.sum("_rows").over(in_cell.orderBy(F.col("_x").asc_nulls_first()))
-    ranked = counted.withColumn("_upto", upto).where("_x IS NOT NULL")
-    cells = counted.groupBy(*groups, "_n", "_cell").agg(F.sum("_rows").alias("_in_cell"))
-    before = Window.partitionBy(*groups, "_n").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
-        *groups, "_n", "_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before")
-    )
-    placed = ranked.join(offsets, [*groups, "_n", "_cell"]).selectExpr(
-        *groups, "_n", "_x", "_before + _upto - _rows AS _start", "_before + _upto AS _end"
-    )
+    rows = _ordered(df, groups, value)
+    positions = [f"({p!r}D * (_n - 1))" for p in fractions]
+    ranks = [f"{side}({p})" for p in positions for side in ("floor", "ceil")]
+    holds = " OR ".join(f"({r} >= _start AND {r} < _end)" for r in dict.fromkeys(ranks))
+    counts = [F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_x"), (F.min("_key") != F.max("_key")).alias("_several")]
+    wanted = None
+    for bits in range(PASS_BITS, KEY_BITS + 1, PASS_BITS):
+        prefix = F.shiftright("_key", KEY_BITS - bits).alias("_prefix")
+        if wanted is None:
+            counted = rows.groupBy(*groups, prefix).agg(*counts)
+            whole = Window.partitionBy(*groups)
+            counted = counted.withColumns({"_n": F.sum("_rows").over(whole), "_base": F.lit(0).cast("long")})
+        else:
+            inside = _within(rows, groups, wanted, bits - PASS_BITS)
+            counted = inside.groupBy(*groups, "_n", "_base", prefix).agg(*counts)
+        # a prefix is named by the rows before it as well as by its bits
+        upto = F.sum("_rows").over(Window.partitionBy(*groups, "_n", "_base").orderBy("_prefix"))
+        placed = (
+            counted.withColumn("_end", F.col("_base") + upto)
+            .withColumn("_start", F.col("_end") - F.col("_rows"))
+            .where(holds)
+            .withColumn("_base", F.col("_start"))
+        )
+        if bits < KEY_BITS:
+            placed = wanted = materialize(placed, "wanted-prefixes")
+            if wanted.where("_several").isEmpty():
+                break
 
     def at(rank: str, column: str) -> str:
         return f"max(CASE WHEN _start <= {rank} AND {rank} < _end THEN {column} END)"
 
-    positions = [f"({p!r}D * (_n - 1))" for p in fractions]
-    found = placed.groupBy(*groups, "_n").agg(
+    parts = ", ".join(f"{p} - floor({p})" for p in positions)
+    return placed.groupBy(*groups, "_n").agg(
         F.expr(f"array({', '.join(at(f'floor({p})', '_x') for p in positions)}) AS lower"),
         F.expr(f"array({', '.join(at(f'ceil({p})', '_x') for p in positions)}) AS upper"),
         F.expr(f"array({', '.join(at(f'floor({p})', '_start') for p in positions)}) AS rows_before"),
-    )
-    missing = F.exists("lower", lambda x: x.isNull()) | F.exists("upper", lambda x: x.isNull())
-    outside = F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("array<double>")
-    parts = ", ".join(f"{p} - floor({p})" for p in positions)
-    return found.select(
-        *groups,
-        F.col("_n").alias("n"),
-        F.when(missing, outside).otherwise(F.col("lower")).alias("lower"),
-        "upper",
-        "rows_before",
-        F.expr(f"array({parts}) AS part"),
-    )
+    ).select(*groups, F.col("_n").alias("n"), "lower", "upper", "rows_before", F.expr(f"array({parts}) AS part"))
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str | Column, fractions) -> DataFrame:
     """One row per group: ``n`` and ``q``, an array aligned to ``fractions``.
 
-    Nulls are skipped. Without groups the result has one row.
+    Nulls and NaN are skipped, a null group is a group of its own, and infinities are values
+    like others. A group without values has no row; without groups the result has one row, or
+    none if there is no value. Reads ``df`` once.
     """
     found = _order_statistics(df, groups, value, [float(p) for p in fractions])
-    exact = "transform(lower, (x, i) -> x + (upper[i] - x) * part[i]) AS q"
+    exact = "transform(lower, (x, i) -> IF(upper[i] = x, x, x + (upper[i] - x) * part[i])) AS q"
     return found.select(*groups, "n", F.expr(exact))
 
 

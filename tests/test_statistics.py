@@ -7,32 +7,54 @@ from frames import panel, station_series
 from hazeline.operators import drift, folds, leaderboard, metrics, quantiles, sampling
 
 
-@pytest.mark.parametrize("small", [0, 200_000])
-@pytest.mark.parametrize("groups_broadcast", [1, 10_000])
-def test_quantiles_equal_numpy(spark, monkeypatch, small, groups_broadcast):
-    """Ties, tiny groups, heavy tails; bracketed and whole ranking; few and many groups."""
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 100)
-    monkeypatch.setattr(quantiles, "BRACKET", 0.05)
-    monkeypatch.setattr(quantiles, "MAX_BROADCAST_GROUPS", groups_broadcast)
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_quantiles_equal_numpy(spark, broadcast):
+    """Ties, tiny groups, a null group, heavy tails; prefixes joined by shuffle and by broadcast."""
     rng = np.random.default_rng(0)
     data = {
         "even": rng.normal(size=3000),
         "ties": rng.integers(0, 4, 3000).astype(float),
         "tail": np.exp(rng.normal(0, 8, 3000)),
+        "one": np.array([3.0]),
+        "two": np.array([1.0, 2.0]),
+        None: np.array([5.0, -5.0, 0.0, -0.0]),
     }
-    if small:
-        data |= {"one": np.array([3.0]), "two": np.array([1.0, 2.0])}
-    rows = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in [*vs]] + [("even", None)], "g string, v double")
+    rows = spark.createDataFrame(
+        [(g, float(v)) for g, vs in data.items() for v in [*vs]] + [("even", None), ("even", float("nan")), ("gone", None)], "g string, v double"
+    )
     fractions = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: r for r in quantiles.quantiles(rows, ["g"], "v", fractions).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r["g"]: r for r in quantiles.quantiles(rows, ["g"], "v", fractions).collect()}
+        whole = quantiles.quantile_scalar(rows, "v", 0.8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got) == set(data)
     for g, vs in data.items():
         assert got[g]["n"] == len(vs)
         np.testing.assert_allclose(got[g]["q"], np.quantile(vs, fractions), rtol=1e-12)
-    whole = quantiles.quantile_scalar(rows, "v", 0.8)
     np.testing.assert_allclose(whole, np.quantile(np.concatenate([*data.values()]), 0.8), rtol=1e-12)
 
 
+def test_ranks_among_values_that_differ_in_their_last_bits(spark):
+    """No sketch or coarse histogram parts these: neighbours of 1, subnormals, extremes and infinities."""
+    near = 1.0 + np.arange(-200, 200) * np.finfo(float).eps
+    values = np.concatenate([near, near[::3], np.arange(-50, 50) * 5e-324, [np.inf, -np.inf, 1.7e308, -1.7e308]])
+    frame = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).permutation(values)], "v double").repartition(5)
+    ordered, n = np.sort(values), len(values)
+    ranks = [0, 1, 2, 40, 51, 52, 53, 150, n // 2, n - 3, n - 2, n - 1]
+    want = [(ordered[r], int((values < ordered[r]).sum())) for r in ranks]
+    assert quantiles.values_at_ranks(frame, "v", ranks, n) == want
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([("a", None)], "g string, v double")
+    assert quantiles.quantiles(empty, ["g"], "v", [0.5]).collect() == []
+    with pytest.raises(ValueError):
+        quantiles.quantile_scalar(empty, "v", 0.5)
+
+
 def test_exact_sample(spark):
     rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("x"))
     a = sampling.exact_sample(rows, 1234, ["k"])
