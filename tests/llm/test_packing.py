@@ -90,17 +90,72 @@ def test_completion_against_every_placement():
     better = 0
     for _ in range(150):
         lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
-        bins = completion.complete_bins(lengths, 20, steps_per_piece=500)
+        bins = completion.complete_bins(lengths, 20, steps_per_piece=5000)
         assert sorted(sum(bins, [])) == sorted(lengths) and all(sum(b) <= 20 for b in bins)
         plain = len(completion.best_fit_decreasing(lengths, 20))
         assert best_packing(lengths, 20) <= len(bins) <= plain
         better += best_packing(lengths, 20) == len(bins)
-    assert better >= 148
+    assert better == 150
     # best fit decreasing needs three here
     assert len(completion.best_fit_decreasing([5, 5, 4, 4, 4, 3, 3, 2], 15)) == 2 or len(completion.complete_bins([5, 5, 4, 4, 4, 3, 3, 2], 15)) == 2
     assert len(completion.complete_bins([6, 5, 5, 4, 4, 3, 3], 10)) == 3
 
 
+def plain_undominated(lengths, room):
+    """Fillings that no swap of an unused length for one or two chosen ones, or none, improves."""
+    out = set()
+    for bits in range(1 << len(lengths)):
+        own = [n for i, n in enumerate(lengths) if bits >> i & 1]
+        rest = [n for i, n in enumerate(lengths) if not bits >> i & 1]
+        free = room - sum(own)
+        if free < 0:
+            continue
+        pairs = [own[i] + own[j] for i in range(len(own)) for j in range(i)]
+        worse = any(y <= free or any(x < y <= x + free for x in own) or any(x <= y <= x + free for x in pairs) for y in rest)
+        if not worse:
+            out.add(tuple(sorted(own, reverse=True)))
+    return out
+
+
+def test_all_undominated_fillings_are_listed():
+    rng = random.Random(3)
+    most = 0
+    for _ in range(200):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(0, 9))]
+        left = completion.Lengths(lengths, 40)
+        left.steps = 10**6
+        got = list(completion.all_fillings(left, 30, 30))
+        assert len(got) == len(set(got)) and set(got) == plain_undominated(lengths, 30)
+        assert [n for n, c in enumerate(left.count) for _ in range(c)] == sorted(lengths)
+        most = max([most, *map(len, got)])
+    assert most > 4
+
+
+def test_two_kinds_of_lengths_pack_as_well_in_groups(spark):
+    # 1,100 and 900 fit together, two of either kind do not or waste
+    rows = [(i, 1100 if i % 2 else 900, "x", 7) for i in range(8192)]
+    pieces = spark.createDataFrame(rows, "_row long, length long, group string, offset int")
+    got = completion.pack_pieces(pieces, 2048, 512).collect()
+    assert sorted((r["_row"], r["length"], r["group"]) for r in got) == sorted(r[:3] for r in rows)
+    assert 4096 <= len(by_sequence(got)) <= 4096 + 16
+
+
+def test_loose_sequences_of_all_groups_are_packed_again(spark):
+    rng = random.Random(9)
+    lengths = [rng.randint(1, 40) for _ in range(6000)]
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "row long, length int")
+    got = completion.pack_pieces(pieces, 100, 64).collect()
+    assert sorted((r.row, r.length) for r in got) == list(enumerate(lengths))
+    for rows in by_sequence(got).values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 100
+    # 94 groups that each waste half a sequence would take 47 more
+    assert len(by_sequence(got)) <= -(-sum(lengths) // 100) + 4
+
+
 @pytest.mark.parametrize("low, high", [(1, 2048), (1, 60), (500, 1100)])
 def test_large_groups_stay_near_the_bound(low, high):
     rng = random.Random(low)
