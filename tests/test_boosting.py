@@ -133,3 +133,33 @@ def test_beats_persistence_on_a_seasonal_series(rows):  # noqa: F811
     fitted = models.fit_candidates(train, {"b": boosting.HistogramBoosting(rounds=60, depth=5, rate=0.1)})
     result = {r["model"]: r["rmse"] for r in models.compare(valid.where(F.col("horizon") == 6), fitted).collect()}
     assert result["b"] < result[models.BASELINE]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 6, 8])
+def test_table_attribution_equals_leaf_by_leaf(spark, monkeypatch, depth):
+    x, y = table(6, 600)
+    df = frame(spark, x, y, np.zeros(600)).drop("fold")
+    model = boosting.HistogramBoosting(NAMES, rounds=4, depth=depth, rate=0.3).fit(df)
+    asked = model.transform(df)
+    by_leaf = attribution.tree_attribution(asked, model, NAMES).orderBy("id").toPandas()
+    monkeypatch.setattr(attribution, "TABLE_ROWS", 1)
+    got = attribution.tree_attribution(asked, model, NAMES).orderBy("id").toPandas()
+    np.testing.assert_allclose(np.stack(got.phi), np.stack(by_leaf.phi), atol=1e-10)
+    np.testing.assert_allclose(got.base + np.stack(got.phi).sum(axis=1), got.prediction, atol=1e-9)
+
+
+def test_tree_attribution_query_explains_every_row(spark, monkeypatch, tmp_path):
+    from checks import queries
+
+    step = F.col("id").cast("long")
+    events = spark.range(500).select(
+        step.alias("event_id"), F.timestamp_seconds(step * 600 + 1_704_067_200).alias("ts"), (step % 37).alias("user_id"),
+        F.element_at(F.array(*[F.lit(s) for s in ("view", "click")]), (step % 2 + 1).cast("int")).alias("event_type"),
+        (step * 17 % 90 + 0.5).alias("value"), F.concat(F.lit('{"k": '), (step * 7 % 100).cast("string"), F.lit("}")).alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = queries.supervised_table(spark, str(tmp_path))
+    model = boosting.HistogramBoosting(rounds=3, depth=3).fit(rows)
+    monkeypatch.setattr(queries, "_boosted_once", lambda *_: model)
+    got = queries.QUERIES["tree_attribution"](spark, str(tmp_path))
+    assert got.where("exact").count() == got.count() == rows.count() > 1000
