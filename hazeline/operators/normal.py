@@ -17,6 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazeline.operators.boosting import scored
 from hazeline.operators.supervised import FEATURE_COLUMNS, TARGET
 
 
@@ -67,6 +68,8 @@ class LinearFit:
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("prediction", choose_prediction([self], F.lit(0)))
 
+    transform = predict
+
 
 def solve_ridge(sums: np.ndarray, features=FEATURE_COLUMNS, alpha: float = 1.0) -> LinearFit:
     """Ridge with a penalty of ``alpha * |w|²`` on the summed squared error, from ``cross_sums``.
@@ -111,11 +114,36 @@ def fit_ridge(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET, a
     return solve_ridge(cross_sums(train, features, label)[0], features, alpha)
 
 
-def expanding_ridge(folded: DataFrame, n_splits: int, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = 1.0) -> DataFrame:
-    """Adds ``prediction``: rows of fold i by the ridge of all rows with a smaller ``fold``; null in fold 0."""
+class Ridge:
+    """An estimator: ``fit(rows)`` gives the ``LinearFit`` of all rows from one scan of them."""
+
+    def __init__(self, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = 1.0):
+        self.features, self.label, self.alpha = tuple(features), label, alpha
+
+    def fit(self, rows: DataFrame) -> LinearFit:
+        return fit_ridge(rows, self.features, self.label, self.alpha)
+
+
+def expanding_ridge(folded: DataFrame, n_splits: int, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``prediction`` to the rows, or to their columns ``keep``: rows of fold i by the ridge of all rows with a smaller ``fold``; null in fold 0."""
     sums = cross_sums(folded.where(F.col("fold") < n_splits), features, label, F.col("fold"))
     so_far, fits = 0.0, []
     for i in range(n_splits):
         so_far = so_far + sums.get(i, 0.0)
         fits.append(solve_ridge(so_far, features, alpha))
-    return folded.withColumn("prediction", F.when(F.col("fold") > 0, choose_prediction(fits, F.col("fold") - 1)))
+    place = (keep or folded.columns).index("fold")
+    means, weights = np.array([f.means for f in fits]), np.array([f.weights for f in fits])
+    middle = np.array([f.intercept for f in fits])
+
+    def score(batch: pa.RecordBatch, x: np.ndarray) -> pa.Array:
+        fold = batch.column(place).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(x))
+        for i in np.unique(fold[fold > 0]).tolist():
+            own = fold == i
+            total = np.full(np.count_nonzero(own), middle[i - 1])
+            for value, mean, weight in zip(x[own].T, means[i - 1], weights[i - 1], strict=True):
+                total += np.where(np.isnan(value), 0.0, (value - mean) * weight)
+            out[own] = total
+        return pa.array(out, mask=fold <= 0)
+
+    return scored(folded, tuple(features), score, keep)
