@@ -28,6 +28,21 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def test_forest_reads_parts_of_bounded_rows(spark, tables, monkeypatch):
+    rows = materialize(queries.supervised_table(spark, tables).coalesce(1), "one-part", 200)
+    parts, plain = [], Pipeline._fit
+
+    def fit(self, dataset):
+        parts.append(max(dataset.rdd.glom().map(len).collect()))
+        return plain(self, dataset)
+
+    monkeypatch.setattr(Pipeline, "_fit", fit)
+    monkeypatch.setattr(models, "TREE_PART_ROWS", 200)
+    models.fit_candidates(rows, {"f": models.forest(INPUTS, numTrees=2, maxDepth=2)})
+    assert rows.count() > 4000 and parts[0] <= 400
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def test_ranks_store_every_value_once(spark, monkeypatch):
     stored, write = [], quantiles.materialize
 
