@@ -80,3 +80,16 @@ def test_samples_of_all_folds_equal_one_at_a_time(spark, n):
     for i in (1, 2, 3):
         want = {r["id"] for r in exact_sample(df.where(F.col("fold") < i), n, KEYS).collect()}
         assert sorted(r["id"] for r in got.where(F.col("_fit") == i).collect()) == sorted(want)
+
+
+def test_linear_attribution_of_a_one_scan_fit(spark, tables):
+    rows = queries.supervised_table(spark, tables)
+    model = models.fit_candidates(rows, {"r": normal.Ridge(INPUTS)})["r"]
+    plain = models.fit_candidates(rows, {"r": models.ridge(rows, INPUTS)})["r"]
+    one, other = [
+        attribution.explain(attribution.linear_attribution(m.predict(rows), m.model, INPUTS), INPUTS).select(*KEYS, "base", "phi", "explained", "prediction").orderBy(*KEYS).toPandas()
+        for m in (model, plain)
+    ]
+    np.testing.assert_allclose(one.explained, one.prediction, atol=1e-9)
+    np.testing.assert_allclose(np.stack(one.phi), np.stack(other.phi), atol=1e-6)
+    np.testing.assert_allclose(one.base, other.base, atol=1e-6)
