@@ -93,3 +93,9 @@ def test_linear_attribution_of_a_one_scan_fit(spark, tables):
     np.testing.assert_allclose(one.explained, one.prediction, atol=1e-9)
     np.testing.assert_allclose(np.stack(one.phi), np.stack(other.phi), atol=1e-6)
     np.testing.assert_allclose(one.base, other.base, atol=1e-6)
+
+
+def test_residual_intervals_store_no_wide_rows(spark, tables, monkeypatch):
+    monkeypatch.setattr(panels, "_stored", {})
+    assert queries.QUERIES["residual_intervals"](spark, tables).count() == 10
+    assert {name for _, _, name in panels._stored} == {"derive_readings"}
