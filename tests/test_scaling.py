@@ -82,6 +82,12 @@ def test_samples_of_all_folds_equal_one_at_a_time(spark, n):
         assert sorted(r["id"] for r in got.where(F.col("_fit") == i).collect()) == sorted(want)
 
 
+def test_sequences_compute_only_what_they_hold(spark, tables):
+    rows = queries.sequence_inputs(spark, tables)
+    assert rows.columns == ["city", "datetime", *sequences.SEQUENCE_FEATURES]
+    assert "Window [" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_linear_attribution_of_a_one_scan_fit(spark, tables):
     rows = queries.supervised_table(spark, tables)
     model = models.fit_candidates(rows, {"r": normal.Ridge(INPUTS)})["r"]
