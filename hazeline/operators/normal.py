@@ -68,8 +68,6 @@ class LinearFit:
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("prediction", choose_prediction([self], F.lit(0)))
 
-    transform = predict
-
 
 def solve_ridge(sums: np.ndarray, features=FEATURE_COLUMNS, alpha: float = 1.0) -> LinearFit:
     """Ridge with a penalty of ``alpha * |w|²`` on the summed squared error, from ``cross_sums``.
@@ -114,16 +112,6 @@ def fit_ridge(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET, a
     return solve_ridge(cross_sums(train, features, label)[0], features, alpha)
 
 
-class Ridge:
-    """An estimator: ``fit(rows)`` gives the ``LinearFit`` of all rows from one scan of them."""
-
-    def __init__(self, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = 1.0):
-        self.features, self.label, self.alpha = tuple(features), label, alpha
-
-    def fit(self, rows: DataFrame) -> LinearFit:
-        return fit_ridge(rows, self.features, self.label, self.alpha)
-
-
 def expanding_ridge(folded: DataFrame, n_splits: int, features=FEATURE_COLUMNS, label: str = TARGET, alpha: float = 1.0, keep: list[str] | None = None) -> DataFrame:
     """Adds ``prediction`` to the rows, or to their columns ``keep``: rows of fold i by the ridge of all rows with a smaller ``fold``; null in fold 0."""
     sums = cross_sums(folded.where(F.col("fold") < n_splits), features, label, F.col("fold"))
