@@ -12,13 +12,13 @@ leave open are compared with all their candidates. No group is expanded into all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import free_names, mix, small_batches, store
@@ -36,16 +36,27 @@ LIST_ROWS = 1 << 15
 BITMAP_WORDS = (64, 128)
 #: Candidates of a set under one word that are tried first.
 FIRST_TRIED = 3
-#: Places of the filter of words that the second round asks for, a fixed size.
-ASKED_BITS = 22
+#: Index rows travel in buckets of words: at least 2^BUCKET_BITS of them, and one for so many words of the corpus.
+BUCKET_BITS = 10
+BUCKET_WORDS = 1 << 19
+#: Index rows that a task holds before it deals them to their buckets.
+DEALT_ROWS = 400_000
+#: Index rows in one value, and such values in an Arrow batch.
+VALUE_ROWS = 4096
+VALUES_TOGETHER = 200
+#: Rows of a few numbers in an Arrow batch.
+NUMBERS_TOGETHER = 20_000
+#: Lines looked up in documents by a broadcast join; more are looked up by a shuffle.
+FEW_LINES = 20_000
 
 
 #: Bytes of text whose lines are looked at together.
 SLICE = 1 << 20
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
     """Runs of texts of about ``SLICE`` bytes, each with the place of its first."""
+    texts = column.cast(pa.binary()).to_pylist()
     first, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text or "")
@@ -99,20 +110,23 @@ def _sorted_words(line: np.ndarray, lead: np.ndarray, hashes: np.ndarray, lines:
 
 class Corpus(NamedTuple):
     """How often words of each slot are held by lines, in quarters of powers of two (a coarse
-    count orders as well as a fine one), and which places hold a word of two lines or more."""
+    count orders as well as a fine one), which places hold a word of two lines or more, and how
+    many words all lines hold."""
 
     lead: np.ndarray
     twice: np.ndarray
+    words: int
 
+    def bucket_bits(self) -> int:
+        """So many leading bits of a word's hash name its bucket; buckets stay of one size whatever the input."""
+        return max(BUCKET_BITS, (self.words // BUCKET_WORDS).bit_length())
 
-class Sets:
-    """The distinct word hashes of many lines side by side, rarest first, and which line each belongs to.
 
-    With ``asked`` (a filter of words by leading hash bits), only lines that hold such a word.
-    """
+class Sets:
+    """The distinct word hashes of many lines side by side, rarest first, and which line each belongs to."""
 
-    def __init__(self, texts: list[str | None], corpus: Corpus | None = None, asked: np.ndarray | None = None):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: Sequence[str | bytes | None], corpus: Corpus | None = None):
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
         whole = b"\n".join(raw)
         text_starts = np.cumsum([0, *[len(r) + 1 for r in raw]])[:-1]
         breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
@@ -123,10 +137,6 @@ class Sets:
         line_starts = np.concatenate([[0], breaks + 1])
         self.text = np.searchsorted(text_starts, line_starts[held], side="right") - 1
         self.number = held - np.searchsorted(line_starts, text_starts)[self.text]
-        if asked is not None and len(held):
-            use = np.bincount(line, asked[(hashes >> np.uint64(64 - ASKED_BITS)).astype(np.int64)], len(held)) > 0
-            hashes, line = hashes[use[line]], (np.cumsum(use) - 1)[line[use[line]]]
-            self.text, self.number = self.text[use], self.number[use]
         lead = np.zeros(len(hashes), np.uint8)
         if corpus is not None:
             lead = corpus.lead[_slot(hashes)]
@@ -211,12 +221,14 @@ def _corpus(counted: DataFrame) -> Corpus:
         blob = total.tobytes() + np.packbits(twice).tobytes()
         yield pa.RecordBatch.from_pydict({"set": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([blob], pa.binary())})
 
-    corpus = Corpus(np.zeros(SLOTS, np.uint8), np.zeros(1 << TWICE_BITS, bool))
+    lead, all_twice, words = np.zeros(SLOTS, np.uint8), np.zeros(1 << TWICE_BITS, bool), 0
     for r in counted.groupBy("set").applyInArrow(add, "set long, counts binary").collect():
         blob, block = bytes(r["counts"]), r["set"]
-        corpus.lead[block * width : (block + 1) * width] = 4 * np.log2(1 + np.frombuffer(blob[: ends[0]], np.int64))
-        corpus.twice[block * places : (block + 1) * places] = _bits(blob[ends[0] :])
-    return corpus
+        counts = np.frombuffer(blob[: ends[0]], np.int64)
+        words += int(counts.sum())
+        lead[block * width : (block + 1) * width] = 4 * np.log2(1 + counts)
+        all_twice[block * places : (block + 1) * places] = _bits(blob[ends[0] :])
+    return Corpus(lead, all_twice, words)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -233,7 +245,7 @@ PLACE = ("null_id", "id", "text_hash")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """null_id, id, text_hash, line, set, size of every line with a word.
+    """null_id, id, text_hash, line, set of every line with a word, and on the first of a text n_lines, how many it has.
 
     Each task also gives its counts of words per slot, in rows with a null ``line``.
     """
@@ -242,7 +254,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
         totals = np.zeros(SLOTS, np.int64)
         once, twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
         for batch in batches:
-            for first, texts in _slices(batch.column("text").to_pylist()):
+            for first, texts in _slices(batch.column("text")):
                 sets = Sets(texts)
                 if not len(sets):
                     continue
@@ -250,17 +262,19 @@ def _lines(keyed: DataFrame) -> DataFrame:
                 _mark(_twice_place(sets.hashes), once, twice)
                 at = pa.array(sets.text + first, pa.int64())
                 columns = {c: batch.column(c).take(at) for c in PLACE}
-                columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "size": pa.array(sets.size.astype(np.int32))}
+                further = np.concatenate([[False], sets.text[1:] == sets.text[:-1]])
+                n_lines = pa.array(np.bincount(sets.text)[sets.text], pa.int64(), mask=further)
+                columns |= {"line": pa.array(sets.number, pa.int32()), "set": pa.array(sets.set), "n_lines": n_lines}
                 yield pa.RecordBatch.from_pydict(columns | {"counts": pa.nulls(len(sets), pa.binary())})
         if totals.any():
             n = SLOT_BLOCKS
             parts = [totals.reshape(n, -1), np.packbits(once).reshape(n, -1), np.packbits(twice).reshape(n, -1)]
             columns = {"null_id": pa.nulls(n, pa.int32()), "id": pa.nulls(n, pa.int64()), "text_hash": pa.nulls(n, pa.int64()), "line": pa.nulls(n, pa.int32())}
-            columns |= {"set": pa.array(range(n), pa.int64()), "size": pa.nulls(n, pa.int32())}
+            columns |= {"set": pa.array(range(n), pa.int64()), "n_lines": pa.nulls(n, pa.int64())}
             blobs = [b"".join(part[b].tobytes() for part in parts) for b in range(n)]
             yield pa.RecordBatch.from_pydict(columns | {"counts": pa.array(blobs, pa.binary())})
 
-    return keyed.mapInArrow(run, "null_id int, id long, text_hash long, line int, set long, size int, counts binary")
+    return keyed.mapInArrow(run, "null_id int, id long, text_hash long, line int, set long, n_lines long, counts binary")
 
 
 #: ``shape`` is size and place in the order in one number, ``bits`` a bitmap of 8, 16 or 32 bytes.
@@ -298,13 +312,11 @@ def _unpacked(batch: pa.RecordBatch, more: list[str]) -> dict[str, np.ndarray]:
     return rows
 
 
-def _posting_rows(sets: Sets, ids: np.ndarray, corpus: Corpus) -> pa.RecordBatch | None:
+def _posting_rows(sets: Sets, ids: np.ndarray, corpus: Corpus) -> dict[str, np.ndarray]:
     """Index rows of the lines of some texts, whose ids are given.
 
     A word that no other line of the corpus holds gives no pair and no row.
     """
-    if not len(sets):
-        return None
     # huge ids and line numbers tie; ties are tried both ways
     seen = np.clip(ids[sets.text], -(1 << 50), 1 << 50) * 4096 + np.minimum(sets.number, 4095)
     # of equal sets the earliest stands for all
@@ -319,27 +331,68 @@ def _posting_rows(sets: Sets, ids: np.ndarray, corpus: Corpus) -> pa.RecordBatch
     use[use] = corpus.twice[_twice_place(sets.hashes[use])]
     line = line[use]
     rows = {"word": sets.hashes[use].view(np.int64), "set": sets.set[line], "size": sets.size[line], "place": place[use]}
-    return pa.RecordBatch.from_arrays(_packed(rows | {"first": seen[line], "bits": sets.bitmaps()[line]}), list(POSTING))
+    return rows | {"first": seen[line], "bits": sets.bitmaps()[line]}
+
 
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
-def _postings(keyed: DataFrame, corpus: Corpus, asked: np.ndarray | None = None) -> DataFrame:
-    """One row per set of a slice of texts and indexed word: word, set, size and place in the order, bitmap.
 
-    ``first`` is about where the set is first seen in them (by document, then line); it
-    only says which candidates to try first. Sets of fewer than NUM words are alike only to
-    themselves and need no index.
+def _cut(rows: dict[str, np.ndarray], where) -> dict[str, np.ndarray]:
+    return {c: v[where] for c, v in rows.items()}
+
+
+def _dealt(rows: dict[str, np.ndarray], bucket_bits: int) -> pa.RecordBatch:
+    """Index rows by bucket, up to ``VALUE_ROWS`` of a bucket in one value: four columns of numbers, then the bitmaps."""
+    bucket = (rows["word"].view(np.uint64) >> np.uint64(64 - bucket_bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = _cut(rows, order), bucket[order]
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    nth = np.arange(len(bucket)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    starts = np.flatnonzero(nth % VALUE_ROWS == 0)
+    ends = np.append(starts[1:], len(bucket))
+    numbers = np.stack([rows["word"], rows["set"], rows["size"].astype(np.int64) << 32 | rows["place"], rows["first"]])
+    width = _bitmap_width(rows["size"])
+    bits = rows["bits"][np.arange(4) < width[:, None]]
+    at = np.concatenate([[0], np.cumsum(width)])
+    values = [numbers[:, i:j].tobytes() + bits[at[i] : at[j]].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array((ends - starts).astype(np.int32)), pa.array(values, pa.binary())], ["bucket", "n", "rows"])
+
+
+def _undealt(parts: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+    """The rows that values of ``_dealt`` hold."""
+    held = [(np.frombuffer(value, np.int64), n) for n, value in parts]
+    word, own, shape, first = np.concatenate([v[: 4 * n].reshape(4, n) for v, n in held], axis=1)
+    size = shape >> 32
+    bits = np.zeros((len(word), 4), np.uint64)
+    bits[np.arange(4) < _bitmap_width(size)[:, None]] = np.concatenate([v[4 * n :] for v, n in held]).view(np.uint64)
+    return {"word": word, "set": own, "size": size, "place": shape & 0xFFFFFFFF, "first": first, "bits": bits}
+
+
+def _postings(keyed: DataFrame, corpus: Corpus) -> DataFrame:
+    """bucket, n, rows: n index rows, one per set of a slice of texts and indexed word, as ``_dealt`` packs them.
+
+    A row has word, set, size and place in the order, bitmap, and as ``first`` about where the set
+    is first seen in the texts (by document, then line); it only says which candidates to try
+    first. Sets of fewer than NUM words are alike only to themselves and need no index.
     """
+    bucket_bits = corpus.bucket_bits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             null_ids, ids = batch.column("null_id").to_numpy(), batch.column("id").to_numpy()
-            for at, texts in _slices(batch.column("text").to_pylist()):
-                own = np.where(null_ids == 1, 1 << 50, ids)[at : at + len(texts)]
-                rows = _posting_rows(Sets(texts, corpus, asked), own, corpus)
-                if rows is not None:
-                    yield rows
+            for at, texts in _slices(batch.column("text")):
+                sets = Sets(texts, corpus)
+                if len(sets):
+                    held.append(_posting_rows(sets, np.where(null_ids == 1, 1 << 50, ids)[at : at + len(texts)], corpus))
+                if sum(len(rows["set"]) for rows in held) > DEALT_ROWS:
+                    yield _dealt(_joined(held), bucket_bits)
+                    held = []
+        if sum(len(rows["set"]) for rows in held):
+            yield _dealt(_joined(held), bucket_bits)
 
-    return keyed.select("null_id", "id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _KINDS.items()))
+    return keyed.select("null_id", "id", "text").mapInArrow(run, "bucket int, n int, rows binary")
 
 
 def _differing_bits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -436,15 +489,114 @@ def _once(rows: dict[str, np.ndarray], keys: list[str]) -> dict[str, np.ndarray]
     return out
 
 
-def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None, asked: bool = False) -> DataFrame:
-    """Candidate pairs a (later), b (earlier).
+def _runs(group: np.ndarray) -> np.ndarray:
+    """The number of the run of equal values, for each of them."""
+    return np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
+
+
+#: Columns of what comparing gives: a pair, or an index row with b null.
+_REST = [c for c in POSTING if c != "set"]
+_FOUND = ", ".join(["a long", "b long", *[f"{c} {_KINDS[c]}" for c in _REST], "too_long boolean"])
+
+
+def _found_rows(rows: dict[str, np.ndarray], too_long: bool) -> pa.RecordBatch:
+    """Index rows as they are, of lists that are too long or that left candidates untried."""
+    n = len(rows["set"])
+    packed = dict(zip(POSTING, _packed(rows), strict=True))
+    return pa.RecordBatch.from_arrays([packed["set"], pa.nulls(n, pa.int64()), *[packed[c] for c in _REST], pa.array(np.full(n, too_long))], ["a", "b", *_REST, "too_long"])
+
+
+def _found_pairs(rows: dict[str, np.ndarray], tried: Tried) -> pa.RecordBatch:
+    pairs, more = tried.pairs(), np.flatnonzero(tried.more)
+    columns = [pa.array(np.concatenate([pairs[:, 0], rows["set"][more]])), pa.array(np.concatenate([pairs[:, 1], np.zeros(len(more), np.int64)]))]
+    word = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), rows["word"][more]]))
+    none = pa.nulls(len(word), pa.bool_())
+    return pa.RecordBatch.from_arrays([*columns, *[word if c == "word" else pa.nulls(len(word), _ARROW[c]) for c in _REST], none], ["a", "b", *_REST, "too_long"])
+
+
+def _by_word(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows in lists, each by size with a set once; a word with one row has no list."""
+    if not len(rows["word"]):
+        return rows
+    order = np.argsort(rows["word"])
+    word = rows["word"][order]
+    alike = word[1:] == word[:-1]
+    order = order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])]
+    rows = _cut(rows, order)
+    return _once(rows, ["word"]) if len(order) else rows
+
+
+def _compare_buckets(postings: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs a (later), b (earlier) of the rows of ``_postings``, bucket by bucket.
+
+    A set has at most ``most`` under a word, and a row with b = 0 and the word if it had more. With
+    b null come the index rows of such words, and (``too_long``) of words with too many lines, which are not compared here.
+    """
+
+    def parted(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        group = _runs(rows["word"])
+        long = (np.bincount(group) > LIST_ROWS)[group] if len(group) else np.zeros(0, bool)
+        return _cut(rows, long), _cut(rows, ~long)
+
+    def candidates(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        group = _runs(rows["word"])
+        tried = Tried(rows, most)
+        for i, j in _survivors(group, rows):
+            tried.add(i, j)
+        yield _found_pairs(rows, tried)
+        if tried.more.any():
+            yield _found_rows(_cut(rows, np.isin(group, group[tried.more])), False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, over, size, room = None, [], np.zeros(0, np.int64), 0, 0
+        parts: list[tuple[int, bytes]] = []
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            """Takes long lists out of the rows of the bucket, and once all are here compares the others."""
+            nonlocal held, parts, over, size, room
+            rows = _joined([*held, _undealt(parts)] if parts else held)
+            again = np.isin(rows["word"], over)
+            if again.any():
+                yield _found_rows(_cut(rows, again), True)
+                rows = _cut(rows, ~again)
+            lists = _by_word(rows)
+            long, short = parted(lists)
+            if len(long["set"]):
+                yield _found_rows(long, True)
+                over = np.union1d(over, long["word"])
+            if last:
+                if len(short["set"]):
+                    yield from candidates(short)
+                return
+            rows = _cut(rows, ~np.isin(rows["word"], lists["word"]))
+            held, parts = [rows, short], []
+            size = len(rows["set"]) + len(short["set"])
+            room = max(8 * LIST_ROWS, 2 * size)
+
+        for batch in batches:
+            for own, n, value in zip(*[batch.column(c).to_pylist() for c in ("bucket", "n", "rows")], strict=True):
+                if own != bucket:
+                    if bucket is not None:
+                        yield from settle(True)
+                    bucket, held, parts, over, size, room = own, [], [], np.zeros(0, np.int64), 0, 8 * LIST_ROWS
+                parts.append((n, value))
+                size += n
+                if size > room:
+                    yield from settle(False)
+        if bucket is not None:
+            yield from settle(True)
+
+    return postings.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "n", "rows").mapInArrow(run, _FOUND)
+
+
+def _compare_blocks(blocks: DataFrame, most: int | None, asked: bool = False) -> DataFrame:
+    """Candidate pairs a (later), b (earlier) within pairs of blocks.
 
     With ``most``, a set has at most that many under a word, and a row with b = 0 and the word
-    if it had more. With ``asked``, only pairs of which one row has ``open`` come back. With ``spill``,
-    rows of words with too many lines come back as they are, with b null.
+    if it had more. With ``asked``, only pairs of which one row has ``open`` come back.
     """
-    extra = [*(k for k in keys if k not in POSTING), *(["open"] if asked else [])]
-    rest = [c for c in POSTING if c != "set"]
+    keys = ["word", "block_a", "block_b"]
+    extra = [*keys[1:], *(["open"] if asked else [])]
 
     def candidates(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows["set"]))))
@@ -454,51 +606,28 @@ def _compare(postings: DataFrame, keys: list[str], spill: bool, most: int | None
                 use = rows["open"][i] | rows["open"][j]
                 i, j = i[use], j[use]
             tried.add(i, j)
-        pairs, more = tried.pairs(), np.flatnonzero(tried.more)
-        columns = [pa.array(np.concatenate([pairs[:, 0], rows["set"][more]])), pa.array(np.concatenate([pairs[:, 1], np.zeros(len(more), np.int64)]))]
-        word = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), rows["word"][more]]))
-        return pa.RecordBatch.from_arrays([*columns, *[word if c == "word" else pa.nulls(len(word), _ARROW[c]) for c in rest]], ["a", "b", *rest])
-
-    def spilled(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(rows["set"])
-        packed = dict(zip(POSTING, _packed(rows), strict=True))
-        return pa.RecordBatch.from_arrays([packed["set"], pa.nulls(n, pa.int64()), *[packed[c] for c in rest]], ["a", "b", *rest])
-
-    def cut(rows: dict[str, np.ndarray], where) -> dict[str, np.ndarray]:
-        return {c: v[where] for c, v in rows.items()}
+        return _found_pairs(rows, tried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
-        over: list[int] | None = None  # the key of a list that has become too long
         for batch in batches:
             rows = _unpacked(batch, extra)
             if kept is not None:
-                rows = {c: np.concatenate([kept[c], v]) for c, v in rows.items()}
-            if over is not None:
-                same = np.logical_and.reduce([rows[k] == v for k, v in zip(keys, over, strict=True)])
-                if same.any():
-                    yield spilled(cut(rows, same))
-                    rows = cut(rows, ~same)
-            n = len(rows["set"])
-            if not n:
+                rows = _joined([kept, rows])
+            if not len(rows["set"]):
                 kept = rows
                 continue
             rows = _once(rows, keys)
             starts = np.flatnonzero(_new_keys(rows, keys))
             if starts[-1]:
-                yield candidates(cut(rows, slice(0, starts[-1])), starts[:-1])
-            kept = cut(rows, slice(starts[-1], None))
-            if spill and len(kept["set"]) > LIST_ROWS:
-                over = [kept[k][0] for k in keys]
-                yield spilled(kept)
-                kept = cut(kept, slice(0, 0))
+                yield candidates(_cut(rows, slice(0, starts[-1])), starts[:-1])
+            kept = _cut(rows, slice(starts[-1], None))
         if kept is not None and len(kept["set"]):
             yield candidates(kept, np.array([0]))
 
     # rows of a list need only be neighbours: a sort by one number is quick, the rest is sorted list by list
-    dealt = postings.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    schema = ", ".join(["a long", "b long", *[f"{c} {_KINDS[c]}" for c in rest]])
-    return dealt.select(*POSTING, *extra).mapInArrow(run, schema)
+    dealt = blocks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return dealt.select(*POSTING, *extra).mapInArrow(run, _FOUND)
 
 
 def _in_blocks(long: DataFrame) -> DataFrame:
@@ -513,56 +642,43 @@ def _in_blocks(long: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(postings: DataFrame, most: int | None, asked: bool = False) -> DataFrame:
-    """a, b, word: candidate pairs of different sets, a later than b as far as ``first`` tells.
+def _batches_of(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of rows of a few numbers may be longer than those of texts, batches of dealt values must be shorter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-    With ``most`` also (set, 0, word) for sets that had more under a word.
+
+def _candidates(postings: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, word: candidate pairs of different sets, a later than b as far as ``first`` tells, and
+    (set, 0, word) for sets that had more than ``most`` under a word; then the index rows of such words.
     """
-    postings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    if asked:  # one pass in blocks, whatever the length of a list
-        return _compare(_in_blocks(postings), ["word", "block_a", "block_b"], False, None, True).select("a", "b").distinct()
-    first = store(_compare(postings, ["word"], True, most), "line-pairs")
+    _batches_of(postings.sparkSession, VALUES_TOGETHER)
+    first = store(_compare_buckets(postings, most), "line-pairs")
+    rows = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set")
     same = [c for c in POSTING if c != "first"]
-    long = first.where("b IS NULL").drop("b").withColumnRenamed("a", "set").groupBy(*same).agg(F.min("first").alias("first"))
-    second = _compare(_in_blocks(long), ["word", "block_a", "block_b"], False, most)
-    return first.where("b IS NOT NULL").select("a", "b", "word").union(second.select("a", "b", "word")).distinct()
-
-
-def _word_filter(words: DataFrame) -> np.ndarray:
-    """Which leading hash bits the words (``word``) have: a fixed 2^22 places, whatever their number."""
-    blocks = 64
-    width = (1 << ASKED_BITS) // blocks
-    bit = F.shiftrightunsigned("word", 64 - ASKED_BITS)
-
-    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(width, bool)
-        for batch in batches:
-            bits[batch.column("bit").to_numpy() % width] = True
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    rows = words.select(bit.alias("bit")).distinct().withColumn("block", F.floor(F.col("bit") / F.lit(width)))
-    out = np.zeros(1 << ASKED_BITS, bool)
-    for r in rows.groupBy("block").applyInArrow(mark, "block long, bits binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)
-    return out
+    long = rows.where("too_long").groupBy(*same).agg(F.min("first").alias("first"))
+    _batches_of(postings.sparkSession, NUMBERS_TOGETHER)
+    second = _compare_blocks(_in_blocks(long), most)
+    found = first.where("b IS NOT NULL").select("a", "b", "word").union(second.select("a", "b", "word")).distinct()
+    return store(found, "line-candidates"), rows.select(*POSTING)
 
 
 def _words_of_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """set and its words, for the sets whose first line is in ``wanted`` (place, line, set)."""
     by_doc = wanted.groupBy(*PLACE).agg(F.collect_list("line").alias("lines"))
+    by_doc = F.broadcast(by_doc) if wanted.count() <= FEW_LINES else by_doc.hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, numbers in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                lines = text.split("\n")
-                texts.append("\n".join(lines[n] for n in numbers))
+            for text, numbers in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                texts.append(b"\n".join(lines[n] for n in numbers))
             sets = Sets(texts)
             words = pa.ListArray.from_arrays(pa.array(np.append(sets.start, len(sets.hashes)).astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
             yield pa.RecordBatch.from_pydict({"set": pa.array(sets.set), "words": words})
 
     small_batches(keyed.sparkSession)
-    found = keyed.join(by_doc.hint("shuffle_hash"), list(PLACE)).select("text", "lines")
+    found = keyed.join(by_doc, list(PLACE)).select("text", "lines")
     # a document that is there twice gives its lines twice
     return found.mapInArrow(run, "set long, words array<long>").dropDuplicates(["set"])
 
@@ -570,7 +686,7 @@ def _words_of_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The sets (``set``) of ``pairs`` that an earlier line is alike to, checked on words and places."""
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    places = store(firsts.join(asked, "set"), "line-places")
+    places = store(firsts.join(asked.hint("shuffle_hash"), "set").select("set", *PLACE, "line"), "line-places")
     words = store(_words_of_sets(keyed, places.select(*PLACE, "line", "set")).join(places, "set"), "line-words")
     side = {k: words.select(F.col("set").alias(k), F.col("words").alias(f"words_{k}"), F.struct(*PLACE, "line").alias(f"at_{k}")) for k in ("a", "b")}
     both = F.size("words_a") + F.size("words_b")
@@ -582,24 +698,24 @@ def _verified(keyed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFram
 
 def late_sets(keyed: DataFrame, firsts: DataFrame, corpus: Corpus) -> DataFrame:
     """The sets whose first line comes after a line of another set that is alike to it."""
-    tried = store(_candidates(_postings(keyed, corpus), FIRST_TRIED), "line-candidates")
+    tried, rows = _candidates(_postings(keyed, corpus), FIRST_TRIED)
     late = store(_verified(keyed, firsts, tried.where("b != 0").select("a", "b").distinct()), "line-late")
     # sets with more candidates than were tried, none of which settled them
     still_open = store(tried.where("b = 0").select(F.col("a").alias("set"), "word").join(late, "set", "left_anti"), "line-open")
     if still_open.isEmpty():
         return late
-    small_batches(keyed.sparkSession)
-    asked = _word_filter(still_open)
     words = still_open.select("word").distinct()
     sets = still_open.select("set").distinct().withColumn("open", F.lit(True))
-    again = _postings(keyed, corpus, asked).join(words, "word", "left_semi").join(sets, "set", "left")
+    again = rows.join(words, "word", "left_semi").join(sets, "set", "left")
     again = store(again.withColumn("open", F.coalesce("open", F.lit(False))), "line-again")
-    rest = store(_candidates(again, None, asked=True), "line-candidates")
+    _batches_of(keyed.sparkSession, NUMBERS_TOGETHER)
+    # one pass in blocks, whatever the length of a list
+    rest = store(_compare_blocks(_in_blocks(again), None, asked=True).select("a", "b").distinct(), "line-candidates")
     return late.union(_verified(keyed, firsts, rest)).distinct()
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """null_id, id, text_hash, line, removed of every line with a word.
+    """null_id, id, text_hash, n_lines (with a word) and removed_lines of every document that has lines.
 
     A line is removed if a line before it, in a smaller doc_id or above it, is alike to it;
     all are judged on the input. Null ids come last; rows of equal id and text are one document.
@@ -610,22 +726,16 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     corpus = _corpus(stored.where("line IS NULL").select("set", "counts"))
     lines = stored.where("line IS NOT NULL").drop("counts")
     place = F.struct(*PLACE, "line")
-    firsts = store(lines.groupBy("set").agg(F.min(place).alias("first")).select("set", "first.*"), "line-firsts")
+    firsts = lines.groupBy("set").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("held"))
+    firsts = store(firsts.select("set", "first.*", "held"), "line-firsts")
     late = late_sets(keyed, firsts, corpus).withColumn("late", F.lit(True))
-    sets = firsts.select("set", place.alias("first")).join(late, "set", "left")
-    return lines.join(sets, "set").select(
-        *PLACE,
-        "line",
-        (F.coalesce("late", F.lit(False)) | (place != F.col("first"))).alias("removed"),
-    )
-
-
-def _by_document(docs: DataFrame) -> DataFrame:
+    # only sets that are late or on several lines lose lines
+    marked = firsts.select("set", "held", place.alias("first")).join(late, "set", "left").where("late OR held > 1")
+    removed = lines.join(marked.hint("shuffle_hash"), "set").where(F.coalesce("late", F.lit(False)) | (place != F.col("first")))
     # equal documents have equal lines, so their lines are taken once
-    return line_decisions(docs).groupBy(*PLACE).agg(
-        F.countDistinct("line").alias("n_lines"),
-        F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
-    )
+    counted = lines.where("n_lines IS NOT NULL").select(*PLACE, "n_lines", F.lit(None).cast("int").alias("line"))
+    both = counted.union(removed.select(*PLACE, F.lit(None).cast("long"), "line"))
+    return both.groupBy(*PLACE).agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("line")).alias("removed_lines"))
 
 
 def _matched(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -648,7 +758,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts have no lines. Repeated rows get the same answer each.
     """
     hashed = docs.select("doc_id", F.xxhash64("text").alias("own_hash"))
-    found = _by_document(docs)
+    found = line_decisions(docs)
     found = found.select(*[F.col(c).alias(f"_{c}") for c in found.columns])
     match = (
         (F.col("doc_id").isNull().cast("int") == F.col("_null_id"))
@@ -670,7 +780,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     Kept lines are joined by newlines as they were; a text that loses all its lines becomes
     empty, and a null text stays null. A document's lines lose nothing else.
     """
-    removed = _by_document(docs).where(F.size("removed_lines") > 0).select(*PLACE, "removed_lines")
+    removed = line_decisions(docs).where(F.size("removed_lines") > 0).select(*PLACE, "removed_lines")
     names = docs.columns
     (gone_name,) = free_names(names, "removed_lines")
     found = _matched(docs, removed, gone_name)

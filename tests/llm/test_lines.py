@@ -143,3 +143,43 @@ def test_line_numbers_and_texts():
     sets = lines.Sets(["x\n\ny z y", None, "", "\n q", "x"])
     assert list(zip(sets.text.tolist(), sets.number.tolist(), sets.size.tolist(), strict=True)) == [(0, 0, 1), (0, 2, 2), (3, 1, 1), (4, 0, 1)]
     assert sets.set[0] == sets.set[3] != sets.set[2]
+
+
+def test_index_rows_travel_many_in_one_value(spark, monkeypatch):
+    """One row of the shuffle holds many index rows, and gives them back as they were."""
+    monkeypatch.setattr(lines, "BUCKET_BITS", 2)
+    texts = [" ".join(f"w{(7 * i + 3 * k) % 50}" for k in range(12 + i % 9)) for i in range(300)]
+    everything = lines.Corpus(np.zeros(lines.SLOTS, np.uint8), np.ones(1 << lines.TWICE_BITS, bool), 0)
+    sets = lines.Sets(texts, everything)
+    rows = lines._posting_rows(sets, np.arange(len(texts)), everything)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    values = lines._postings(lines._keyed(frame), everything).collect()
+    assert len(values) <= 4
+    assert sum(r["n"] for r in values) == len(rows["set"]) > 500
+    got = lines._undealt([(r["n"], bytes(r["rows"])) for r in values])
+
+    def table(rows):
+        return sorted(zip(*[rows[c].tolist() for c in ("word", "set", "size", "place", "first", "bits")], strict=True))
+
+    assert table(got) == table(rows)
+    monkeypatch.setattr(lines, "VALUE_ROWS", 7)
+    batch = lines._dealt(rows, 2)
+    parts = list(zip(batch.column("n").to_pylist(), batch.column("rows").to_pylist(), strict=True))
+    assert max(n for n, _ in parts) == 7
+    assert table(lines._undealt(parts)) == table(rows)
+
+
+@pytest.mark.parametrize("most", [2, 1 << 15])
+def test_open_sets_are_settled_without_another_pass_over_the_texts(spark, monkeypatch, most):
+    """Few buckets that arrive in several values; long lists leave them while rows still come."""
+    passes = []
+    postings = lines._postings
+    monkeypatch.setattr(lines, "_postings", lambda *given: passes.append(given) or postings(*given))
+    for name, value in (("LIST_ROWS", most), ("FIRST_TRIED", 0), ("BUCKET_BITS", 1), ("DEALT_ROWS", 20)):
+        monkeypatch.setattr(lines, name, value)
+    rows = [r for r in corpus(3) if r[0] is not None and r[0] not in (0, 7)]
+    removed, _ = brute_force(rows)
+    got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {((False, r.doc_id), i) for r in got for i in r.removed_lines} == removed
+    assert len(removed) > 20
+    assert len(passes) == 1
