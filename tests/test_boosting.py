@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.operators import attribution, boosting, models
+from hazeline.operators import attribution, binned, boosting, models
 from hazeline.operators.boosting import Settings
 from hazeline.plans import evaluation
 from hazeline.sources.bundle import ModelBundle, load_bundle, save_bundle
@@ -163,3 +163,70 @@ def test_tree_attribution_query_explains_every_row(spark, monkeypatch, tmp_path)
     monkeypatch.setattr(queries, "_boosted_once", lambda *_: model)
     got = queries.QUERIES["tree_attribution"](spark, str(tmp_path))
     assert got.where("exact").count() == got.count() == rows.count() > 1000
+
+
+@pytest.mark.parametrize("settings", [Settings(rounds=5, depth=4, rate=0.3), Settings(rounds=2, depth=2, row_share=1.0, column_share=1.0)])
+def test_fit_over_blocks_grows_the_trees_of_one_task(spark, monkeypatch, settings):
+    x, y = table(7, 1500)
+    group = np.arange(1500) % 5 % 3
+    df = frame(spark, x, y, group).unionByName(frame(spark, x[:200], y[:200], group[:200])).repartition(5)
+    one = boosting.fit_groups(df, "fold", 3, NAMES, settings=settings)
+    monkeypatch.setattr(boosting, "PLAIN_ROWS", 100)
+    monkeypatch.setattr(binned, "BLOCK_ROWS", 64)
+    for g, model in boosting.fit_groups(df, "fold", 3, NAMES, settings=settings).items():
+        assert all(np.array_equal(getattr(model, c), getattr(one[g], c)) for c in ("base", "feature", "threshold", "value", "rows"))
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    monkeypatch.setattr(boosting, "DIRECT_PARTS", 3)
+    blocks = boosting.fit_groups(df, "fold", 3, NAMES, settings=settings)
+    assert set(blocks) == set(one) == {0, 1, 2}
+    for g, model in one.items():
+        assert np.array_equal(blocks[g].feature, model.feature) and np.array_equal(blocks[g].threshold, model.threshold) and np.array_equal(blocks[g].rows, model.rows)
+        np.testing.assert_allclose(blocks[g].value, model.value, rtol=1e-9)
+
+
+def test_edges_over_tasks_are_exact(spark):
+    x, y = table(8, 3000)
+    group = np.arange(3000) % 2
+    x[group == 1, 3] = np.nan
+    df = frame(spark, x, y, group).repartition(6)
+    got = binned.exact_edges(binned.fit_columns(df, "fold", NAMES, "y_aqi"), len(NAMES), 32)
+    for g in (0, 1):
+        for j in range(len(NAMES)):
+            assert np.array_equal(got[g][j], boosting.bin_edges(x[group == g, j], 32))
+
+
+def test_lost_predictions_are_made_again(tmp_path, monkeypatch):
+    monkeypatch.setattr(boosting.tempfile, "gettempdir", lambda: str(tmp_path))
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 129, (2, 50)).astype(np.uint8)
+    trees = [(np.array([0, 1, 1], np.int16), np.array([60, 30, 255], np.uint8), rng.normal(size=4)) for _ in range(3)]
+    want = 5.0 + sum(boosting._leaves(codes, *t) for t in trees)
+
+    def work(round_, history):
+        return boosting._Work("w", round_, {}, {0: trees[round_ - 1]}, history, {0: 5.0}, {0: 50}, Settings())
+
+    assert work(3, None).fitted(0, 0, codes) is None
+    np.testing.assert_allclose(work(3, {0: trees}).fitted(0, 0, codes), want)
+    assert np.array_equal(work(3, None).fitted(0, 0, codes), work(3, {0: trees}).fitted(0, 0, codes))
+    for round_ in range(4):
+        kept = work(round_, None).fitted(0, 1, codes)
+    np.testing.assert_allclose(kept, want)
+
+
+def test_backtest_is_fitted_on_all_rows(spark, monkeypatch):
+    n = 250_000
+    step = F.col("id")
+    rows = spark.range(n).select(
+        F.lit("a").alias("city"), F.timestamp_seconds(step * 60 + 1_704_067_200).alias("datetime"), F.lit(1).alias("horizon"),
+        (step % 100).cast("double").alias("aqi_anchor"), (step % 90).cast("double").alias("y_aqi"),
+    )
+    seen, fit = {}, boosting.fit_groups
+
+    def record(samples, group, *args, **kwargs):
+        seen.update({r[0]: r[1] for r in samples.groupBy(group).count().collect()})
+        return fit(samples.where(F.col("horizon") == 1).limit(1000), group, *args, **kwargs)
+
+    monkeypatch.setattr(boosting, "fit_groups", record)
+    evaluation.walk_forward_boosted(rows, 5, features=("aqi_anchor",), settings=Settings(rounds=1, depth=1))
+    part = n // 6
+    assert seen == {i: n - (6 - i) * part for i in range(1, 6)} and seen[5] > 200_000
