@@ -21,6 +21,7 @@ from hazeline.operators.forecast import (
     forecast_inputs,
     hourly_forecast,
 )
+from hazeline.operators.forests import Forest
 from hazeline.operators.scoring import append_log, flatten_documents
 from hazeline.session import literal_table, materialize
 from hazeline.sources.bundle import ModelBundle
@@ -36,7 +37,7 @@ def score_hours(features: DataFrame, bundle: ModelBundle, as_of, hours: int = HO
 
 
 def attribute(rows: DataFrame, bundle: ModelBundle) -> DataFrame:
-    if isinstance(bundle.model, Boosted) or hasattr(bundle.model.stages[-1], "trees"):
+    if isinstance(bundle.model, Boosted | Forest) or hasattr(bundle.model.stages[-1], "trees"):
         return tree_attribution(rows, bundle.model, bundle.feature_columns)
     return linear_attribution(rows, bundle.model, bundle.feature_columns)
 
