@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,27 @@ def test_backtest_is_fitted_on_all_rows(spark, monkeypatch):
     evaluation.walk_forward_boosted(rows, 5, features=("aqi_anchor",), settings=Settings(rounds=1, depth=1))
     part = n // 6
     assert seen == {i: n - (6 - i) * part for i in range(1, 6)} and seen[5] > 200_000
+
+
+def test_table_attribution_looks_up_few_narrow_tables(monkeypatch):
+    x, y = table(10, 900)
+    model = boosting.grow(x, y, NAMES, Settings(rounds=3, depth=8, rate=0.3))
+    feature, cut, edges, kind, last = model.codes
+    monkeypatch.setattr(attribution, "TABLE_ROWS", 1)
+    shared = type("Shared", (), {"value": ((feature, model.threshold, model.value, model.rows, cut), edges, kind, last)})
+    taken, take = [], np.take
+
+    def counted(values, *args, **kwargs):
+        taken.append(values.shape[1] * len(args[0]) if values.ndim == 2 else 0)
+        return take(values, *args, **kwargs)
+
+    names = [*NAMES, *(f"unused{i}" for i in range(20))]
+    wide = attribution._table_explainer(type("Shared", (), {"value": (shared.value[0], [*edges, *[np.zeros(0)] * 20], kind, last)}), None, 0.0, names)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in [*x.T, *np.zeros((20, len(x)))]], names)
+    monkeypatch.setattr(np, "take", counted)
+    (out,) = wide([batch])
+    # 32 tables a tree of at most the inputs it uses, and its answers; one of 64 tables of all inputs before
+    assert sum(taken) <= 3 * len(x) * (32 * len(NAMES) + len(NAMES) * 8)
+    phi = np.array(out.column("phi").to_pylist())
+    np.testing.assert_allclose(model.base + attribution._expected(attribution.tree_leaves(model)[0]) + phi.sum(axis=1), model.score(x), atol=1e-9)
+    assert not phi[:, len(NAMES):].any()
